@@ -1,0 +1,37 @@
+"""Rasters as relations: derived pixel tables, colour planes and macroblock statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def embedding_pixels(embeddings: DataFrame) -> DataFrame:
+    """One grey pixel per embedding component: row = vec_id, column = position.
+
+    A component v in [-1, 1] becomes floor((v + 1) * 127.5). Rows without an embedding give no pixel.
+    """
+    v = F.col("v").cast("double")
+    return embeddings.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("x", "v")).select(
+        "image_id", "x", F.floor((v + 1) * F.lit(127.5)).cast("bigint").alias("g")
+    )
+
+
+def clamp255(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(0)), F.lit(255))
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    """Studio-range luma of 8-bit RGB in 16-bit fixed point, rounded."""
+    return F.shiftright(16839 * r + 33059 * g + 6420 * b + F.lit((16 << 16) + 32768), 16)
+
+
+def macroblock_stats(pixels: DataFrame, size: int = 16) -> DataFrame:
+    """Mean, extremes and squared sum of each run of ``size`` columns of every image row."""
+    return pixels.groupBy("image_id", F.floor(F.col("x") / size).cast("bigint").alias("mbx")).agg(
+        F.count("*").alias("n"), F.sum("g").alias("total"), F.min("g").alias("low"), F.max("g").alias("high"), F.sum(F.col("g") * F.col("g")).alias("squares")
+    )

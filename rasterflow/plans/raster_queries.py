@@ -1,0 +1,18 @@
+"""Queries over rasters derived from the shared tables."""
+
+from __future__ import annotations
+
+from rasterflow.operators import raster
+from rasterflow.plans.queries import register
+
+#: Grey pixels of the embeddings, for the SQL oracles.
+EMB_PX = """px AS (SELECT vec_id image_id, k x, CAST(floor((CAST(embedding[k + 1] AS DOUBLE) + 1) * 1.275e2) AS BIGINT) g
+FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) k FROM embeddings))"""
+
+
+@register(
+    "macroblock_stats",
+    f"WITH {EMB_PX} SELECT image_id, CAST(floor(x / 16) AS BIGINT) mbx, count(*) n, CAST(sum(g) AS BIGINT) total, min(g) low, max(g) high, CAST(sum(g * g) AS BIGINT) squares FROM px GROUP BY image_id, CAST(floor(x / 16) AS BIGINT)",
+)
+def macroblock_stats(spark, sf_dir):
+    return raster.macroblock_stats(raster.embedding_pixels(raster.table(spark, sf_dir, "embeddings")))
