@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rasterflow.llm import exact_dedup, quality_rules
+from rasterflow.llm import exact_dedup, quality_rules, url_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4,
+    "op5_url_rules": url_rules.op5,
     "op6_exact_dedup": exact_dedup.op6,
 }
 
 #: Where SQL can state the result.
 ORACLES = {
     "op4_quality_rules": quality_rules.OP4_SQL,
+    "op5_url_rules": url_rules.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

@@ -28,6 +28,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def pinned(c: Column) -> Column:
+    """c, computed once where it stands: the optimiser neither copies it into its consumers nor moves filters below it.
+
+    Filters on costly expressions are otherwise pushed through every projection, and copied into lambdas, which then
+    compute them again for each array element. The condition always holds; being non-deterministic it only pins.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder for staged tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import SPACES, staged, whole_text
+from rasterflow.llm.common import SPACE_CLASS, staged, whole_text
 
 KEY = ("digest", "check", "size")
 
@@ -24,7 +24,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     when all three agree.
     """
     text = whole_text(text_col)
-    bare = F.translate(text, SPACES, "")
+    bare = F.regexp_replace(text, SPACE_CLASS + "+", "")
     return docs.select(
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("row"),

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import SPACE_CLASS, SPACES, table, whole_text
+from rasterflow.llm.common import SPACE_CLASS, pinned, staged, table, whole_text
 
 #: Feature -> cutoffs, loosest first; a document is rejected above the cutoff.
 GRID = {
@@ -36,30 +36,34 @@ class Risk:
     delta: float = 0.05
 
 
+def _window(words: Column, i: Column) -> list[Column]:
+    """The five words from place i (from 0); element access, as slice() copies the whole array at each call."""
+    return [F.get(words, i + j) for j in range(5)]
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a five-word window found twice or more in the array.
 
     A hash set of window hashes tells documents without a repeat; only the others have their windows, as text, sorted.
     """
     n = F.size(words)
-    starts = F.sequence(F.lit(1), n - 4)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, 5)))
+    hashes = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*_window(words, i)))
     return F.when(n < 5, F.lit(0)).when(F.size(F.array_distinct(hashes)) == n - 4, F.lit(0))
 
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct column ``q``: n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_repeat_words."""
     text = whole_text(text_col)
-    words = F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    a = docs.withColumn("_w", words).withColumn("_l", lines)
+    words = F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    a = docs.withColumn("_w", pinned(words)).withColumn("_l", pinned(lines))
     quick = _repeat_words(F.col("_w"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("_w") - 4), lambda i: F.struct(F.array_join(F.slice(F.col("_w"), i, 5), " ").alias("t"), i.alias("p")))
-    b = a.withColumn("_quick", quick).withColumn("_s", F.when(F.col("_quick").isNull(), F.sort_array(windows)))
+    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 5), lambda i: F.struct(F.concat_ws(" ", *_window(F.col("_w"), i)).alias("t"), i.alias("p")))
+    b = a.withColumn("_quick", pinned(quick)).withColumn("_s", pinned(F.when(F.col("_quick").isNull(), F.sort_array(windows))))
     # a window is repeated if a neighbour in sorted order is the same
     at = lambda i: F.get(F.col("_s"), i)["t"]
     same = F.filter(F.col("_s"), lambda x, i: F.coalesce(x["t"] == at(i - 1), F.lit(False)) | F.coalesce(x["t"] == at(i + 1), F.lit(False)))
-    c = b.withColumn("_p", F.sort_array(F.transform(same, lambda x: x["p"])))
+    c = b.withColumn("_p", pinned(F.sort_array(F.transform(same, lambda x: x["p"]))))
     covered = F.aggregate(
         F.col("_p"),
         F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n")),
@@ -68,15 +72,15 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     return c.withColumn(
         "q",
-        F.struct(
+        pinned(F.struct(
             F.size("_w").cast("long").alias("n_words"),
-            F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            (F.length(text) - F.length(F.translate(text, "!?", ""))).cast("long").alias("n_marks"),
+            F.length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.regexp_count(text, F.lit("[!?]")).cast("long").alias("n_marks"),
             F.size("_l").cast("long").alias("n_lines"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
             F.coalesce(F.col("_quick"), covered).cast("long").alias("n_repeat_words"),
-        ),
+        )),
     ).drop("_w", "_l", "_quick", "_s", "_p")
 
 
@@ -131,49 +135,64 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def fit_cutoffs(labelled: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """Rows (stratum, feature, cutoff) of the rules that may reject.
 
-    labelled: stratum, good (boolean) and the features, one row per labelled document; rows that the base rules
-    reject are left out by the caller. All labelled rows count; the grid is fixed beforehand, so all of them are
+    labelled: stratum and the features, one row per labelled good document; features are null for those that the base
+    rules reject, which don't count. All labelled rows count; the grid is fixed beforehand, so all of them are
     holdout. A stratum without good rows, or no row at all, gives no rule.
     """
-    good = labelled.where("good")
-    counts = good.groupBy("stratum").agg(
-        F.count("*").alias("n"), *(F.count_if(F.col(f) > c).alias(f"{f}_{i}") for f, cs in GRID.items() for i, c in enumerate(cs))
+    counts = labelled.groupBy("stratum").agg(
+        F.count("symbol_ratio").alias("n"), *(F.count_if(F.col(f) > c).alias(f"{f}_{i}") for f, cs in GRID.items() for i, c in enumerate(cs))
     )
     cells = F.array(
         *(F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cutoff"), F.col(f"{f}_{i}").alias("k")) for f, cs in GRID.items() for i, c in enumerate(cs))
     )
-    pairs = counts.agg((F.count("*") * len(GRID)).alias("pairs"))  # one row
-    flat = counts.select("stratum", "n", F.inline(cells)).crossJoin(F.broadcast(pairs))
-    passed = flat.where(binomial_tail(F.col("n"), F.col("k"), risk.risk) <= F.lit(risk.delta) / F.col("pairs"))
+    counts = staged(counts.where("n > 0"), "quality-counts")  # a row for each stratum
+    pairs = counts.count() * len(GRID)
+    flat = counts.select("stratum", "n", F.inline(cells))
+    passed = flat.where(binomial_tail(F.col("n"), F.col("k"), risk.risk) <= F.lit(risk.delta) / F.lit(float(max(pairs, 1))))
     return passed.groupBy("stratum", "feature").agg(F.min("cutoff").alias("cutoff"))
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: Risk = Risk()
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    label_col: str = "quality",
+    risk: Risk = Risk(),
+    carry: bool = True,
 ) -> DataFrame:
-    """docs with the struct ``q`` of counts, base_failed, reasons (features whose rule rejects) and kept.
+    """docs with the struct ``q`` of counts, base_failed, reasons ('base', or features whose rule rejects) and kept.
+
+    carry=False leaves the text out: the counts are then staged, so that labelled texts are analysed once, not twice.
 
     A null text has no words and fails the base rules. A null stratum is a stratum of its own, named ''. Labels that are
     null, or name no document, are not used; a document labelled more than once counts as good if any label says so.
+    Repeated rows are judged alike. Empty tables give no rows, or no rules. The columns named q, base_failed, reasons and
+    kept are replaced if ``docs`` has them; a column of ``labels`` never clashes.
     """
-    stats = text_stats(docs, text_col).withColumn("base_failed", base_failed())
-    stats = stats.withColumn("_stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("")))
+    docs = docs.drop("q", "base_failed", "reasons", "kept")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    # labelled documents first, so that only their texts are analysed here
-    named = docs.join(known, docs[id_col] == known["_id"], "left_semi")
-    seen = text_stats(named.select(id_col, text_col, stratum_col), text_col).where(~base_failed())
-    labelled = seen.join(known, F.col(id_col) == F.col("_id")).select(
-        F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), (F.col("_y") == 1).alias("good"), *(c.alias(f) for f, c in features().items())
-    )
+    good = known.where(F.col("_y") == 1).select("_id")
+    if carry:
+        named = docs.select(id_col, text_col, stratum_col).join(good, F.col(id_col) == F.col("_id"), "left_semi")
+        seen, stats = text_stats(named, text_col), text_stats(docs, text_col)
+    else:
+        stats = staged(text_stats(docs, text_col).drop(text_col), "quality-counts")
+        seen = stats.join(good, F.col(id_col) == F.col("_id"), "left_semi")
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
+    labelled = seen.select(stratum.alias("stratum"), *(F.when(~base_failed(), c).alias(f) for f, c in features().items()))
     rules = fit_cutoffs(labelled, risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("feature", "cutoff"))).alias("_rules"))
+    stats = stats.withColumn("base_failed", base_failed()).withColumn("_stratum", stratum)
     judged = stats.join(rules.withColumnRenamed("stratum", "_stratum"), "_stratum", "left")
-    hits = F.array_compact(F.array(*(F.when(c > F.coalesce(F.col("_rules")[f], F.lit(float("inf"))), F.lit(f)) for f, c in features().items())))
-    return judged.withColumn("reasons", hits).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_rules", "_stratum")
+    over = [F.when(c > F.coalesce(F.col("_rules")[f], F.lit(float("inf"))), F.lit(f)) for f, c in features().items()]
+    hits = pinned(F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *over)))
+    return judged.withColumn("reasons", hits).withColumn("kept", F.size("reasons") == 0).drop("_rules", "_stratum")
 
 
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = quality_rules(docs, table(spark, sf_dir, "labels"))
+    out = quality_rules(docs, table(spark, sf_dir, "labels"), carry=False)
     return out.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "base_failed", "kept")
 
 
