@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from rasterflow.llm import exact_dedup, quality_rules, url_rules
+from rasterflow.llm import exact_dedup, packing, pieces, pii, quality_rules, secrets, token_blocks, url_rules
 
 QUERIES = {
+    "op1_token_blocks": token_blocks.op1,
+    "op2_best_fit_packing": packing.op2,
+    "op3_pii": pii.op3,
     "op4_quality_rules": quality_rules.op4,
     "op5_url_rules": url_rules.op5,
     "op6_exact_dedup": exact_dedup.op6,
+    "op7_secrets": secrets.op7,
+    "op8_sentence_pieces": pieces.op8,
 }
 
 #: Where SQL can state the result.
