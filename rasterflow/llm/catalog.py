@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterflow.llm import exact_dedup, packing, pieces, pii, quality_rules, secrets, token_blocks, url_rules
+from rasterflow.llm import exact_dedup, ngram_join, packing, pieces, pii, quality_rules, secrets, token_blocks, url_rules
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6,
     "op7_secrets": secrets.op7,
     "op8_sentence_pieces": pieces.op8,
+    "op9_ngram_join": ngram_join.op9,
 }
 
 #: Where SQL can state the result.
@@ -20,4 +21,5 @@ ORACLES = {
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op5_url_rules": url_rules.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
 }
