@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterflow.llm import exact_dedup, ngram_join, packing, pieces, pii, quality_rules, secrets, token_blocks, url_rules
+from rasterflow.llm import exact_dedup, lm_scoring, ngram_join, packing, pieces, pii, quality_rules, secrets, token_blocks, url_rules
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_secrets": secrets.op7,
     "op8_sentence_pieces": pieces.op8,
     "op9_ngram_join": ngram_join.op9,
+    "op10_lm_scoring": lm_scoring.op10,
 }
 
 #: Where SQL can state the result.
