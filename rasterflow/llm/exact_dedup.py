@@ -17,8 +17,8 @@ from rasterflow.llm.common import SPACE_CLASS, staged, whole_text
 KEY = ("digest", "check", "size")
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: run (its input partition), a row number, id, code points, and the digest key.
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: run (its input partition), a row number (row_col, or a new one), id, code points, and the digest key.
 
     The key is the SHA-256 of the normalised text, verified by a second hash and its length: entries merge only
     when all three agree.
@@ -27,7 +27,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bare = F.regexp_replace(text, SPACE_CLASS + "+", "")
     return docs.select(
         F.spark_partition_id().alias("run"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.length(text).alias("points"),
         F.unhex(F.sha2(bare, 256)).alias("digest"),
@@ -41,7 +41,7 @@ def merged(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, row_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, and row (the input row's own number).
 
     Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]. The row with the most code
@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     form one group with texts of white space alone. Repeated rows, ids too, are told apart by ``row``: one is kept.
     No rows in, no rows out. Other columns of ``docs`` are not read.
     """
-    rows = staged(digest_rows(docs, id_col, text_col), "digests")
+    rows = staged(digest_rows(docs, id_col, text_col, row_col), "digests")
     first = rows.select(
         "run", *KEY, F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), "id", "row").alias("best"), F.lit(1).cast("long").alias("n")
     )
@@ -74,6 +74,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that exact_dedup drops; all columns stay. Rows are numbered and staged first, so that repeated
+    rows, ids too, leave exactly one."""
+    numbered = staged(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
+    kept = exact_dedup(numbered, id_col, text_col, row_col="_row_number").where("kept").select(F.col("row").alias("_row_number"))
+    return numbered.join(kept, "_row_number", "left_semi").select(*docs.columns)
+
+
 def op6(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs).withColumnRenamed("id", "doc_id").drop("row")

@@ -141,7 +141,7 @@ def keys_of(s: np.ndarray, share: float) -> np.ndarray:
             less = total[each] - value
             out.append(mixed(less[count[each] > 1] + mixed(label[each[count[each] > 1]])))
             if np.minimum(count, 2).sum() <= h:
-                out.append(mixed(value + np.uint64(k + 1) * _P[3]))
+                out.append(mixed(value + np.uint64((k + 1) * int(_P[3]) % 2**64)))
         k += 1
         if k > 0 and _BANDS[k - 1] + 1 > size / share + 1e-9:
             break
