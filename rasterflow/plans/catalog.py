@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterflow.plans import raster_queries  # noqa: F401  (registers)
+from rasterflow.plans import image_queries  # noqa: F401  (registers)
 from rasterflow.plans.queries import ORACLES, QUERIES
 
 

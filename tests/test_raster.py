@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "part", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
