@@ -4,15 +4,16 @@ A document is the set of its distinct word n-grams. For a size band (l, u] two s
 larger one in the band, differ in at most H = (1 - t) / (1 + t) * 2u elements. The universe is dealt by a hash into
 m = H + 1 + z segments, so at least 1 + z segments of such a pair are equal; a segment's subset is an index key.
 
-Cost-based allocation. An empty subset is in every sparse set and costs most: it is not indexed. A set with at most z
-empty subsets still has an equal one that is indexed. A set with more spends on one-deletion neighbourhoods: it indexes
-every subset and each subset less one element, which finds a pair unless all its subsets differ by two or more; as that
-budget (2 a subset, 1 for a single element) exceeds H, none is lost. A set whose budget is too small indexes every
-element. Sets of equal content are one node throughout.
-
-Keys of a large group meet in one bucket. Each input task already reduces the nodes of a key to a star around the
-least, and sends that one on, so a bucket receives one row per task at most; the buckets' stars are verified exactly,
-the pair with most common keys first. Only pairs not yet connected are verified after that. In a bucket where a pair
+Cost-based allocation. An empty subset is in every sparse set and costs most: it is not indexed. A set with e <= z empty
+subsets shares 1 + z - e indexed ones with any similar set, and so can do without its z - e most frequent keys: the least
+frequent common key has z - e more frequent ones in either set. A set with more empty subsets spends on one-deletion
+neighbourhoods: it indexes every subset and each subset less one element, which finds a pair unless all its subsets
+differ by two or more; as that budget (2 a subset, 1 for a single element) exceeds H, none is lost. A set whose budget
+is too small indexes every element. Sets of equal content are one node throughout.
+
+Keys of a large group meet in one bucket. Each input task sends one of its nodes of a key on, so a bucket receives one row
+per task at most. A bucket's nodes are compared with its least one, a star; the pair with most common keys first. Before
+whole sets are compared, counts of elements per hash slot bound the difference of a pair from below. Only pairs not yet connected are verified after that. In a bucket where a pair
 failed, every node outside the largest component is compared with all nodes of other components, by rounds of at most
 ``BLOCK`` of them, until the bucket is settled: no link between different texts is lost.
 """
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterflow.llm.common import staged, table, unstage, whole_text
@@ -119,13 +120,14 @@ def bands(most: int) -> list[int]:
 _BANDS = bands(1 << 40)
 
 
-def keys_of(s: np.ndarray, share: float) -> np.ndarray:
-    """Index keys of one set for its own band and those above whose sets may be similar to it."""
-    size, out = len(s), []
+def keys_of(s: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their bands, how many of a band's keys the set can do without) for the set's own band and those above whose
+    sets may be similar to it."""
+    size, out, tags, spare = len(s), [], [], []
     k = int(np.searchsorted(_BANDS, size))
-    while k == 0 or _BANDS[k - 1] + 1 <= size / share + 1e-9 or _BANDS[k - 1] < size:
+    while not out or _BANDS[k - 1] + 1 <= size / share + 1e-9:
         h = int((1 - share) / (1 + share) * 2 * _BANDS[k] + 1e-9)
-        z = 1 + h // 12
+        z = 1 + h // 8
         m = h + 1 + z
         spread = mixed(s + np.uint64(k))
         segment = (spread % np.uint64(m)).astype(np.int64)
@@ -134,18 +136,21 @@ def keys_of(s: np.ndarray, share: float) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         total = np.add.reduceat(value, first)
         label = (segment[first].astype(np.uint64) << np.uint64(16)) + np.uint64(k + 1)
-        out.append(mixed(total + mixed(label)))
-        if m - len(first) > z:
+        found = [mixed(total + mixed(label))]
+        empty = m - len(first)
+        if empty > z:
             count = np.diff(np.concatenate([first, [size]]))
             each = np.repeat(np.arange(len(first)), count)
             less = total[each] - value
-            out.append(mixed(less[count[each] > 1] + mixed(label[each[count[each] > 1]])))
+            found.append(mixed(less[count[each] > 1] + mixed(label[each[count[each] > 1]])))
             if np.minimum(count, 2).sum() <= h:
-                out.append(mixed(value + np.uint64((k + 1) * int(_P[3]) % 2**64)))
+                found.append(mixed(value + np.uint64((k + 1) * int(_P[3]) % 2**64)))
+        out += found
+        n = sum(map(len, found))
+        tags.append(np.full(n, k, np.int32))
+        spare.append(np.full(n, max(0, z - empty), np.int32))
         k += 1
-        if k > 0 and _BANDS[k - 1] + 1 > size / share + 1e-9:
-            break
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(tags), np.concatenate(spare)
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -162,32 +167,32 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, hi long, lo long")
 
 
-STAR = "key long, u long, v long"
+MEMBER = "key long, node long, tag int, spare int"
+KEY = MEMBER + ", follows boolean, led boolean"
 
 
-def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by (key, node): (place of each row's star centre, mask of the centres)."""
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of the first row of each run of equal keys, run length at each row)."""
     first = np.concatenate([[True], key[1:] != key[:-1]])
-    return np.maximum.accumulate(np.where(first, np.arange(len(key)), 0)), first
+    starts = np.flatnonzero(first)
+    return first, np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
 
 
 def key_rows(docs: DataFrame, how: Similarity) -> DataFrame:
-    """Star rows (key, u, v) of each task's documents; a centre, to be joined with those of other tasks, has a null v."""
+    """Keys of each task's documents, once for each content. The first node of a key goes on to meet those of other tasks,
+    told whether it is followed here (led); the others follow it."""
 
     def run(batches):
         seen: set[bytes] = set()
-        keys, nodes, held = [], [], 0
+        held: list[tuple] = []
+        many = 0
 
         def close():
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            at, first = _stars(key, node)
-            other = ~first & (node != node[at])
-            take = first | other
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key[take].astype(np.int64)), pa.array(node[at][take]), pa.array(node[take], mask=first[take])], ["key", "u", "v"]
-            )
+            cols = [np.concatenate(c) for c in zip(*held)]
+            order = np.lexsort((cols[1], cols[0]))
+            key, node, tag, spare = (c[order] for c in cols)
+            first, length = _runs(key)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(tag), pa.array(spare), pa.array(~first), pa.array(length > 1)], ["key", "node", "tag", "spare", "follows", "led"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -196,48 +201,94 @@ def key_rows(docs: DataFrame, how: Similarity) -> DataFrame:
                     if not len(s) or (mark := xxhash.xxh3_128_digest(s.tobytes())) in seen:
                         continue  # copies hang on the same node
                     seen.add(mark)
-                    keys.append(keys_of(s, how.share).view(np.int64))
-                    nodes.append(np.full(len(keys[-1]), ids[at + k], np.int64))
-                    held += len(keys[-1])
-                if held > 4_000_000:
+                    key, tag, spare = keys_of(s, how.share)
+                    held.append((key.view(np.int64), np.full(len(key), ids[at + k], np.int64), tag, spare))
+                    many += len(key)
+                if many > 4_000_000:
                     yield close()
-                    keys, nodes, held = [], [], 0
-        if keys:
+                    held, many = [], 0
+        if held:
             yield close()
 
-    return docs.mapInArrow(run, STAR)
+    return docs.mapInArrow(run, KEY)
 
 
-def joined_stars(centres: DataFrame) -> DataFrame:
-    """Star rows of the centres that tasks sent for one key; the rows of a key pass by in order, none are held."""
+def met(firsts: DataFrame) -> DataFrame:
+    """Of the nodes that tasks sent for a key, those that meet another or lead followers. Rows of a key pass by in order;
+    only the last one is held back until the next batch."""
 
     def run(batches):
-        last_key = last_node = None
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at, first = _stars(key, node)
-            centre = node[at]
-            if last_key is not None and key[0] == last_key:
-                centre = np.where(key == last_key, last_node, centre)
-                first[0] = False
-            last_key, last_node = key[-1], centre[-1]
-            take = ~first & (node != centre)
-            yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(centre[take]), pa.array(node[take])], ["key", "u", "v"])
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key = t["key"].to_numpy()
+            first, length = _runs(key)
+            take = (length > 1) | t["led"].to_numpy(zero_copy_only=False)
+            # the last row may go on in the next batch; if it is taken already, it is told to be
+            now = t.slice(0, len(t) - 1).filter(pa.array(take[:-1])).select(["key", "node", "tag", "spare"])
+            yield from now.combine_chunks().to_batches()
+            last = t.slice(len(t) - 1).to_batches()[0]
+            held = last.set_column(4, "led", pa.array([bool(take[-1])]))
+        if held is not None and held.column(4)[0].as_py():
+            yield held.select(["key", "node", "tag", "spare"])
 
-    return centres.repartition("key").sortWithinPartitions("key", "u").select("key", "u").mapInArrow(run, STAR)
+    cols = firsts.select("key", "node", "tag", "spare", "led")
+    return cols.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, MEMBER)
+
+
+def stars_of(members: DataFrame) -> DataFrame:
+    """(key, u, v): the other nodes v of a key and its least node u."""
+    least = members.groupBy("key").agg(F.min("node").alias("u"))
+    return members.select("key", F.col("node").alias("v")).join(least, "key").where("u < v").select("key", "u", "v")
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Elements per slot, slots a power of two near half the size; slots are low bits, so that sketches fold."""
+    slots = 1 << max(4, int(len(s) // 3).bit_length())
+    return np.minimum(np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, n).sum(0) - y.reshape(-1, n).sum(0)).sum())
 
 
 def set_values(wanted: DataFrame, n: int) -> DataFrame:
-    """Rows (node, set) from (id, text): sorted hashes as bytes."""
+    """Rows (node, n, sketch, set) from (id, text): the set as sorted hashes in bytes."""
 
     def run(batches):
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s.tobytes() for s in shingle_sets(texts, n)], pa.binary())], ["node", "set"])
+                sets = shingle_sets(texts, n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["node", "n", "sketch", "set"],
+                )
+
+    return wanted.mapInArrow(run, "node long, n long, sketch binary, set binary")
+
 
-    return wanted.mapInArrow(run, "node long, set binary")
+def _both(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
+    """pairs (u, v) with the columns of both nodes."""
+    for c in ("v", "u"):
+        pairs = pairs.join(sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols)), c)
+    return pairs.select("u", "v", *(f"{x}_{c}" for x in cols for c in ("u", "v")))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs whose sizes and sketches do not rule a link out."""
+
+    def run(batches):
+        for batch in batches:
+            nu, nv, su, sv = (batch.column(i).to_pylist() for i in range(2, 6))
+            ok = [(how.per + how.part) * (a + b - max(abs(a - b), least_difference(x, y))) >= 2 * how.part * (a + b) for a, b, x, y in zip(nu, nv, su, sv)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
+
+    return _both(pairs, sets, "n", "sketch").mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
@@ -250,9 +301,8 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
             ok = [how.per * k >= how.part * (len(x) + len(y) - k) for k, x, y in zip(both, a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
 
-    right = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
-    rows = right.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").select("u", "v", "su", "sv")
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    left = staged(possible(pairs, sets, how), "possible")
+    return _both(left, sets, "set").mapInArrow(run, "u long, v long").distinct()
 
 
 def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -278,11 +328,15 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
     copies = staged(sizes.where("id IS NOT NULL AND n > 0").join(classes, ["hi", "lo"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
 
     local = staged(key_rows(named, how), "keys")
-    stars = local.where("v IS NOT NULL").unionByName(joined_stars(local.where("v IS NULL")))
-    for c in ("u", "v"):
-        stars = stars.join(copies.select(F.col("v").alias(c), F.col("u").alias(f"rep_{c}")), c, "left").withColumn(c, F.coalesce(f"rep_{c}", c)).drop(f"rep_{c}")
-    stars = staged(stars.where("u <> v").select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
+    found = local.where("follows").select("key", "node", "tag", "spare").unionByName(met(local.where("NOT follows")))
+    found = found.join(copies.select(F.col("v").alias("node"), F.col("u").alias("rep")), "node", "left")
+    found = staged(found.select("key", F.coalesce("rep", "node").alias("node"), "tag", "spare").distinct(), "found")
     unstage(local)
+    # a set's most frequent keys go, as many as it can spare
+    often = found.join(found.groupBy("key").agg(F.count("*").alias("often")), "key").where("often > 1")
+    place = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("often"), "key"))
+    members = staged(often.withColumn("place", place).where("place > spare").select("key", "node").distinct(), "members")
+    stars = staged(stars_of(members), "stars")
 
     pairs = staged(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "pairs")
     nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
@@ -299,8 +353,7 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
 
     # buckets with a star pair that does not link: their nodes, as (key, node, component)
     open_keys = labelled(stars, labels).where("cu <> cv").select("key").distinct()
-    named_in = stars.join(open_keys, "key", "left_semi")
-    members = staged(named_in.select("key", F.col("u").alias("node")).unionByName(named_in.select("key", F.col("v").alias("node"))).distinct(), "members")
+    members = staged(members.join(open_keys, "key", "left_semi"), "members")
     while not members.isEmpty():
         now = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("c"))
         largest = now.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("parts"))
