@@ -312,6 +312,17 @@ def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: components of the components that they join."""
+    edges = staged(labelled(links, labels).where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "edges")
+    if edges.isEmpty():
+        return labels
+    more = staged(components(edges), "labels").select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    moved = labels.join(more, labels["label"] == more["_n"], "left").select("node", F.coalesce("_l", "label").alias("label"))
+    fresh = more.join(labels, labels["node"] == more["_n"], "left_anti").select(F.col("_n").alias("node"), F.col("_l").alias("label"))
+    return staged(moved.unionByName(fresh), "labels")
+
+
 def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id reachable by links, its own included).
 
@@ -342,13 +353,11 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
     nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     sets = staged(set_values(named.join(nodes, "id").select("id", "text"), how.words), "set-values")
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
-    links = staged(verified(best.select("u", "v"), sets, how), "links")
-    labels = staged(components(links), "labels")
+    labels = staged(components(verified(best.select("u", "v"), sets, how)), "labels")
     done = best.select("u", "v")
     rest = staged(labelled(pairs.select("u", "v").join(done, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
     if not rest.isEmpty():
-        links = staged(links.unionByName(verified(rest, sets, how)), "links")
-        labels = staged(components(links), "labels")
+        labels = merged(labels, verified(rest, sets, how))
     done = pairs.select("u", "v")
 
     # buckets with a star pair that does not link: their nodes, as (key, node, component)
@@ -362,17 +371,14 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
         picked = staged(outside.select("key", F.col("node").alias("p"), F.col("c").alias("cp")), "picked")
         meet = marked.select("key", "node", "c").join(picked, "key").where("c <> cp").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
         fresh = staged(meet.join(done, ["u", "v"], "left_anti"), "pairs")
-        new = staged(verified(fresh, sets, how), "links")
-        done = staged(done.unionByName(fresh), "done")
-        if not new.isEmpty():
-            links = staged(links.unionByName(new), "links")
-            labels = staged(components(links), "labels")
+        labels = merged(labels, verified(fresh, sets, how))
+        done = done.unionByName(fresh)
         # a picked node has met all others of its bucket
         members = staged(marked.select("key", "node").join(picked.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti"), "members")
 
-    near = staged(components(copies.unionByName(links)), "labels")
     unstage(sets)
-    return sizes.join(near.select(F.col("node").alias("id"), "label"), "id", "left").select(F.col("id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    labels = merged(labels, copies)
+    return sizes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
 def op9(spark, sf_dir):
