@@ -55,3 +55,33 @@ def prefix_codes(values: DataFrame, value: str = "value") -> DataFrame:
     table = F.broadcast(values.sparkSession.createDataFrame(segments, "prefix int, extra_bits int, low long, high long"))
     v = F.col(value) - 1
     return values.join(table, (v >= F.col("low")) & (v <= F.col("high"))).select(*values.columns, "prefix", "extra_bits", (v - F.col("low")).alias("extra"))
+
+
+def code_length_tokens(runs: DataFrame) -> DataFrame:
+    """Runs (key, run, value, length) of code lengths as tokens (key, run, k, token, extra, bits) of their wire form.
+
+    Zeros: 18 for 11 to 138 of them, 17 for 3 to 10, else one by one. Others: the length itself, then 16 for 3 to 6 more,
+    else one by one. Each run is split by arithmetic and exploded; nothing walks the rows.
+    """
+    n = F.col("length")
+    long_n = F.floor(F.when(n >= 11, (n - 11) / 138 + 1).otherwise(0))
+    # 138 at a time while 11 or more are left, then 10 at a time while 3 or more are left
+    rest = F.when(n >= 11, F.greatest(n - 138 * long_n, F.lit(0))).otherwise(n)
+    mid_n = F.when(rest >= 3, F.lit(1)).otherwise(F.lit(0))
+    singles = F.when(mid_n == 1, F.greatest(rest - 10, F.lit(0))).otherwise(rest)
+    token = lambda t, e, b: F.struct(t.cast("int").alias("token"), e.cast("int").alias("extra"), F.lit(b).alias("bits"))
+    many = lambda count, f: F.when(count > 0, F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), f)).otherwise(F.array().cast("array<struct<token:int,extra:int,bits:int>>"))
+    zeros = F.concat(
+        many(long_n, lambda i: token(F.lit(18), F.least(n - 138 * i, F.lit(138)) - 11, 7)),
+        many(mid_n, lambda i: token(F.lit(17), F.least(rest, F.lit(10)) - 3, 3)),
+        many(singles, lambda i: token(F.lit(0), F.lit(0), 0)),
+    )
+    more = n - 1
+    again_n = F.floor(F.when(more >= 3, (more - 3) / 6 + 1).otherwise(0))
+    left = F.greatest(more - 6 * again_n, F.lit(0))
+    others = F.concat(
+        many(F.lit(1), lambda i: token(F.col("value"), F.lit(0), 0)),
+        many(again_n, lambda i: token(F.lit(16), F.least(more - 6 * i, F.lit(6)) - 3, 2)),
+        many(left, lambda i: token(F.col("value"), F.lit(0), 0)),
+    )
+    return runs.select("key", "run", F.posexplode(F.when(F.col("value") == 0, zeros).otherwise(others)).alias("k", "t")).select("key", "run", "k", "t.token", "t.extra", "t.bits")

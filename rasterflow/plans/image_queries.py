@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rasterflow.operators import blocks, container, entropy, pixels
+from rasterflow.operators import blocks, container, entropy, metadata, pixels, resample
 from rasterflow.plans.queries import register
 
 
@@ -299,3 +300,57 @@ def webp_containers(spark, sf_dir):
 def page_file_types(spark, sf_dir):
     head = container.head_facts(F.encode(F.substring("html", 1, 64), "UTF-8"))
     return table(spark, sf_dir, "pages").select("page_id", head.alias("h")).select("page_id", "h.type", "h.status")
+
+
+#: The doubled plane: along rows, then along columns.
+DOUBLED = """hf AS (SELECT image_id, y // 2 y, x // 2 x, CAST(sum(g) AS BIGINT) // 4 s FROM px GROUP BY ALL),
+h1 AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY image_id, y ORDER BY x), s) p, coalesce(lead(s) OVER (PARTITION BY image_id, y ORDER BY x), s) n FROM hf),
+h2 AS (SELECT image_id, y, 2 * x + k x, (3 * s + CASE k WHEN 0 THEN p ELSE n END + 2) >> 2 s FROM h1, (VALUES (0), (1)) v(k)),
+v1 AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY image_id, x ORDER BY y), s) p, coalesce(lead(s) OVER (PARTITION BY image_id, x ORDER BY y), s) n FROM h2),
+v2 AS (SELECT image_id, 2 * y + k y, x, (3 * s + CASE k WHEN 0 THEN p ELSE n END + 2) >> 2 s FROM v1, (VALUES (0), (1)) v(k))"""
+
+
+@register("chroma_upsampling", f"WITH {PX}, {DOUBLED} SELECT image_id, y, x, s FROM v2 JOIN sz USING (image_id) WHERE x < w AND y < h")
+def chroma_upsampling(spark, sf_dir):
+    px = derived(spark, sf_dir)
+    return resample.upsampled(resample.chroma_plane(px), pixels.sizes(px))
+
+
+@register("nearest_upsampling", f"WITH {PX} SELECT image_id, y * 2 + j AS y, x * 3 + i AS x, b AS s FROM px, (VALUES (0), (1)) u(j), (VALUES (0), (1), (2)) v(i)")
+def nearest_upsampling(spark, sf_dir):
+    return resample.repeated(derived(spark, sf_dir).select("image_id", "y", "x", F.col("b").alias("s")), 3, 2)
+
+
+NEAR_ROWS = "nb(near, dx, dy) AS (VALUES " + ", ".join(map(str, metadata.neighbours())) + ")"
+
+
+@register(
+    "distance_codes",
+    f"""WITH {NEAR_ROWS}, d AS (SELECT p_partkey, p_size AS width, p_partkey % 400 + 1 AS distance FROM part),
+t AS (SELECT width, greatest(dx + dy * width, 1) AS distance, min(near) near FROM (SELECT DISTINCT width FROM d), nb GROUP BY ALL)
+SELECT d.p_partkey, d.width, d.distance, CAST(coalesce(near, d.distance + 120) AS BIGINT) AS code FROM d LEFT JOIN t ON t.width = d.width AND t.distance = d.distance""",
+)
+def distance_codes(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("width"), (F.col("p_partkey") % 400 + 1).alias("distance"))
+    return metadata.distance_codes(d).withColumn("code", F.col("code").cast("long"))
+
+
+@register(
+    "png_formats",
+    """SELECT p_partkey, p_size % 8 AS color_type, CAST(1 << (p_partkey % 6) AS INTEGER) AS depth, (p_size % 8 = 0 AND p_partkey % 6 < 5) OR (p_size % 8 = 3 AND p_partkey % 6 < 4)
+OR (p_size % 8 IN (2, 4, 6) AND p_partkey % 6 IN (3, 4)) AS legal FROM part""",
+)
+def png_formats(spark, sf_dir):
+    formats = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 8).alias("color_type"), F.expr("CAST(shiftleft(1, CAST(p_partkey % 6 AS INT)) AS INT)").alias("depth"))
+    return metadata.png_format_legal(formats)
+
+
+@register(
+    "profile_assembly",
+    """WITH s AS (SELECT conv_id, max(turn) + 1 total, count(DISTINCT turn) n, string_agg(coalesce(text, ''), '' ORDER BY turn) t FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN n = total THEN md5(t) END AS digest FROM s""",
+)
+def profile_assembly(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("total", F.max(F.col("turn") + 1).over(Window.partitionBy("conv_id")))
+    parts = turns.select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).alias("seq"), "total", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    return metadata.assembled_profiles(parts).select("path", F.md5("profile").alias("digest"))

@@ -9,7 +9,7 @@ from rasterflow.operators.container import head_facts
 
 
 def heads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, head): one row per file, unreadable ones with status 'error'."""
+    """(path, length, head): one row per file, unreadable ones with status 'error'. Spark's file source passes empty files over."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "length", head_facts(F.substring("content", 1, 64)).alias("head"))
 
