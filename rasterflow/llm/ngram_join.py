@@ -334,50 +334,56 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     named = texts.where("id IS NOT NULL")
     sizes = staged(set_rows(texts, how.words), "sets")
+    made: list[DataFrame] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        made.append(staged(df, name))
+        return made[-1]
+
     # equal sets: every document hangs on the least id of its class
     classes = sizes.where("id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("many")).where("many > 1")
-    copies = staged(sizes.where("id IS NOT NULL AND n > 0").join(classes, ["hi", "lo"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
+    copies = held(sizes.where("id IS NOT NULL AND n > 0").join(classes, ["hi", "lo"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
 
     local = staged(key_rows(named, how), "keys")
     found = local.where("follows").select("key", "node", "tag", "spare").unionByName(met(local.where("NOT follows")))
     found = found.join(copies.select(F.col("v").alias("node"), F.col("u").alias("rep")), "node", "left")
-    found = staged(found.select("key", F.coalesce("rep", "node").alias("node"), "tag", "spare").distinct(), "found")
+    found = held(found.select("key", F.coalesce("rep", "node").alias("node"), "tag", "spare").distinct(), "found")
     unstage(local)
     # a set's most frequent keys go, as many as it can spare
     often = found.join(found.groupBy("key").agg(F.count("*").alias("often")), "key").where("often > 1")
     place = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("often"), "key"))
-    members = staged(often.withColumn("place", place).where("place > spare").select("key", "node").distinct(), "members")
-    stars = staged(stars_of(members), "stars")
+    members = held(often.withColumn("place", place).where("place > spare").select("key", "node").distinct(), "members")
+    stars = held(stars_of(members), "stars")
 
-    pairs = staged(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "pairs")
+    pairs = held(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "pairs")
     nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = staged(set_values(named.join(nodes, "id").select("id", "text"), how.words), "set-values")
+    sets = held(set_values(named.join(nodes, "id").select("id", "text"), how.words), "set-values")
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
     labels = staged(components(verified(best.select("u", "v"), sets, how)), "labels")
     done = best.select("u", "v")
-    rest = staged(labelled(pairs.select("u", "v").join(done, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
+    rest = held(labelled(pairs.select("u", "v").join(done, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
     if not rest.isEmpty():
         labels = merged(labels, verified(rest, sets, how))
     done = pairs.select("u", "v")
 
     # buckets with a star pair that does not link: their nodes, as (key, node, component)
     open_keys = labelled(stars, labels).where("cu <> cv").select("key").distinct()
-    members = staged(members.join(open_keys, "key", "left_semi"), "members")
+    members = held(members.join(open_keys, "key", "left_semi"), "members")
     while not members.isEmpty():
         now = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("c"))
         largest = now.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("parts"))
         marked = now.join(largest.where("parts > 1"), "key")
         outside = marked.where("c <> most").withColumn("r", F.expr("row_number() OVER (PARTITION BY key ORDER BY node)")).where(f"r <= {BLOCK}")
-        picked = staged(outside.select("key", F.col("node").alias("p"), F.col("c").alias("cp")), "picked")
+        picked = held(outside.select("key", F.col("node").alias("p"), F.col("c").alias("cp")), "picked")
         meet = marked.select("key", "node", "c").join(picked, "key").where("c <> cp").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-        fresh = staged(meet.join(done, ["u", "v"], "left_anti"), "pairs")
+        fresh = held(meet.join(done, ["u", "v"], "left_anti"), "pairs")
         labels = merged(labels, verified(fresh, sets, how))
         done = done.unionByName(fresh)
         # a picked node has met all others of its bucket
-        members = staged(marked.select("key", "node").join(picked.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti"), "members")
+        members = held(marked.select("key", "node").join(picked.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti"), "members")
 
-    unstage(sets)
     labels = merged(labels, copies)
+    unstage(*made)
     return sizes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
 
 
