@@ -23,16 +23,19 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) already are stars around their least nodes: no v hangs twice, and no u hangs itself."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("hangs")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("hangs"))
+    )
+    return roles.groupBy("node").agg(F.max("centre").alias("c"), F.sum("hangs").alias("h")).where("h > 1 OR h = 1 AND c = 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Rows (node, label) for every node that a link (u, v) names; label is the least node of its component."""
-    edges, last = staged(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges"), None
-    while True:
+    edges = staged(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    while not settled(edges):
         new = staged(_star(_star(edges, True), False), "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         unstage(edges)
         edges = new
-        if now == last:
-            break
-        last = now
-    # each node now hangs on the least one
-    return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())

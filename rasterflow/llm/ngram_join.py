@@ -12,7 +12,7 @@ differ by two or more; as that budget (2 a subset, 1 for a single element) excee
 is too small indexes every element. Sets of equal content are one node throughout.
 
 Keys of a large group meet in one bucket. Each input task sends one of its nodes of a key on, so a bucket receives one row
-per task at most. A bucket's nodes are compared with its least one, a star; the pair with most common keys first. Before
+per task at most. A bucket's nodes are compared with its most shared one, a star; the pair with most common keys first. Before
 whole sets are compared, counts of elements per hash slot bound the difference of a pair from below. Only pairs not yet connected are verified after that. In a bucket where a pair
 failed, every node outside the largest component is compared with all nodes of other components, by rounds of at most
 ``BLOCK`` of them, until the bucket is settled: no link between different texts is lost.
@@ -239,9 +239,27 @@ def met(firsts: DataFrame) -> DataFrame:
 
 
 def stars_of(members: DataFrame) -> DataFrame:
-    """(key, u, v): the other nodes v of a key and its least node u."""
-    least = members.groupBy("key").agg(F.min("node").alias("u"))
-    return members.select("key", F.col("node").alias("v")).join(least, "key").where("u < v").select("key", "u", "v")
+    """(key, u, v): the other nodes v of a key and its centre u, the node whose keys are shared most (least id among
+    equals): an original rather than one of its edited copies, so that one star links most of a group."""
+    shared = members.groupBy("node").agg(F.sum("often").alias("weight"))
+    weighed = members.select("key", "node").join(shared, "node")
+    centre = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("u"))
+    return members.select("key", F.col("node").alias("v")).join(centre, "key").where("u <> v").select("key", "u", "v")
+
+
+#: Bits of the prefilter below: one megabyte, whatever the corpus.
+FILTER_BITS = 1 << 23
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, text) of the wanted nodes. A bitmap of their hashes, of fixed size, is broadcast to spare the join most other
+    texts; where it is full, the join does all the work."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    byte = 1 << 15  # bits of one row of the bitmap
+    bitmap = nodes.select(bit("id").alias("h")).groupBy(F.expr(f"h DIV {byte}").alias("part")).agg(F.bitmap_construct_agg(F.pmod("h", F.lit(byte))).alias("bits"))
+    marked = docs.withColumn("h", bit("id")).join(F.broadcast(bitmap), F.expr(f"h DIV {byte}") == F.col("part"))
+    hit = F.conv(F.hex(F.expr(f"substring(bits, CAST(pmod(h, {byte}) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return marked.where(hit.bitwiseAND(F.expr("shiftleft(1, CAST(pmod(h, 8) AS INT))")) != 0).select("id", "text").join(nodes, "id")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -352,19 +370,21 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
     # a set's most frequent keys go, as many as it can spare
     often = found.join(found.groupBy("key").agg(F.count("*").alias("often")), "key").where("often > 1")
     place = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("often"), "key"))
-    members = held(often.withColumn("place", place).where("place > spare").select("key", "node").distinct(), "members")
+    members = held(often.withColumn("place", place).where("place > spare").groupBy("key", "node").agg(F.max("often").alias("often")), "members")
     stars = held(stars_of(members), "stars")
+    members = members.drop("often")
 
-    pairs = held(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "pairs")
+    star_pairs = held(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "pairs")
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = ordered(star_pairs)
     nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = held(set_values(named.join(nodes, "id").select("id", "text"), how.words), "set-values")
-    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
-    labels = staged(components(verified(best.select("u", "v"), sets, how)), "labels")
-    done = best.select("u", "v")
-    rest = held(labelled(pairs.select("u", "v").join(done, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
+    sets = held(set_values(texts_of(named, nodes).select("id", "text"), how.words), "set-values")
+    best = ordered(star_pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")))
+    labels = staged(components(verified(best, sets, how)), "labels")
+    rest = held(labelled(pairs.join(best, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
     if not rest.isEmpty():
         labels = merged(labels, verified(rest, sets, how))
-    done = pairs.select("u", "v")
+    done = pairs
 
     # buckets with a star pair that does not link: their nodes, as (key, node, component)
     open_keys = labelled(stars, labels).where("cu <> cv").select("key").distinct()
