@@ -39,15 +39,22 @@ CHUNK = "block long, bucket int, kind string, keys binary, heads binary, counts
 ARROW_CHUNK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("heads", pa.binary()), ("counts", pa.binary())])
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers with bytes of equal weight together: small ones compress to little more than their lowest byte."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def from_planes(b: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def spread(x: np.ndarray) -> bytes:
-    """Differences of integers, bytes of equal weight together: ascending or small ones compress well."""
-    d = np.diff(x, prepend=x.dtype.type(0)) if len(x) else x
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    """Keys in order, as planes of their differences."""
+    return planes(np.diff(x, prepend=x.dtype.type(0)) if len(x) else x)
 
 
-def gathered(b: bytes, kind=np.uint64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel(), dtype=kind)
+def gathered(b: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(b, np.uint64), dtype=np.uint64)
 
 
 def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +105,7 @@ def chunk_rows(block: int, kind: str, buckets: int, keys: np.ndarray, heads: np.
     for b, (a, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
         if e > a:
             o = order[a:e]
-            rows.append((block, b, kind, spread(keys[o]), b"" if heads is None else spread(heads[o]), spread(counts[o])))
+            rows.append((block, b, kind, spread(keys[o]), b"" if heads is None else spread(heads[o]), planes(counts[o])))
     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ARROW_CHUNK)] if rows else [pa.array([], t.type) for t in ARROW_CHUNK], schema=ARROW_CHUNK)
 
 
@@ -162,7 +169,7 @@ def added_up(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
     def close(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         own = [r for r in rows if r["kind"] == kind]
         k = [gathered(r["keys"]) for r in own]
-        c = [gathered(r["counts"], np.uint32).astype(np.int64) for r in own]
+        c = [from_planes(r["counts"], np.uint32).astype(np.int64) for r in own]
         block = np.repeat(np.array([r["block"] for r in own], np.int64), [len(x) for x in k])
         k, c = np.concatenate(k or [np.zeros(0, np.uint64)]), np.concatenate(c or [np.zeros(0, np.int64)])
         order = np.argsort(k, kind="stable")
@@ -173,7 +180,7 @@ def added_up(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
         if kind == "word":
             for r in rows:
                 if r["kind"] == "next":
-                    nk, nc = gathered(r["keys"]), gathered(r["counts"], np.uint32)
+                    nk, nc = gathered(r["keys"]), from_planes(r["counts"], np.uint32)
                     at = np.searchsorted(k[first], nk)
                     np.add.at(follow, at, nc.astype(np.int64))
         else:
@@ -185,12 +192,14 @@ def added_up(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
         which = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(k)]])))
         # blocks that hold a key alone know its count; a block's chunk may come in two parts, which also get an answer
         many = np.diff(np.concatenate([first, [len(k)]]))[which] > 1
+        if kind == "pair":
+            many &= total[which] != c  # nor needs one whose own count is all there is
         by = np.lexsort((which[many], block[many]))
         b, w = block[many][by], which[many][by]
         cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])).tolist() if len(b) else []
         for a, e in zip(cuts, [*cuts[1:], len(b)]):
             u = np.unique(w[a:e])
-            out.append((int(b[a]), 0, "answer", spread(k[first][u]), spread(follow[u]), spread(total[u])))
+            out.append((int(b[a]), 0, "answer", spread(k[first][u]), planes(follow[u]), planes(total[u])))
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), ARROW_CHUNK)], schema=ARROW_CHUNK)
 
     def run(batches):
@@ -299,7 +308,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
                     at = to
                 else:
                     k, f, c = (batch.column(i)[at].as_py() for i in (5, 6, 7))
-                    answers[kinds[at]].append((gathered(k), gathered(f, np.int64), gathered(c, np.int64)))
+                    answers[kinds[at]].append((gathered(k), from_planes(f, np.int64), from_planes(c, np.int64)))
                     at += 1
         if block:
             yield from score(block, answers)
