@@ -57,6 +57,18 @@ def gathered(b: bytes) -> np.ndarray:
     return np.cumsum(from_planes(b, np.uint64), dtype=np.uint64)
 
 
+def packed_runs(x: np.ndarray) -> bytes:
+    """Ascending keys with repeats: how many distinct ones, these in order, and how often each comes."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    often = np.diff(np.append(first, len(x))).astype(np.uint32)
+    return len(first).to_bytes(8, "little") + spread(x[first]) + planes(often)
+
+
+def unpacked_runs(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.repeat(gathered(b[8 : 8 + 8 * n]), from_planes(b[8 + 8 * n :], np.uint32))
+
+
 def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all tokens, an end after each text; number of tokens of each text)."""
     if not _WORDS:
@@ -105,7 +117,7 @@ def chunk_rows(block: int, kind: str, buckets: int, keys: np.ndarray, heads: np.
     for b, (a, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
         if e > a:
             o = order[a:e]
-            rows.append((block, b, kind, spread(keys[o]), b"" if heads is None else spread(heads[o]), planes(counts[o])))
+            rows.append((block, b, kind, spread(keys[o]), b"" if heads is None else packed_runs(heads[o]), planes(counts[o])))
     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ARROW_CHUNK)] if rows else [pa.array([], t.type) for t in ARROW_CHUNK], schema=ARROW_CHUNK)
 
 
@@ -184,7 +196,7 @@ def added_up(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
                     at = np.searchsorted(k[first], nk)
                     np.add.at(follow, at, nc.astype(np.int64))
         else:
-            heads = np.concatenate([gathered(r["heads"]) for r in own] or [np.zeros(0, np.uint64)])[order][first][total > 0]
+            heads = np.concatenate([unpacked_runs(r["heads"]) for r in own] or [np.zeros(0, np.uint64)])[order][first][total > 0]
             h, n = np.unique(heads, return_counts=True)
             yield from chunk_rows(-1, "next", buckets, h, None, n.astype(np.uint32))
         stat = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
@@ -248,6 +260,9 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     words = staged(added_up(emitted(texts, "word", buckets).unionByName(pairs.where("kind = 'next'")), "word", buckets), "lm-words")
     total, distinct, w1, w2 = statistics(words)
     _, _, p1, p2 = statistics(pairs)
+    answers_only = staged(pairs.where("kind = 'answer'"), "lm-answers")  # the continuation counts have been used
+    unstage(pairs)
+    pairs = answers_only
     d1, d2 = discount(w1, w2), discount(p1, p2)
 
     def score(block: list[tuple], answers: dict[str, list]) -> Iterator[pa.RecordBatch]:
