@@ -148,6 +148,8 @@ def emitted(texts: DataFrame, kind: str, buckets: int) -> DataFrame:
 
         def close():
             k, h = np.concatenate(keys), np.concatenate(heads)
+            keys.clear(), heads.clear()
+            pa.default_memory_pool().release_unused()
             k, place, count = counted(pair_keys(h, k) if kind == "pair" else k, np.concatenate(train))
             return chunk_rows(block, kind, buckets, k, h[place] if kind == "pair" else None, count)
 
@@ -211,7 +213,7 @@ def added_up(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])).tolist() if len(b) else []
         for a, e in zip(cuts, [*cuts[1:], len(b)]):
             u = np.unique(w[a:e])
-            out.append((int(b[a]), 0, "answer", spread(k[first][u]), planes(follow[u]), planes(total[u])))
+            out.append((int(b[a]), 0, "answer", spread(k[first][u]), b"" if kind == "pair" else planes(follow[u]), planes(total[u])))
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), ARROW_CHUNK)], schema=ARROW_CHUNK)
 
     def run(batches):
@@ -269,13 +271,20 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
         got = [token_keys(t) for _, _, t in block]
         keys, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         held = np.concatenate([np.asarray(h, bool) for _, h, _ in block])
+        ids = [i for k, _, _ in block for i in k]
+        # the texts and what is done with go at once: a block's arrays are the most that a task holds
+        del got
+        block.clear()
+        pa.default_memory_pool().release_unused()
         train = np.repeat(~held, n)
         heads = contexts(keys, n)
         # root: the words of this block, by place in `vocab`
         vocab, _, seen = counted(keys, train)
         seen = seen.astype(np.int64)
-        at = np.searchsorted(vocab, keys)
-        arcs, place, arc_n = counted(pair_keys(heads, keys), train)
+        at = np.searchsorted(vocab, keys).astype(np.int32)
+        pairs = pair_keys(heads, keys)
+        del keys
+        arcs, place, arc_n = counted(pairs, train)
         arc_n = arc_n.astype(np.int64)
         # continuations of a word nobody else holds: its pairs here
         follow = np.bincount(np.searchsorted(vocab, heads[place[arc_n > 0]]), minlength=len(vocab)).astype(np.int64)
@@ -284,20 +293,24 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
             seen[where], follow[where] = c, f
         for k, _, c in answers["pair"]:
             arc_n[np.searchsorted(arcs, k)] = c
-        head = np.searchsorted(vocab, heads)
+        answers.clear()
+        head = np.searchsorted(vocab, heads).astype(np.int32)
+        del heads, train
         with np.errstate(divide="ignore", invalid="ignore"):
             root = np.where(seen > 0, (seen - d1) / total, d1 * distinct / total) if total else np.ones(len(vocab))
             fail = np.where(seen > 0, d2 * follow / seen, 1.0)
             arc = np.where(arc_n > 0, (arc_n - d2) / seen[head[place]], 0.0)
             weight = np.log10(arc + fail[head[place]] * root[at[place]])
-            failed = np.log10(fail)[head] + np.log10(root)[at]
+            step = np.log10(fail)[head]
+            step += np.log10(root)[at]
         # the traversal: state = word before; its arc, else failure and root
-        which = np.searchsorted(arcs, pair_keys(heads, keys))
-        step = np.where(arc_n[which] > 0, weight[which], failed)
-        base = np.log10((seen[at] + 1) / (total + distinct + 1))
+        which = np.searchsorted(arcs, pairs).astype(np.int32)
+        del pairs, head
+        hit = arc_n[which] > 0
+        step[hit] = weight[which[hit]]
+        base = np.log10((seen + 1) / (total + distinct + 1))[at]
         start = np.cumsum(n) - n
         known = np.add.reduceat((seen[at] > 0).astype(np.int64), start)
-        ids = [i for k, _, _ in block for i in k]
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(step, start))],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -323,7 +336,7 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
                     at = to
                 else:
                     k, f, c = (batch.column(i)[at].as_py() for i in (5, 6, 7))
-                    answers[kinds[at]].append((gathered(k), from_planes(f, np.int64), from_planes(c, np.int64)))
+                    answers[kinds[at]].append((gathered(k), from_planes(f, np.int64) if f else None, from_planes(c, np.int64)))
                     at += 1
         if block:
             yield from score(block, answers)
