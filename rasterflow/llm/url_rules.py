@@ -1,6 +1,6 @@
 """URL filters [native]: association-rule filtering.
 
-URLs become baskets of tokens (host labels with their distance from the end, path segments); those labelled "block" get
+URLs become baskets of tokens (host labels with their distance from the end, path segments, parameters of the query); those labelled "block" get
 a class item too. URLs without a label stay in as background, so that a token which is merely common among the labels
 gains no confidence. FP-growth finds the frequent combinations; rules "tokens => block" pruned by support, confidence and length decide the
 other URLs. Matching goes through an inverted index: a rule is filed under one of its tokens, a URL looks up its own
@@ -48,12 +48,21 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels as h<distance from the end>:<label>, the first two path segments as p<place>:<segment>."""
-    labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, 2)
+def query_of(url: Column) -> Column:
+    """The query between '?' and '#': empty where the URL is null, has no '://' or no query."""
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
+    return F.coalesce(F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+def tokens(host: Column, path: Column, query: Column) -> Column:
+    """Distinct tokens: host labels as h<distance from the end>:<label>, path segments as p<place>:<segment>, from the third
+    on without their place as p:<segment>, and parameters of the query as q:<parameter>."""
+    filled = lambda c, by: F.filter(F.split(c, by), lambda x: x != "")
+    labels, parts = F.reverse(filled(host, r"\.")), filled(path, "/")
     name = lambda kind: lambda x, i: F.concat(F.lit(kind), i.cast("string"), F.lit(":"), x)
-    return F.array_distinct(F.concat(F.transform(labels, name("h")), F.transform(parts, name("p"))))
+    plain = lambda kind: lambda x: F.concat(F.lit(kind), x)
+    deep = F.transform(F.slice(parts, 3, F.size(parts)), plain("p:"))
+    return F.array_distinct(F.concat(F.transform(labels, name("h")), F.transform(F.slice(parts, 1, 2), name("p")), deep, F.transform(filled(query, "&"), plain("q:"))))
 
 
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
@@ -75,7 +84,7 @@ def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Minin
     host, path = split_url(F.col(url_col))
     cut = pages.withColumn("host", pinned(host)).withColumn("path", pinned(path))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    cut = cut.withColumn("rule", rule).withColumn("_said", verdict).withColumn("_tokens", pinned(tokens(F.col("host"), F.col("path"))))
+    cut = cut.withColumn("rule", rule).withColumn("_said", verdict).withColumn("_tokens", pinned(tokens(F.col("host"), F.col("path"), query_of(F.col(url_col)))))
     mined = mine(cut.select(F.col("_tokens").alias("tokens"), (F.col("_said") == "block").alias("blocked")), mining)
     # one index entry for each filing token: its rules; their number is bounded by 1 / support and the rule length
     index = mined.groupBy("key").agg(F.collect_list("rule_tokens").alias("rules"))
