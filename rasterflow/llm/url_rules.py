@@ -1,10 +1,10 @@
 """URL filters [native]: association-rule filtering.
 
-URLs become baskets of tokens (host labels with their distance from the end, path segments, parameters of the query); those labelled "block" get
-a class item too. URLs without a label stay in as background, so that a token which is merely common among the labels
-gains no confidence. FP-growth finds the frequent combinations; rules "tokens => block" pruned by support, confidence and length decide the
-other URLs. Matching goes through an inverted index: a rule is filed under one of its tokens, a URL looks up its own
-tokens and then tests the rest of each rule found.
+URLs become baskets of tokens (host labels with their distance from the end, path segments, parameters of the query);
+those labelled "block" get a class item too. URLs without a label stay in as background, so that a token which is merely
+common among the labels gains no confidence. FP-growth finds the frequent combinations; rules "tokens => block" pruned by
+support and confidence decide the other URLs. Matching goes through an inverted index: a rule is filed under one of its
+tokens, a URL looks up its own tokens and then tests the rest of each rule found.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ BLOCK = "=block"
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share of all URLs that a rule and the class have together, least confidence, and most tokens of a rule."""
+    """Least share of all URLs that a rule and the class have together, and least confidence."""
 
     support: float = 0.002
     confidence: float = 0.95
-    tokens: int = 3
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -66,11 +65,16 @@ def tokens(host: Column, path: Column, query: Column) -> Column:
 
 
 def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """Rules from rows (tokens, blocked): tokens, key (the token that files it). No rows, no rules."""
+    """Rules from rows (tokens, blocked): tokens, key (the token that files it). No rows, no rules.
+
+    Rules of all lengths stay, but for those that are a rule without one of their tokens too: that one decides the same URLs.
+    """
     baskets = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= mining.tokens))
-    return found.select(F.sort_array("antecedent").alias("rule_tokens")).withColumn("key", F.element_at("rule_tokens", -1))
+    found = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.sort_array("antecedent").alias("rule_tokens"))
+    parts = found.select("rule_tokens", F.explode(F.transform("rule_tokens", lambda t: F.array_remove("rule_tokens", t))).alias("part"))
+    longer = parts.join(found.select(F.col("rule_tokens").alias("part")), "part", "left_semi").select("rule_tokens")
+    return found.join(longer, "rule_tokens", "left_anti").withColumn("key", F.element_at("rule_tokens", -1))
 
 
 def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Mining = Mining()) -> DataFrame:
@@ -86,7 +90,7 @@ def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Minin
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     cut = cut.withColumn("rule", rule).withColumn("_said", verdict).withColumn("_tokens", pinned(tokens(F.col("host"), F.col("path"), query_of(F.col(url_col)))))
     mined = mine(cut.select(F.col("_tokens").alias("tokens"), (F.col("_said") == "block").alias("blocked")), mining)
-    # one index entry for each filing token: its rules; their number is bounded by 1 / support and the rule length
+    # one index entry for each filing token: its rules; their number is bounded by 1 / support and the tokens of a URL
     index = mined.groupBy("key").agg(F.collect_list("rule_tokens").alias("rules"))
     index = index.agg(F.map_from_entries(F.collect_list(F.struct("key", "rules"))).alias("_index"))
     judged = cut.crossJoin(F.broadcast(index))  # one row
