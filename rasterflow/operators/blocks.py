@@ -66,19 +66,25 @@ def macroblock_stats(pixels: DataFrame, sample: str = "r", size: int = 16) -> Da
 def mode_scores(pixels: DataFrame, sample: str = "r", size: int = 16) -> DataFrame:
     """Absolute error of each whole-block predictor on source pixels: (image_id, mby, mbx, mode, sad).
 
-    Modes: 1 vertical, 2 horizontal, 3 true motion (left + above - corner, clamped). Outside the image the row above is
-    127 and the column to the left 129. Edges are looked up with three equi-joins on the block.
+    Modes: 0 the mean of the edges inside the image, rounded half up, or 128 without any; 1 vertical, 2 horizontal, 3 true
+    motion (left + above - corner, clamped). For modes 1 to 3 the row above is 127 outside the image and the column to the
+    left 129. Edges are looked up with three equi-joins on the block, their means with a fourth.
     """
     px = pixels.select("image_id", "y", "x", F.col(sample).alias("s"), floor_div(F.col("y"), size).alias("mby"), floor_div(F.col("x"), size).alias("mbx"))
     last_row = px.where(f"y % {size} = {size - 1}").select("image_id", (F.col("mby") + 1).alias("mby"), "x", F.col("s").alias("above"))
     last_col = px.where(f"x % {size} = {size - 1}").select("image_id", (F.col("mbx") + 1).alias("mbx"), "y", F.col("s").alias("left"))
     corner = px.where(f"x % {size} = {size - 1} AND y % {size} = {size - 1}").select("image_id", (F.col("mby") + 1).alias("mby"), (F.col("mbx") + 1).alias("mbx"), F.col("s").alias("corner"))
+    edges = px.where(f"y % {size} = {size - 1}").select("image_id", (F.col("mby") + 1).alias("mby"), "mbx", "s").unionByName(
+        px.where(f"x % {size} = {size - 1}").select("image_id", "mby", (F.col("mbx") + 1).alias("mbx"), "s")
+    )
+    mean = edges.groupBy("image_id", "mby", "mbx").agg(F.expr("(2 * sum(s) + count(s)) div (2 * count(s))").alias("mean"))
     near = px.join(last_row, ["image_id", "mby", "x"], "left").join(last_col, ["image_id", "mbx", "y"], "left").join(corner, ["image_id", "mby", "mbx"], "left")
+    near = near.join(mean, ["image_id", "mby", "mbx"], "left")
     a, l = F.coalesce("above", F.lit(127)), F.coalesce("left", F.lit(129))
     p = F.coalesce("corner", F.when(F.col("mby") == 0, F.lit(127)).otherwise(F.lit(129)))
-    errors = [F.sum(F.abs(F.col("s") - c)).alias(f"m{k}") for k, c in ((1, a), (2, l), (3, clamp255(a + l - p)))]
+    errors = [F.sum(F.abs(F.col("s") - c)).alias(f"m{k}") for k, c in ((0, F.coalesce("mean", F.lit(128))), (1, a), (2, l), (3, clamp255(a + l - p)))]
     sums = near.groupBy("image_id", "mby", "mbx").agg(*errors)
-    return sums.select("image_id", "mby", "mbx", F.expr("stack(3, 1, m1, 2, m2, 3, m3) AS (mode, sad)"))
+    return sums.select("image_id", "mby", "mbx", F.expr("stack(4, 0, m0, 1, m1, 2, m2, 3, m3) AS (mode, sad)"))
 
 
 def best_mode(scores: DataFrame) -> DataFrame:
