@@ -50,11 +50,15 @@ def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 
 def prefix_codes(values: DataFrame, value: str = "value") -> DataFrame:
-    """Values from 1 with their prefix code, number of extra bits, and extra bits: a range join to 40 segments."""
-    segments = [(p, 0, p, p) for p in range(4)] + [(p, (p - 2) >> 1, o, o + (1 << ((p - 2) >> 1)) - 1) for p in range(4, 40) for o in [(2 + (p & 1)) << ((p - 2) >> 1)]]
+    """Rows with prefix code, number of extra bits, extra bits, and status: a range join to 40 segments.
+
+    The format codes 1 to 1,048,576; other values and nulls are rows with null codes and status 'error'.
+    """
+    segments = [(p, 0, p + 1, p + 1) for p in range(4)] + [(p, (p - 2) >> 1, o + 1, o + (1 << ((p - 2) >> 1))) for p in range(4, 40) for o in [(2 + (p & 1)) << ((p - 2) >> 1)]]
     table = F.broadcast(values.sparkSession.createDataFrame(segments, "prefix int, extra_bits int, low long, high long"))
-    v = F.col(value) - 1
-    return values.join(table, (v >= F.col("low")) & (v <= F.col("high"))).select(*values.columns, "prefix", "extra_bits", (v - F.col("low")).alias("extra"))
+    v = F.col(value)
+    found = values.join(table, (v >= F.col("low")) & (v <= F.col("high")), "left")
+    return found.select(*values.columns, "prefix", "extra_bits", (v - F.col("low")).alias("extra"), F.when(F.col("prefix").isNull(), "error").otherwise("ok").alias("status"))
 
 
 def code_length_tokens(runs: DataFrame) -> DataFrame:

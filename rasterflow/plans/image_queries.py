@@ -274,7 +274,7 @@ sr AS (SELECT prefix, eb, CASE WHEN prefix < 4 THEN prefix ELSE CAST(2 + (prefix
 SELECT p_partkey, p_partkey + 1 AS value, prefix, eb AS extra_bits, p_partkey - lo AS extra FROM part JOIN sr ON p_partkey >= lo AND p_partkey < lo + span""",
 )
 def prefix_codes(spark, sf_dir):
-    return entropy.prefix_codes(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") + 1).alias("value")))
+    return entropy.prefix_codes(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") + 1).alias("value"))).drop("status")  # the SQL has none
 
 
 @register(
