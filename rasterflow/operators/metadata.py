@@ -23,6 +23,8 @@ FRAME_KINDS = {
     0xCE: "differential arithmetic progressive",
     0xCF: "differential arithmetic lossless",
 }
+#: Fixed value: most parts of a profile, as one byte counts them.
+MOST_PARTS = 255
 #: Fixed values (lossless bitstream specification): neighbour offsets x,y in order of their distance codes 1 to 120.
 NEIGHBOURS = """
 0,1 1,0 1,1 -1,1 0,2 2,0 1,2 -1,2 2,1 -2,1 2,2 -2,2 0,3 3,0 1,3 -1,3 3,1 -3,1 2,3 -2,3 3,2 -3,2 0,4 4,0 1,4 -1,4 4,1 -4,1 3,3 -3,3 2,4 -2,4 4,2 -4,2
@@ -51,16 +53,22 @@ def frame_kinds(markers: DataFrame) -> DataFrame:
 
 
 def assembled_profiles(parts: DataFrame) -> DataFrame:
-    """Profiles from segments (path, seq, total, payload): null unless every part from 1 to the total is there.
+    """Profiles from segments (path, seq, total, payload) with a status: null and 'error' unless every part from 1 to the
+    total is there.
 
-    A file has at most 255 parts, so one row's list is bounded; of parts with one number the longest stays.
+    The format numbers parts in one byte, so a path with a total beyond 255 is invalid. Counts settle that before payloads
+    are collected, and one row's list is bounded; of parts with one number the longest stays.
     """
-    own = parts.where("seq >= 1 AND total >= 1 AND seq <= total").groupBy("path", "seq").agg(
-        F.max("total").alias("total"), F.max_by("payload", F.struct(F.octet_length("payload"), F.hex("payload"))).alias("payload")
-    )
-    whole = own.groupBy("path").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("p"))
+    legal = F.coalesce(F.expr("seq >= 1 AND total >= 1 AND seq <= total"), F.lit(False))
+    numbers = parts.groupBy("path", F.when(legal, F.col("seq")).alias("seq")).agg(F.max(F.when(legal, F.col("total"))).alias("total"))
+    counts = numbers.groupBy("path").agg(F.count("seq").alias("n"), F.max("total").alias("total"))
+    counts = counts.select("path", F.coalesce((F.col("n") == F.col("total")) & (F.col("total") <= MOST_PARTS), F.lit(False)).alias("whole"))
+    own = parts.where(legal & (F.col("seq") <= MOST_PARTS)).groupBy("path", "seq").agg(F.max_by("payload", F.struct(F.octet_length("payload"), F.hex("payload"))).alias("payload"))
+    own = own.join(counts.where("whole").select("path"), "path", "left_semi")
+    lists = own.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("p"))
     joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["payload"])), ""))
-    return whole.select("path", F.when(F.size("p") == F.col("total"), joined).alias("profile"))
+    out = counts.join(lists.select("path", joined.alias("profile")), "path", "left")
+    return out.select("path", "profile", F.when(F.col("whole"), "ok").otherwise("error").alias("status"))
 
 
 def distance_codes(distances: DataFrame) -> DataFrame:

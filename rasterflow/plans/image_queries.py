@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.operators import blocks, container, entropy, metadata, pixels, resample
@@ -351,6 +350,6 @@ def png_formats(spark, sf_dir):
 SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN n = total THEN md5(t) END AS digest FROM s""",
 )
 def profile_assembly(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("total", F.max(F.col("turn") + 1).over(Window.partitionBy("conv_id")))
-    parts = turns.select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).alias("seq"), "total", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
+    seq = F.col("turn") + 1  # each turn says that it is the last; the greatest total of a path counts
+    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), seq.alias("seq"), seq.alias("total"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
     return metadata.assembled_profiles(parts).select("path", F.md5("profile").alias("digest"))
