@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from rasterflow.functions.integers import be_uint, le32, le_uint
 
 PNG_MAGIC = "89504E470D0A1A0A"
+#: Bytes of a file that its head facts need: the longest BMP header, and masks behind it.
+HEAD_BYTES = 160
+#: Lengths of BMP headers that can hold or precede channel masks.
+BMP_HEADS = (40, 52, 56, 108, 124)
+ALPHA_POLICIES = {"keep": "kept", "flatten": "flattened", "fail": "failed"}
 
 
 def riff_chunk(name: str, payload: Column) -> Column:
@@ -41,11 +46,23 @@ def file_type(content: Column) -> Column:
     )
 
 
-def head_facts(content: Column) -> Column:
-    """Struct (type, width, height, depth, color_type, may_have_alpha, status) from the head of a file.
+def bmp_has_alpha(content: Column) -> Column:
+    """Whether a BMP of 16 or 32 bits declares an alpha mask that its pixels have room for, in or behind its header."""
+    size, bits, packing = le_uint(content, 14, 4), le_uint(content, 28, 2), le_uint(content, 30, 4)
+    masks = [F.when(size >= most, le_uint(content, 54 + 4 * i, 4)).otherwise(0) for i, most in enumerate((52, 52, 52, 56))]
+    behind = F.coalesce(*(F.when(size == n, le_uint(content, 14 + n + 12, 4)) for n in BMP_HEADS))
+    none = (masks[0] == 0) & (masks[1] == 0) & (masks[2] == 0) & (masks[3] == 0)
+    mask = F.when(none & (packing == 6), behind).otherwise(masks[3])
+    room = ((bits == 16) & (mask < 2**16)) | ((bits == 32) & (mask < 2**32))
+    return F.coalesce(size.isin(*BMP_HEADS) & (packing != 0) & (mask != 0) & room, F.lit(False))
+
+
+def head_facts(content: Column, alpha_policy: str = "keep") -> Column:
+    """Struct (type, width, height, depth, color_type, may_have_alpha, status, alpha_status) from the first HEAD_BYTES of a file.
 
     Width and height are null where the head does not hold them (JPEG sizes lie behind a walk of markers). An unreadable
-    file is a row with status 'error', a WebP source one with 'skipped_webp'.
+    file is a row with status 'error', a WebP source one with 'skipped_webp'. The policy (keep, flatten, fail) applies to the
+    others: alpha_status is kept, flattened or failed where the format may have alpha, none where not.
     """
     kind = file_type(content)
     chunk = F.substring(content, 13, 4).cast("string")
@@ -59,6 +76,10 @@ def head_facts(content: Column) -> Column:
     height = pick(be_uint(content, 20, 4), signed(le_uint(content, 22, 4)), 1 + le_uint(content, 27, 3), le_uint(content, 28, 2).bitwiseAND(F.lit(0x3FFF)), 1 + F.shiftright(vp8l, 14).bitwiseAND(F.lit(0x3FFF)))
     depth = F.when(kind == "png", be_uint(content, 24, 1)).when(kind == "bmp", le_uint(content, 28, 2))
     color = F.when(kind == "png", be_uint(content, 25, 1))
-    alpha = F.when(kind == "webp", F.lit(True)).when(kind == "png", color.isin(4, 6)).otherwise(F.lit(False))
+    alpha = F.when(kind == "webp", F.lit(True)).when(kind == "png", color.isin(4, 6)).when(kind == "bmp", bmp_has_alpha(content)).otherwise(F.lit(False))
     status = F.when(kind == "webp", "skipped_webp").when(kind.isNull() | ((kind != "jpeg") & width.isNull()), "error").otherwise("ok")
-    return F.struct(kind.alias("type"), width.alias("width"), height.alias("height"), depth.alias("depth"), color.alias("color_type"), alpha.alias("may_have_alpha"), status.alias("status"))
+    policy = F.when(status == "ok", F.when(alpha, ALPHA_POLICIES[alpha_policy]).otherwise("none"))
+    return F.struct(
+        kind.alias("type"), width.alias("width"), height.alias("height"), depth.alias("depth"), color.alias("color_type"), alpha.alias("may_have_alpha"), status.alias("status"),
+        policy.alias("alpha_status"),
+    )

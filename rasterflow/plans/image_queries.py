@@ -297,7 +297,7 @@ def webp_containers(spark, sf_dir):
     "SELECT page_id, CASE WHEN starts_with(html, 'BM') THEN 'bmp' END AS type, CASE WHEN starts_with(html, 'BM') THEN 'ok' ELSE 'error' END AS status FROM pages",
 )
 def page_file_types(spark, sf_dir):
-    head = container.head_facts(F.encode(F.substring("html", 1, 64), "UTF-8"))
+    head = container.head_facts(F.encode(F.substring("html", 1, container.HEAD_BYTES), "UTF-8"))
     return table(spark, sf_dir, "pages").select("page_id", head.alias("h")).select("page_id", "h.type", "h.status")
 
 
