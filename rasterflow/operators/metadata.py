@@ -52,18 +52,19 @@ def frame_kinds(markers: DataFrame) -> DataFrame:
     return out.withColumn("supported", F.col("marker") == 0xC0)
 
 
-def assembled_profiles(parts: DataFrame) -> DataFrame:
+def assembled_profiles(parts: DataFrame, most: int | None = MOST_PARTS) -> DataFrame:
     """Profiles from segments (path, seq, total, payload) with a status: null and 'error' unless every part from 1 to the
     total is there.
 
-    The format numbers parts in one byte, so a path with a total beyond 255 is invalid. Counts settle that before payloads
-    are collected, and one row's list is bounded; of parts with one number the longest stays.
+    The format numbers parts in one byte, so a path with a total beyond ``most`` is invalid. Counts settle that before
+    payloads are collected, and one row's list is bounded, unless ``most`` is None; of parts with one number the longest stays.
     """
+    fits = lambda n: F.lit(True) if most is None else F.col(n) <= most
     legal = F.coalesce(F.expr("seq >= 1 AND total >= 1 AND seq <= total"), F.lit(False))
     numbers = parts.groupBy("path", F.when(legal, F.col("seq")).alias("seq")).agg(F.max(F.when(legal, F.col("total"))).alias("total"))
     counts = numbers.groupBy("path").agg(F.count("seq").alias("n"), F.max("total").alias("total"))
-    counts = counts.select("path", F.coalesce((F.col("n") == F.col("total")) & (F.col("total") <= MOST_PARTS), F.lit(False)).alias("whole"))
-    own = parts.where(legal & (F.col("seq") <= MOST_PARTS)).groupBy("path", "seq").agg(F.max_by("payload", F.struct(F.octet_length("payload"), F.hex("payload"))).alias("payload"))
+    counts = counts.select("path", F.coalesce((F.col("n") == F.col("total")) & fits("total"), F.lit(False)).alias("whole"))
+    own = parts.where(legal & fits("seq")).groupBy("path", "seq").agg(F.max_by("payload", F.struct(F.octet_length("payload"), F.hex("payload"))).alias("payload"))
     own = own.join(counts.where("whole").select("path"), "path", "left_semi")
     lists = own.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("p"))
     joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["payload"])), ""))

@@ -350,6 +350,6 @@ def png_formats(spark, sf_dir):
 SELECT CAST(conv_id AS VARCHAR) AS path, CASE WHEN n = total THEN md5(t) END AS digest FROM s""",
 )
 def profile_assembly(spark, sf_dir):
-    seq = F.col("turn") + 1  # each turn says that it is the last; the greatest total of a path counts
+    seq = F.col("turn") + 1  # each turn says that it is the last; the greatest total of a path counts. Conversations know no limit
     parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), seq.alias("seq"), seq.alias("total"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"))
-    return metadata.assembled_profiles(parts).select("path", F.md5("profile").alias("digest"))
+    return metadata.assembled_profiles(parts, most=None).select("path", F.md5("profile").alias("digest"))

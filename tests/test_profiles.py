@@ -9,3 +9,5 @@ def test_profiles_are_bounded_before_payloads_are_collected(spark):
     got = {r.path: (bytes(r.profile) if r.profile is not None else None, r.status) for r in out}
     bad = (None, "error")
     assert len(out) == 6 and got == {"most": (bytes(range(1, 256)), "ok"), "twice": (b"abc", "ok"), "beyond": bad, "gap": bad, "none": bad, "late": bad}
+    free = {r.path: r.profile for r in metadata.assembled_profiles(spark.createDataFrame(rows, "path string, seq int, total int, payload binary"), most=None).collect()}
+    assert bytes(free["beyond"]) == b"x" * 256 and free["gap"] is free["late"] is free["none"] is None
