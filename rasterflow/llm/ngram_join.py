@@ -1,25 +1,28 @@
 """N-gram Jaccard join: universe-partition pigeonhole.
 
-A document is the set of its distinct word n-grams. For a size band (l, u] two sets with Jaccard similarity t, the
-larger one in the band, differ in at most H = (1 - t) / (1 + t) * 2u elements. The universe is dealt by a hash into
-m = H + 1 + z segments, so at least 1 + z segments of such a pair are equal; a segment's subset is an index key.
-
-Cost-based allocation. An empty subset is in every sparse set and costs most: it is not indexed. A set with e <= z empty
-subsets shares 1 + z - e indexed ones with any similar set, and so can do without its z - e most frequent keys: the least
-frequent common key has z - e more frequent ones in either set. A set with more empty subsets spends on one-deletion
-neighbourhoods: it indexes every subset and each subset less one element, which finds a pair unless all its subsets
-differ by two or more; as that budget (2 a subset, 1 for a single element) exceeds H, none is lost. A set whose budget
-is too small indexes every element. Sets of equal content are one node throughout.
-
-Keys of a large group meet in one bucket. Each input task sends one of its nodes of a key on, so a bucket receives one row
-per task at most. A bucket's nodes are compared with its most shared one, a star; the pair with most common keys first. Before
-whole sets are compared, counts of elements per hash slot bound the difference of a pair from below. Only pairs not yet connected are verified after that. In a bucket where a pair
-failed, every node outside the largest component is compared with all nodes of other components, by rounds of at most
-``BLOCK`` of them, until the bucket is settled: no link between different texts is lost.
+A document is the set of its distinct word n-grams. For a size band (l, u] two sets with Jaccard similarity t, the larger
+one in the band, differ in at most (1 - t) / (1 + t) * (|A| + |B|) elements. The universe is dealt by a hash into more
+segments than the largest of these differences, so some segments of such a pair are equal; a segment's subset is an index
+key.
+
+Cost-based allocation. Small subsets are shared by chance most often, the empty one by every sparse set. A set of size s
+that differs from its partners in at most H(s) elements needs H(s) + 1 of its subsets: those first in one order of all
+subsets, larger ones before smaller ones, so that the first equal subset of a pair is kept by both. The empty subset is
+never indexed. A set with too few others spends on one-deletion neighbourhoods: it indexes every subset and each subset
+less one element, which finds a pair unless all its subsets differ by two or more; as that budget (2 a subset, 1 for a
+single element) exceeds H, none is lost. A set whose budget is too small indexes every element. Sets of equal content are
+one node throughout.
+
+Keys travel as arrays, one chunk for each task and bucket, and only those that two nodes share become rows. Each task
+sends one of its nodes of a key, so a bucket receives one entry of a key per task at most. A key's nodes are compared with
+its most shared one, a star: the star's set is sent once to each group of its followers, which pass it by one after the
+other; sketches (counts of elements per hash slot) bound the difference from below before whole sets move. What stars
+leave open is settled exactly by ``settled_links``: no link between different texts is lost.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +34,19 @@ from pyspark.sql import functions as F
 
 from rasterflow.llm.common import staged, table, unstage, whole_text
 from rasterflow.llm.components import components
+from rasterflow.llm.planes import from_planes, gathered, planes, spread
 from rasterflow.llm.words import WordTable, slices
 
-#: Nodes of one bucket that are compared with all others in a round.
+#: Nodes of the largest bucket whose pairs become rows.
 BLOCK = 64
-BAND = 0.75  # lower end of a size band as a share of its upper end
+#: Elements of the sets in one block of a larger bucket.
+BLOCK_ELEMENTS = 500_000
+#: Sets that are compared with one block or one star's centre in a task.
+FOLLOWERS = 1024
+BAND = 0.6  # lower end of a size band as a share of its upper end
+#: Text bytes whose keys make one bucket, and keys that a task holds at most: they bound the memory of tasks.
+BUCKET_BYTES = 8 << 20
+HELD_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -46,9 +57,13 @@ class Similarity:
     part: int = 80
     per: int = 100
 
-    @property
-    def share(self) -> float:
-        return self.part / self.per
+    def apart(self, both):
+        """Most elements in which two linked sets of ``both`` elements together differ."""
+        return (self.per - self.part) * both // (self.per + self.part)
+
+    def largest(self, size):
+        """Most elements of a set that links with one of ``size``."""
+        return size * self.per // self.part
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -117,70 +132,75 @@ def bands(most: int) -> list[int]:
     return ends
 
 
-_BANDS = bands(1 << 40)
-
-
-def keys_of(s: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, their bands, how many of a band's keys the set can do without) for the set's own band and those above whose
-    sets may be similar to it."""
-    size, out, tags, spare = len(s), [], [], []
-    k = int(np.searchsorted(_BANDS, size))
-    while not out or _BANDS[k - 1] + 1 <= size / share + 1e-9:
-        h = int((1 - share) / (1 + share) * 2 * _BANDS[k] + 1e-9)
-        z = 1 + h // 8
-        m = h + 1 + z
-        spread = mixed(s + np.uint64(k))
-        segment = (spread % np.uint64(m)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
+_BANDS = np.array(bands(1 << 40))
+
+
+def _all_keys(value: np.ndarray, first: np.ndarray, total: np.ndarray, label: np.ndarray, most: int, band: int) -> np.ndarray:
+    """Keys of a set with too few subsets: all of them, each less one element, and the elements if that is not enough."""
+    count = np.diff(np.append(first, len(value)))
+    each = np.repeat(np.arange(len(first)), count)
+    less = (total[each] - value)[count[each] > 1]
+    found = [mixed(total + label), mixed(less + label[each[count[each] > 1]])]
+    if np.minimum(count, 2).sum() <= most:
+        found.append(mixed(value + np.uint64((band + 1) * int(_P[3]) % 2**64)))
+    return np.concatenate(found)
+
+
+def keys_of(sets: list[np.ndarray], how: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, place of their set in ``sets``), for each set's own band and those above whose sets may be similar to it."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    band = np.searchsorted(_BANDS, size)
+    sets_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    keys, owners, step = [], [], 0
+    take = np.flatnonzero(size > 0)
+    while len(take):
+        k = band[take]
+        n, upper = size[take], _BANDS[k]
+        most = how.apart(2 * upper)
+        m = most + 2 + most // 8
+        most = how.apart(n + np.minimum(upper, how.largest(n)))  # of this set
+        each = np.repeat(np.arange(len(take)), n)
+        s = sets_[np.repeat(begin[take] - (np.cumsum(n) - n), n) + np.arange(len(each))]
+        segment = (mixed(s + k.astype(np.uint64)[each]) % m.astype(np.uint64)[each]).astype(np.int64)
+        order = np.argsort((each << 40) + segment, kind="stable")
         segment, value = segment[order], mixed(s[order] ^ np.uint64(0x5851F42D4C957F2D))
-        first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        total = np.add.reduceat(value, first)
-        label = (segment[first].astype(np.uint64) << np.uint64(16)) + np.uint64(k + 1)
-        found = [mixed(total + mixed(label))]
-        empty = m - len(first)
-        if empty > z:
-            count = np.diff(np.concatenate([first, [size]]))
-            each = np.repeat(np.arange(len(first)), count)
-            less = total[each] - value
-            found.append(mixed(less[count[each] > 1] + mixed(label[each[count[each] > 1]])))
-            if np.minimum(count, 2).sum() <= h:
-                found.append(mixed(value + np.uint64((k + 1) * int(_P[3]) % 2**64)))
-        out += found
-        n = sum(map(len, found))
-        tags.append(np.full(n, k, np.int32))
-        spare.append(np.full(n, max(0, z - empty), np.int32))
-        k += 1
-    return np.concatenate(out), np.concatenate(tags), np.concatenate(spare)
-
-
-def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (id, n, hi, lo): number of n-grams and a 128-bit digest of the set."""
-
-    def run(batches):
-        for batch in batches:
-            for at, texts in slices(batch.column(1)):
-                sets = shingle_sets(texts, n)
-                d = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                cols = [np.array([x >> 65 for x in d], np.int64), np.array([x & (2**63 - 1) for x in d], np.int64)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, cols)], ["id", "n", "hi", "lo"])
-
-    return docs.mapInArrow(run, "id long, n long, hi long, lo long")
-
-
-MEMBER = "key long, node long, tag int, spare int"
-KEY = MEMBER + ", follows boolean, led boolean"
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mask of the first row of each run of equal keys, run length at each row)."""
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    starts = np.flatnonzero(first)
-    return first, np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
-
-
-def key_rows(docs: DataFrame, how: Similarity) -> DataFrame:
-    """Keys of each task's documents, once for each content. The first node of a key goes on to meet those of other tasks,
-    told whether it is followed here (led); the others follow it."""
+        first = np.flatnonzero((np.diff(segment, prepend=-1) != 0) | (np.diff(each, prepend=-1) != 0))
+        total, count, of = np.add.reduceat(value, first), np.diff(np.append(first, len(value))), each[first]
+        label = mixed((segment[first].astype(np.uint64) << np.uint64(16)) + k[of].astype(np.uint64) + np.uint64(1))
+        key = mixed(total + label)
+        filled = np.bincount(of, minlength=len(take))
+        enough = filled > most
+        by = np.lexsort((key, -count, of))
+        rank = np.arange(len(by)) - np.repeat(np.cumsum(filled) - filled, filled)
+        by = by[enough[of[by]] & (rank <= most[of[by]])]
+        keys.append(key[by])
+        owners.append(take[of[by]])
+        edge = np.append(np.cumsum(filled) - filled, len(first))
+        for x in np.flatnonzero(~enough).tolist():
+            a, b = edge[x], edge[x + 1]
+            low, high = first[a], first[b] if b < len(first) else len(value)
+            keys.append(_all_keys(value[low:high], first[a:b] - low, total[a:b], label[a:b], int(most[x]), int(k[x])))
+            owners.append(np.full(len(keys[-1]), take[x], np.int64))
+        step += 1
+        take = take[_BANDS[k] + 1 <= how.largest(n)]
+        band = band + 1
+    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+#: kind 0: a document (id, n, hi, lo: 128 bits of its set's digest); 1: a chunk of keys; 2: a node id of a key hi that
+#: another node of the task has.
+INDEX = "kind int, id long, n long, hi long, lo long, bucket int, keys binary, nodes binary"
+ARROW_INDEX = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())])
+
+
+def index_rows(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
+    """Rows of all three kinds; a task makes the keys of each content once."""
+
+    def rows(kind: int, **cols) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        cols["kind"] = np.full(n, kind, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in ARROW_INDEX], schema=ARROW_INDEX)
 
     def run(batches):
         seen: set[bytes] = set()
@@ -188,59 +208,81 @@ def key_rows(docs: DataFrame, how: Similarity) -> DataFrame:
         many = 0
 
         def close():
-            cols = [np.concatenate(c) for c in zip(*held)]
-            order = np.lexsort((cols[1], cols[0]))
-            key, node, tag, spare = (c[order] for c in cols)
-            first, length = _runs(key)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(tag), pa.array(spare), pa.array(~first), pa.array(length > 1)], ["key", "node", "tag", "spare", "follows", "led"])
+            key, node = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            shared = ~first
+            shared[:-1] |= ~first[1:]
+            if shared.any():
+                yield rows(2, id=node[shared], hi=key[shared].view(np.int64))
+            key, node = key[first], node[first]
+            # buckets are ranges of keys
+            cut = np.searchsorted(key, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
+            cut = [0, *cut.tolist(), len(key)]
+            full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+            press = lambda x: pa.compress(x, "zstd", asbytes=True)
+            ends = [(cut[b], cut[b + 1]) for b in full]
+            yield rows(1, n=[e - a for a, e in ends], bucket=full, keys=[press(spread(key[a:e])) for a, e in ends], nodes=[press(planes(node[a:e])) for a, e in ends])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for at, texts in slices(batch.column(1)):
-                for k, s in enumerate(shingle_sets(texts, how.words)):
-                    if not len(s) or (mark := xxhash.xxh3_128_digest(s.tobytes())) in seen:
-                        continue  # copies hang on the same node
-                    seen.add(mark)
-                    key, tag, spare = keys_of(s, how.share)
-                    held.append((key.view(np.int64), np.full(len(key), ids[at + k], np.int64), tag, spare))
-                    many += len(key)
-                if many > 4_000_000:
-                    yield close()
-                    held, many = [], 0
-        if held:
-            yield close()
-
-    return docs.mapInArrow(run, KEY)
-
-
-def met(firsts: DataFrame) -> DataFrame:
-    """Of the nodes that tasks sent for a key, those that meet another or lead followers. Rows of a key pass by in order;
-    only the last one is held back until the next batch."""
+                ids = batch.column(0).slice(at, len(texts))
+                sets = shingle_sets(texts, how.words)
+                d = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+                yield rows(0, id=ids, n=[len(s) for s in sets], hi=[x >> 65 for x in d], lo=[x & (2**63 - 1) for x in d])
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                fresh = []
+                for k, s in enumerate(sets):
+                    if len(s) and known[k] and d[k] not in seen:  # copies hang on the same node
+                        seen.add(d[k])
+                        fresh.append(k)
+                key, owner = keys_of([sets[k] for k in fresh], how)
+                held.append((key, ids.fill_null(0).to_numpy()[np.array(fresh, np.int64)][owner]))
+                many += len(key)
+                if many > HELD_KEYS:
+                    yield from close()
+                    many = 0
+        if many:
+            yield from close()
+
+    return docs.mapInArrow(run, INDEX)
+
+
+def met(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Rows (key, node) of the keys that two chunks hold."""
+
+    def close(parts: list) -> pa.RecordBatch:
+        open_ = lambda x, n: pa.decompress(x, 8 * n, "zstd", asbytes=True)
+        key = np.concatenate([gathered(open_(k, n)) for n, k, _ in parts])
+        node = np.concatenate([from_planes(open_(v, n), np.int64) for n, _, v in parts])
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        return pa.RecordBatch.from_arrays([pa.array(key[shared].view(np.int64)), pa.array(node[shared])], ["key", "node"])
 
     def run(batches):
-        held = None
+        now, parts = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            key = t["key"].to_numpy()
-            first, length = _runs(key)
-            take = (length > 1) | t["led"].to_numpy(zero_copy_only=False)
-            # the last row may go on in the next batch; if it is taken already, it is told to be
-            now = t.slice(0, len(t) - 1).filter(pa.array(take[:-1])).select(["key", "node", "tag", "spare"])
-            yield from now.combine_chunks().to_batches()
-            last = t.slice(len(t) - 1).to_batches()[0]
-            held = last.set_column(4, "led", pa.array([bool(take[-1])]))
-        if held is not None and held.column(4)[0].as_py():
-            yield held.select(["key", "node", "tag", "spare"])
-
-    cols = firsts.select("key", "node", "tag", "spare", "led")
-    return cols.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, MEMBER)
+            for bucket, *part in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and parts:
+                    yield close(parts)
+                    parts = []
+                now = bucket
+                parts.append(part)
+        if parts:
+            yield close(parts)
+
+    return chunks.select("bucket", "n", "keys", "nodes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, node long")
 
 
 def stars_of(members: DataFrame) -> DataFrame:
     """(key, u, v): the other nodes v of a key and its centre u, the node whose keys are shared most (least id among
     equals): an original rather than one of its edited copies, so that one star links most of a group."""
+    often = members.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    members = members.join(often, "key")
     shared = members.groupBy("node").agg(F.sum("often").alias("weight"))
     weighed = members.select("key", "node").join(shared, "node")
     centre = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("u"))
@@ -290,37 +332,60 @@ def set_values(wanted: DataFrame, n: int) -> DataFrame:
     return wanted.mapInArrow(run, "node long, n long, sketch binary, set binary")
 
 
-def _both(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
-    """pairs (u, v) with the columns of both nodes."""
-    for c in ("v", "u"):
-        pairs = pairs.join(sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in cols)), c)
-    return pairs.select("u", "v", *(f"{x}_{c}" for x in cols for c in ("u", "v")))
-
-
-def possible(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs whose sizes and sketches do not rule a link out."""
+def compared(pairs: DataFrame, values: DataFrame, column: str, test) -> DataFrame:
+    """The rows (u, v) of pairs for which test(n of u, value of u, n of v, value of v) holds. The value of u is sent once to
+    each group of about ``FOLLOWERS`` of its partners; a task holds one such value while the group's rows pass by."""
 
     def run(batches):
+        now = lead = None
         for batch in batches:
-            nu, nv, su, sv = (batch.column(i).to_pylist() for i in range(2, 6))
-            ok = [(how.per + how.part) * (a + b - max(abs(a - b), least_difference(x, y))) >= 2 * how.part * (a + b) for a, b, x, y in zip(nu, nv, su, sv)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
+            us, vs, ns, xs = (batch.column(i) for i in (0, 2, 3, 4))
+            ok = np.zeros(len(us), bool)
+            for k, (u, part, v) in enumerate(zip(us.to_pylist(), batch.column(1).to_pylist(), vs.to_pylist())):
+                value = ns[k].as_py(), xs[k].as_buffer()
+                if v is None:
+                    now, lead = (u, part), value
+                elif now == (u, part):
+                    ok[k] = test(*lead, *value)
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([us.filter(mask), vs.filter(mask)], ["u", "v"])
 
-    return _both(pairs, sets, "n", "sketch").mapInArrow(run, "u long, v long").distinct()
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / FOLLOWERS).alias("parts"))
+    dealt = pairs.select("u", "v").join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+    value = values.select("node", "n", F.col(column).alias("value"))
+    leads = dealt.select("u", "part").distinct().join(value, F.col("u") == F.col("node")).select("u", "part", F.lit(None).cast("long").alias("v"), "n", "value")
+    follow = dealt.join(value, F.col("v") == F.col("node")).select("u", "part", "v", "n", "value")
+    rows = leads.unionByName(follow).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
+    return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """The rows (u, v) of pairs that link, decided on their whole sets."""
+def verified(pairs: DataFrame, values: DataFrame, how: Similarity) -> DataFrame:
+    """The rows (u, v) of pairs that link: sizes and sketches rule most others out, whole sets decide."""
+
+    def may(a, x, b, y):
+        return max(abs(a - b), least_difference(x, y)) <= how.apart(a + b)
+
+    def do(a, x, b, y):
+        k = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size
+        return how.per * k >= how.part * (a + b - k)
+
+    left = staged(compared(pairs, values, "sketch", may), "possible")
+    links = staged(compared(left, values, "set", do), "links")
+    unstage(left)
+    return links
+
+
+def element_rows(values: DataFrame) -> DataFrame:
+    """Rows (element, node, label, n) of sets."""
 
     def run(batches):
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            both = [np.intersect1d(x, y, assume_unique=True).size for x, y in zip(a, b)]
-            ok = [how.per * k >= how.part * (len(x) + len(y) - k) for k, x, y in zip(both, a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], ["u", "v"])
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
+            size = list(map(len, sets))
+            cols = [np.repeat(batch.column(i).to_numpy(), size) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)), *map(pa.array, cols)], ["element", "node", "label", "n"])
 
-    left = staged(possible(pairs, sets, how), "possible")
-    return _both(left, sets, "set").mapInArrow(run, "u long, v long").distinct()
+    return values.select("node", "label", "n", "set").mapInArrow(run, "element long, node long, label long, n long")
 
 
 def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -341,6 +406,111 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(fresh), "labels")
 
 
+def useful_elements(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (element, node, label, n, often) of the nodes (node, label), without the elements that nodes of one label alone
+    have; often: how many nodes have the element."""
+    elements = element_rows(values.join(nodes, "node"))
+    shared = elements.groupBy("element").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("often")).where("a <> b")
+    return elements.join(shared.select("element", "often"), "element")
+
+
+def blocks_compared(told: DataFrame, values: DataFrame, how: Similarity) -> DataFrame:
+    """Links (u, v) between labels in large buckets; told: rows (key, node, c, outer), outer ones meet all others.
+
+    A bucket's outer nodes are dealt into blocks of about ``BLOCK_ELEMENTS`` elements, all its nodes into parts of
+    ``FOLLOWERS``; a task holds one block as postings and lets one part's sets pass by. Of the links found there only
+    those go on that join labels which no earlier one has joined.
+    """
+    sized = told.join(values.select("node", "n"), "node")
+    dealt = sized.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("outer"), F.col("n"))) / BLOCK_ELEMENTS).alias("blocks"), F.ceil(F.count("*") / FOLLOWERS).alias("parts"))
+    rows = told.join(dealt, "key")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    leads = rows.where("outer").select("key", own("blocks").alias("block"), to("parts").alias("part"), F.lit(True).alias("lead"), "node", "c")
+    others = rows.select("key", to("blocks").alias("block"), own("parts").alias("part"), F.lit(False).alias("lead"), "node", "c")
+
+    def run(batches):
+        now, held, ready, root = None, [], None, {}
+
+        def top(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def built():
+            sets = [np.frombuffer(x, np.uint64) for _, _, x in held]
+            element, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+            order = np.argsort(element, kind="stable")
+            names, start, count = np.unique(element[order], return_index=True, return_counts=True)
+            return names, start, count, owner[order], np.fromiter(map(len, sets), np.int64, len(sets)), [h[0] for h in held], np.array([h[1] for h in held])
+
+        def links(node, c, x):
+            names, start, count, owner, size, ids, labels = ready
+            s = np.frombuffer(x, np.uint64)
+            at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+            at = at[names[at] == s]
+            n = count[at]
+            both = np.bincount(owner[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(size))
+            for k in np.flatnonzero((how.per * both >= how.part * (len(s) + size - both)) & (labels != c)).tolist():
+                a, b = top(int(labels[k])), top(c)
+                if a != b:
+                    root[a] = b
+                    yield ids[k], node
+
+        for batch in batches:
+            out = []
+            *group, lead, node, c, x = (batch.column(i) for i in range(7))
+            for g, first, *row in zip(zip(*(i.to_pylist() for i in group)), lead.to_pylist(), node.to_pylist(), c.to_pylist(), (v.as_buffer() for v in x)):
+                if g != now:
+                    now, held, ready, root = g, [], None, {}
+                if first:
+                    held.append((*row[:2], bytes(row[2])))
+                    continue
+                if held and ready is None:
+                    ready = built()
+                if ready is not None:
+                    out += links(*row)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([j for _, j in out], pa.int64())], ["u", "v"])
+
+    met_ = leads.unionByName(others).join(values.select("node", "set"), "node").select("key", "block", "part", "lead", "node", "c", "set")
+    return met_.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", F.desc("lead")).mapInArrow(run, "u long, v long").distinct()
+
+
+def settled_links(open_nodes: DataFrame, labels: DataFrame, values: DataFrame, how: Similarity) -> DataFrame:
+    """labels after all links between open nodes (node) of different labels.
+
+    An element that only nodes of one label have is of no use to a link with another label. A set that lacks too many
+    others links with none, and goes; this is repeated while it removes a tenth of the nodes. The rest meet by exact
+    prefixes: with useless elements first and the others by rising frequency, linked sets share an element among their
+    first n - t * n + 1. In each of these buckets the nodes outside its largest label meet all nodes of other labels: as
+    pairs where a bucket has at most ``BLOCK`` nodes, in blocks where it has more.
+    """
+    nodes = staged(labelled(open_nodes.select(F.col("node").alias("u"), F.col("node").alias("v")), labels).select(F.col("u").alias("node"), F.col("cu").alias("label")), "open")
+    many, before = nodes.count(), math.inf
+    while many and many < 0.9 * before:
+        enough = useful_elements(nodes, values).groupBy("node", "label", "n").count().where(F.col("count") * how.per >= F.col("n") * how.part)
+        left = staged(enough.select("node", "label"), "open")
+        unstage(nodes)
+        nodes, many, before = left, left.count(), many
+    if not many:
+        unstage(nodes)
+        return labels
+    own = Window.partitionBy("node")
+    rows = useful_elements(nodes, values).withColumn("shared", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("often", "element")))
+    # private elements take the first n - shared places of a prefix
+    most = F.expr(f"n - (n * {how.part} + {how.per} - 1) DIV {how.per} + 1 - (n - shared)")
+    marked = staged(rows.where(F.col("place") <= most).select(F.col("element").alias("key"), "node", F.col("label").alias("c")), "marked")
+    sizes = marked.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("parts"), F.sum("count").alias("size"))
+    told = staged(marked.join(sizes.where("parts > 1"), "key").select("key", "node", "c", (F.col("c") != F.col("most")).alias("outer"), (F.col("size") > BLOCK).alias("large")), "told")
+    small = told.where("NOT large")
+    outer = small.where("outer").select("key", F.col("node").alias("u"), F.col("c").alias("cu"))
+    pairs = staged(small.join(outer, "key").where("c <> cu AND (NOT outer OR node > u)").select("u", F.col("node").alias("v")).distinct(), "pairs")
+    links = [verified(pairs, values, how), staged(blocks_compared(told.where("large").drop("large"), values, how), "links")]
+    grown = merged(labels, links[0].unionByName(links[1]))
+    unstage(nodes, marked, told, pairs, *links)
+    return grown
+
+
 def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id reachable by links, its own included).
 
@@ -351,7 +521,10 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     named = texts.where("id IS NOT NULL")
-    sizes = staged(set_rows(texts, how.words), "sets")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    index = staged(index_rows(texts, how, buckets), "index")
+    sizes = index.where("kind = 0").select("id", "n", "hi", "lo")
     made: list[DataFrame] = []
 
     def held(df: DataFrame, name: str) -> DataFrame:
@@ -359,49 +532,30 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
         return made[-1]
 
     # equal sets: every document hangs on the least id of its class
-    classes = sizes.where("id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("many")).where("many > 1")
-    copies = held(sizes.where("id IS NOT NULL AND n > 0").join(classes, ["hi", "lo"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
+    real = sizes.where("id IS NOT NULL AND n > 0")
+    classes = real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("many")).where("many > 1")
+    copies = held(real.join(classes, ["hi", "lo"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
 
-    local = staged(key_rows(named, how), "keys")
-    found = local.where("follows").select("key", "node", "tag", "spare").unionByName(met(local.where("NOT follows")))
+    found = index.where("kind = 2").select(F.col("hi").alias("key"), F.col("id").alias("node")).unionByName(met(index.where("kind = 1"), buckets))
     found = found.join(copies.select(F.col("v").alias("node"), F.col("u").alias("rep")), "node", "left")
-    found = held(found.select("key", F.coalesce("rep", "node").alias("node"), "tag", "spare").distinct(), "found")
-    unstage(local)
-    # a set's most frequent keys go, as many as it can spare
-    often = found.join(found.groupBy("key").agg(F.count("*").alias("often")), "key").where("often > 1")
-    place = F.row_number().over(Window.partitionBy("node", "tag").orderBy(F.desc("often"), "key"))
-    members = held(often.withColumn("place", place).where("place > spare").groupBy("key", "node").agg(F.max("often").alias("often")), "members")
+    members = held(found.select("key", F.coalesce("rep", "node").alias("node")).distinct(), "members")
     stars = held(stars_of(members), "stars")
-    members = members.drop("often")
+    sizes = staged(sizes.select("id", "n"), "sizes")  # the index has been used
+    unstage(index)
 
     star_pairs = held(stars.groupBy("u", "v").agg(F.count("*").alias("n")), "pairs")
-    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = ordered(star_pairs)
-    nodes = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = held(set_values(texts_of(named, nodes).select("id", "text"), how.words), "set-values")
-    best = ordered(star_pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")))
-    labels = staged(components(verified(best, sets, how)), "labels")
-    rest = held(labelled(pairs.join(best, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
+    nodes = star_pairs.select(F.col("u").alias("id")).unionByName(star_pairs.select(F.col("v").alias("id"))).distinct()
+    values = held(set_values(texts_of(named, nodes).select("id", "text"), how.words), "set-values")
+    # the star that shares most keys with a node first, the others only where that leaves them apart
+    best = held(star_pairs.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v"), "best")
+    links = verified(best, values, how)
+    labels = staged(components(links), "labels")
+    rest = held(labelled(star_pairs.join(best, ["u", "v"], "left_anti"), labels).where("cu <> cv").select("u", "v"), "rest")
     if not rest.isEmpty():
-        labels = merged(labels, verified(rest, sets, how))
-    done = pairs
-
-    # buckets with a star pair that does not link: their nodes, as (key, node, component)
+        labels = merged(labels, verified(rest, values, how))
     open_keys = labelled(stars, labels).where("cu <> cv").select("key").distinct()
-    members = held(members.join(open_keys, "key", "left_semi"), "members")
-    while not members.isEmpty():
-        now = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("c"))
-        largest = now.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("most"), F.count("*").alias("parts"))
-        marked = now.join(largest.where("parts > 1"), "key")
-        outside = marked.where("c <> most").withColumn("r", F.expr("row_number() OVER (PARTITION BY key ORDER BY node)")).where(f"r <= {BLOCK}")
-        picked = held(outside.select("key", F.col("node").alias("p"), F.col("c").alias("cp")), "picked")
-        meet = marked.select("key", "node", "c").join(picked, "key").where("c <> cp").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-        fresh = held(meet.join(done, ["u", "v"], "left_anti"), "pairs")
-        labels = merged(labels, verified(fresh, sets, how))
-        done = done.unionByName(fresh)
-        # a picked node has met all others of its bucket
-        members = held(marked.select("key", "node").join(picked.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti"), "members")
-
+    open_nodes = members.join(open_keys, "key", "left_semi").select("node").distinct()
+    labels = settled_links(open_nodes, labels, values, how)
     labels = merged(labels, copies)
     unstage(*made)
     return sizes.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))

@@ -175,44 +175,88 @@ def test_ngram_join(docs, texts, empty, n, part):
 
 
 def test_ngram_join_settles_open_buckets(spark, monkeypatch):
-    """Many sets that share keys without being similar to the star's centre."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    """Many sets that share keys without being similar to the star's centre, in small and in large buckets."""
     r = random.Random(3)
     rows = []
+    common = [f"c{k}" for k in range(400)]
     for g in range(7):
         w = [f"w{r.randrange(10**6)}" for _ in range(60)]
         rows += [" ".join(w), " ".join([*w[:-1], "x"]), " ".join(["y", *w[1:]])]
+    for g in range(12):  # sets that share most elements but reach the threshold only within their own three
+        w = list(common)
+        for k in range(g, 400, 24):
+            w[k] = f"g{g}"
+        rows += [" ".join(w), " ".join([*w[:-1], "x"]), " ".join(["y", *w[1:]])]
     r.shuffle(rows)
-    made = [(k, v, 0, 0, False, False) for k in (7, 8) for v in range(len(rows))]  # all sets have the same two keys
-    monkeypatch.setattr(ngram_join, "key_rows", lambda d, how: spark.createDataFrame(made, ngram_join.KEY))
+    made = [(k, v) for k in (7, 8) for v in range(len(rows))]  # all sets have the same two keys
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {x.id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(docs, Similarity(4, 80)).collect()}
-    assert got == brute_components(rows, 4, 80)
-
-
-def kept_keys(s, share):
-    """The keys left when the most frequent ones go; any frequencies do, as long as both sets see the same."""
-    keys, tags, spare = ngram_join.keys_of(s, share)
-    out = []
-    for tag in np.unique(tags):
-        own = np.unique(keys[tags == tag])
-        out.append(own[np.argsort(own % np.uint64(1009), kind="stable")][spare[tags == tag][0] :])
-    return np.concatenate(out)
+    want = brute_components(rows, 4, 80)
+    monkeypatch.setattr(ngram_join, "met", lambda chunks, buckets: spark.createDataFrame(made, "key long, node long"))
+    for block, elements in ((2, 1500), (64, 10**6)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", elements)
+        monkeypatch.setattr(ngram_join, "FOLLOWERS", 5)
+        got = {x.id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(docs, Similarity(4, 80)).collect()}
+        assert got == want
+
+
+def test_ngram_join_on_a_large_group_of_edited_copies(spark):
+    """2000 edited copies of one text, each 80 to 90 % alike to it, and copies of copies."""
+    r = random.Random(8)
+    vocab = [f"v{k}" for k in range(40)]
+    base = [f"w{r.randrange(10**5)}" for _ in range(150)]
+    rows = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(r.randint(1, 6)):
+            at = r.randrange(len(w))
+            w[at : at + r.choice((1, 1, 2))] = r.choice(([], [r.choice(vocab)], [r.choice(vocab), w[at]]))
+        rows.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    got = {x.id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_join(docs, Similarity(4, 85)).collect()}
+    assert got == fast_components(rows, 4, 85)
+    assert len({c for _, c in got.values()}) > 50  # some copies are apart from the rest
+
+
+def fast_components(texts, n, part):
+    """brute_components by a matrix of common elements."""
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in map(words, texts)]
+    place = {e: k for k, e in enumerate({e for s in sets for e in s})}
+    m = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [place[e] for e in s]] = 1
+    both, size = m @ m.T, m.sum(1)
+    linked = 100 * both >= part * (size[:, None] + size[None] - both)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label[None], len(sets)).min(1)
+        if (new == label).all():
+            return {k: (len(s), int(label[k])) for k, s in enumerate(sets)}
+        label = new
 
 
 def test_keys_find_every_similar_pair():
-    """Any pair over the threshold shares a kept key, at all sizes, whatever segments are empty."""
+    """Any pair over the threshold shares a key, at all sizes, whatever segments are empty."""
     r = np.random.default_rng(4)
-    for share in (0.8, 0.85, 0.5):
+    for part in (80, 85, 50):
+        how = Similarity(4, part)
+        sets = []
         for _ in range(1500):
             size = int(r.integers(1, 40) if r.random() < 0.8 else r.integers(40, 400))
             a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
             cut = int(r.integers(0, len(a) // 2 + 1))
             more = r.integers(0, 2**63, int(r.integers(0, len(a) // 2 + 1))).astype(np.uint64)
-            b = np.unique(np.concatenate([a[cut:], more]))
-            both = np.intersect1d(a, b).size
-            if both >= share * (len(a) + len(b) - both):
-                assert np.intersect1d(kept_keys(a, share), kept_keys(b, share)).size, (len(a), len(b), both)
+            sets += [a, np.unique(np.concatenate([a[cut:], more]))]
+        sets = [s for s in sets if len(s)]
+        key, owner = ngram_join.keys_of(sets, how)
+        own = [set(key[owner == k].tolist()) for k in range(len(sets))]
+        tried = 0
+        for k in range(len(sets) - 1):
+            both = np.intersect1d(sets[k], sets[k + 1]).size
+            if both and 100 * both >= part * (len(sets[k]) + len(sets[k + 1]) - both):
+                tried += 1
+                assert own[k] & own[k + 1], (len(sets[k]), len(sets[k + 1]), both)
+        assert tried > 100
 
 
 def test_quality_counts(docs, texts):
