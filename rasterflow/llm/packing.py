@@ -144,8 +144,11 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2
     The texts are read twice: once for their bytes, which set the number of groups. A null or empty text is one piece
     with the end id alone. Repeated rows, and null ids, give their own pieces. No documents, no rows.
     """
+    from tokenizers import Tokenizer
+
+    width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return packed(pieces(docs, tokenizer, end_id, size, id_col, text_col), max(1, -(-total // group_bytes)), size)
+    return packed(pieces(docs, tokenizer, end_id, size, id_col, text_col, width), max(1, -(-total // group_bytes)), size, width)
 
 
 def op2(spark, sf_dir):

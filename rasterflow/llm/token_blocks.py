@@ -25,6 +25,8 @@ from rasterflow.llm.words import byte_bpe, encode_texts, slices
 
 MAGIC = b"RFB1"
 BLOCK_IDS = 1 << 16
+#: Most text bytes of a shard on average: one task sorts and writes it.
+SHARD_BYTES = 128 << 20
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids int, doc_ids array<bigint>, doc_starts array<int>, payload binary"
 
 
@@ -64,7 +66,9 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
     """
     spark = docs.sparkSession
     bits = bits_for(vocabulary)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner, first, whole = byte_bpe(tokenizer, True)

@@ -115,8 +115,9 @@ def encode_texts(texts: pa.Array, inner: WordTable, first: WordTable, whole: Cal
 #: The bytes that byte-level BPE shows as themselves; the others follow from U+0100 on, in order.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
-#: Letters, then punctuation that always ends a run of letters (no apostrophe).
-PLAIN_WORD = re.compile(r"(\n?)([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+#: Latin-1 letters (categories Lu, Ll, Lo: superscripts and fractions are numbers), then punctuation that always ends a run
+#: of letters (no apostrophe).
+PLAIN_WORD = re.compile(r"(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-^`{-~]*)")
 #: Words whose edges cannot merge with white space.
 EDGES = re.compile(r"\n?[\w!-~](?:.*[\w!-~])?", re.S)
 _ENCODERS: dict = {}
@@ -127,18 +128,21 @@ def byte_bpe(path: str, spaced: bool) -> tuple[WordTable, WordTable, Callable[[s
 
     spaced=True: a token holds the space before it, and line breaks are tokens (put ' \\n' for '\\n' before splitting).
     spaced=False: the file lower-cases, drops white space and splits words at it.
-    Strings of special tokens in a text are ordinary text. Words of Latin letters go straight to the file's model, the
-    others through the whole tokenizer.
+    Words of Latin letters go straight to the file's model, the others through the whole tokenizer. A text that holds the
+    string of an added token goes to the library whole, which gives that token's id.
     """
     if (path, spaced) in _ENCODERS:
         return _ENCODERS[path, spaced]
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     tok.no_padding()
     tok.no_truncation()
     model = tok.model
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    if any(" " in t for t in added):
+        raise ValueError("an added token with a space cannot be told from single words")
+    special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
     ends: dict[str, list[int]] = {}
     whole = lambda text: tok.encode(text, add_special_tokens=False).ids
 
@@ -162,7 +166,7 @@ def byte_bpe(path: str, spaced: bool) -> tuple[WordTable, WordTable, Callable[[s
                     if m[3] not in ends:
                         ends[m[3]] = whole(m[3])
                     out[k] = out[k] + ends[m[3]]
-            elif not spaced or EDGES.fullmatch(w):
+            elif special.search(w) is None and (not spaced or EDGES.fullmatch(w)):
                 rest.append(k)
         full = [" " + words[k] if lead and words[k][:1] != "\n" else words[k] for k in rest]
         for k, e in zip(rest, tok.encode_batch_fast(full, add_special_tokens=False)):

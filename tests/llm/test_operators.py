@@ -38,7 +38,7 @@ def texts():
     say = lambda n: " ".join(r.choice(vocab) + r.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
     long = say(9000)
     base = say(120)
-    out = [None, "", " ", "\n\t ", "a", "A b", "a  b", " x y ", "▁odd ▁", "it's 12,5 O'Neill's", "<|endoftext|> x", "K ſ İ", "\x1c x\x0by\x0cz", "日本語 テキスト", long, long + "!", base, base, base.upper(), base + "  "]
+    out = [None, "", " ", "\n\t ", "a", "A b", "a  b", " x y ", "▁odd ▁", "it's 12,5 O'Neill's", "<|endoftext|> x", "x<|endoftext|>y <|startoftext|>", "50 km² of land, x¹ ½cup m²", "K ſ İ", "\x1c x\x0by\x0cz", "日本語 テキスト", long, long + "!", base, base, base.upper(), base + "  "]
     ws = base.split(" ")
     for k in range(25):  # a chain of near copies, each a word further from the last
         ws[k * 4] = f"new{k}"
@@ -65,7 +65,6 @@ def test_token_blocks(docs, texts, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     blocks = token_blocks.token_blocks(docs, path, 2, 50257, parts=3).cache()
     got = {r.doc_id: r for r in token_blocks.read_blocks(blocks).collect()}
     start = 0
@@ -90,7 +89,6 @@ def test_packing(docs, texts, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = packing.best_fit_packing(docs, path, 0, 256).collect()
     want = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
     got, bins = defaultdict(dict), defaultdict(list)
