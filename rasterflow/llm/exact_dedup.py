@@ -1,27 +1,36 @@
 """Exact dedup [native]: tree-merge of sorted digest runs.
 
-Every input partition makes one run: its distinct digests, sorted, each with the row that would stay and a count.
-Runs are then merged in rounds, ``fan_in`` runs into one, until one is left; a run is always dealt over all tasks
-by (run, digest), so no task holds a whole run, and a digest of a third of all rows has at most ``fan_in`` entries
-in any merge. The outcome travels back down the same tree, so rows never meet their winner by digest alone and a hot
-group is never gathered. Only digests are shuffled, never texts.
+Every input partition is one run: its distinct digests, sorted, each with the row that would stay and a count. Runs are
+exchanged in binomial rounds: ``FAN`` partners, whose places differ in one group of bits, each send a partner that part of
+their run whose digests have the partner's bits there, and every place merges the ``FAN`` sorted parts that it receives into
+one run. The entry of the smallest rank stays at each merge. After the last round a place holds all entries of its digests.
+A digest of a third of all rows has at most ``FAN`` entries in any merge, and a place is dealt over several tasks by further
+bits of its digests. The outcome travels back down the same tree, so rows never meet their winner by digest alone.
+
+Texts are not shuffled for this. To verify that equal digests are equal texts, each task takes the least and the greatest
+normalised text of every digest that repeats, and the least and greatest of these are compared: a class passes only if all
+its texts are one. A clash of digests ends the job with an error rather than a merged class.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import SPACE_CLASS, staged, whole_text
+from rasterflow.llm.common import SPACE_CLASS, pinned, staged, unstage, whole_text
 
 KEY = ("digest", "check", "size")
+#: Bits of a place that one round exchanges, and how many tasks share a place.
+BITS, SLICES = 4, 8
+FAN = 1 << BITS
+#: Bits of the prefilter of texts to verify: one megabyte, whatever the corpus.
+FILTER_BITS = 1 << 23
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: run (its input partition), a row number (row_col, or a new one), id, code points, and the digest key.
 
-    The key is the SHA-256 of the normalised text, verified by a second hash and its length: entries merge only
-    when all three agree.
+    The key is the SHA-256 of the normalised text, a second hash and its length: entries merge only when all three agree.
     """
     text = whole_text(text_col)
     bare = F.regexp_replace(text, SPACE_CLASS + "+", "")
@@ -36,35 +45,58 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def merged(entries: DataFrame) -> DataFrame:
-    """Merge entries of equal (run, key): the smallest rank stays, counts add up."""
-    return entries.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+def place_at(level: int) -> Column:
+    """The place of an entry after ``level`` rounds: its run, the lower bits put as its digest's."""
+    low = BITS * level
+    if low == 0:
+        return F.col("run").cast("long")
+    return F.shiftleft(F.shiftright(F.col("run").cast("long"), low), low) + F.pmod("check", F.lit(1 << low))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16, row_col: str | None = None) -> DataFrame:
+def exchanged(entries: DataFrame, level: int) -> DataFrame:
+    """One round: entries go to their places after ``level`` rounds, where the sorted parts that meet are merged."""
+    at = entries.withColumn("place", place_at(level)).withColumn("slice", F.pmod(F.shiftright("check", 40), F.lit(SLICES)))
+    runs = at.repartition("place", "slice").sortWithinPartitions("place", "slice", *KEY)
+    return runs.groupBy("place", "slice", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.min("run").alias("run"))
+
+
+def verify(docs: DataFrame, text_col: str, repeated: DataFrame) -> None:
+    """End with an error if texts of one repeated key differ. Only the least and greatest text of a key leave a task; a
+    bitmap of fixed size spares most other texts the join."""
+    byte = 1 << 15
+    bit = lambda c: F.pmod(c, F.lit(FILTER_BITS))
+    bitmap = repeated.select(bit("check").alias("h")).groupBy(F.expr(f"h DIV {byte}").alias("part")).agg(F.bitmap_construct_agg(F.pmod("h", F.lit(byte))).alias("bits"))
+    bare = docs.select(pinned(F.regexp_replace(whole_text(text_col), SPACE_CLASS + "+", "")).alias("bare"))
+    marked = bare.withColumn("check", F.xxhash64("bare")).withColumn("h", bit(F.col("check"))).join(F.broadcast(bitmap), F.expr(f"h DIV {byte}") == F.col("part"))
+    hit = F.conv(F.hex(F.expr(f"substring(bits, CAST(pmod(h, {byte}) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    near = marked.where(hit.bitwiseAND(F.expr("shiftleft(1, CAST(pmod(h, 8) AS INT))")) != 0)
+    keyed = near.select(F.unhex(F.sha2("bare", 256)).alias("digest"), "check", F.octet_length("bare").alias("size"), "bare")
+    ends = keyed.groupBy(*KEY).agg(F.min("bare").alias("least"), F.max("bare").alias("most"))
+    if not ends.where("least <> most").isEmpty():
+        raise ValueError("texts of equal digests differ")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, and row (the input row's own number).
 
     Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]. The row with the most code
     points stays, then the smallest id (a null id comes last), then the first row. Null texts count as empty, so they
     form one group with texts of white space alone. Repeated rows, ids too, are told apart by ``row``: one is kept.
-    No rows in, no rows out. Other columns of ``docs`` are not read.
+    No rows in, no rows out. Other columns of ``docs`` are not read. The result is a written table.
     """
     rows = staged(digest_rows(docs, id_col, text_col, row_col), "digests")
-    first = rows.select(
-        "run", *KEY, F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), "id", "row").alias("best"), F.lit(1).cast("long").alias("n")
-    )
-    levels = [staged(merged(first), "runs")]
+    first = rows.select("run", *KEY, F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), "id", "row").alias("best"), F.lit(1).cast("long").alias("n"))
+    levels = [staged(exchanged(first, 0), "runs")]
     runs = 1 + (levels[0].agg(F.max("run")).first()[0] or 0)
-    while runs > 1:
-        up = levels[-1].withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        levels.append(staged(merged(up), "runs"))
-        runs = -(-runs // fan_in)
-    found = levels.pop()
-    while levels:
-        child = levels.pop().select("run", *KEY)
-        up = child.withColumn("up", F.floor(F.col("run") / fan_in).cast("int"))
-        found = up.join(found.withColumnRenamed("run", "up"), ["up", *KEY]).drop("up")
-    return rows.join(found, ["run", *KEY]).select(
+    rounds = -(-(runs - 1).bit_length() // BITS)
+    for level in range(1, rounds + 1):
+        levels.append(staged(exchanged(levels[-1], level), "runs"))
+    verify(docs, text_col, levels[-1].where("n > 1").select("check"))
+    found = levels[-1].select("place", *KEY, "best", "n")
+    for level in range(rounds, 0, -1):
+        child = levels[level - 1].select(F.col("place").alias("below"), place_at(level).alias("place"), *KEY)
+        found = child.join(found, ["place", *KEY]).select(F.col("below").alias("place"), *KEY, "best", "n")
+    out = rows.withColumn("place", F.col("run").cast("long")).join(found, ["place", *KEY]).select(
         F.col("id"),
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -72,14 +104,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lower(F.hex("digest")).alias("text_sha256"),
         "row",
     )
+    out = staged(out, "classes")
+    unstage(rows, *levels)
+    return out
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay. Rows are numbered and staged first, so that repeated
-    rows, ids too, leave exactly one."""
-    numbered = staged(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
-    kept = exact_dedup(numbered, id_col, text_col, row_col="_row_number").where("kept").select(F.col("row").alias("_row_number"))
-    return numbered.join(kept, "_row_number", "left_semi").select(*docs.columns)
+    """docs without the rows that exact_dedup drops; all columns stay.
+
+    Where ids tell rows apart, the ids that go are taken out of docs. Where an id repeats or is null, rows are numbered
+    and staged first, so that repeated rows, ids too, leave exactly one.
+    """
+    if not docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 OR _id IS NULL").isEmpty():
+        numbered = staged(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
+        kept = exact_dedup(numbered, id_col, text_col, row_col="_row_number").where("kept").select(F.col("row").alias("_row_number"))
+        return numbered.join(kept, "_row_number", "left_semi").select(*docs.columns)
+    gone = exact_dedup(docs, id_col, text_col).where("NOT kept").select(F.col("id").alias("_gone"))
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op6(spark, sf_dir):

@@ -130,17 +130,28 @@ def test_pieces(docs, texts, empty):
     assert pieces.piece_ids(empty, path).count() == 0
 
 
-def test_exact_dedup(spark, docs, texts, empty):
+def test_exact_dedup(spark, docs, texts, empty, monkeypatch):
     groups = defaultdict(list)
     for i, t in enumerate(texts):
         groups[re.sub(WS, "", t or "")].append((-len(t or ""), i))
-    got = {r.id: r for r in exact_dedup.exact_dedup(docs, fan_in=2).collect()}
+    monkeypatch.setattr(exact_dedup, "BITS", 1)
+    got = {r.id: r for r in exact_dedup.exact_dedup(docs.repartition(7)).collect()}
     for key, rows in groups.items():
         for _, i in rows:
             assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (min(rows)[1], len(rows), i == min(rows)[1], sha(key))
     assert exact_dedup.exact_dedup(empty).count() == 0
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, None)], "doc_id long, text string").repartition(3)
     assert sorted((r.doc_id or -1, r.text or "") for r in exact_dedup.without_copies(twice).collect()) == [(-1, ""), (1, "a")]
+    once = docs.where("doc_id IS NOT NULL")
+    assert {r.doc_id for r in exact_dedup.without_copies(once).collect()} == {min(rows)[1] for rows in groups.values()}
+    exact_dedup.verify(docs, "text", docs.select(F.xxhash64(F.regexp_replace("text", WS, "")).alias("check")))
+
+
+def test_exact_dedup_tells_a_clash_of_digests(spark, monkeypatch):
+    made = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "KEY", ("size",))  # a key that both texts share
+    with pytest.raises(ValueError):
+        exact_dedup.verify(made, "text", made.select(F.xxhash64("text").alias("check")))
 
 
 def brute_components(texts, n, part):
