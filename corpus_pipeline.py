@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import staged, table
+from rasterflow.llm.common import staged, table, unstage
 from rasterflow.llm.exact_dedup import without_copies
 from rasterflow.llm.ngram_join import Similarity, ngram_join
 from rasterflow.llm.packing import pack_documents
@@ -52,9 +52,14 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("near duplicates"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table is deleted once the next one is written; the last one's input stays, as
+    the result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
