@@ -1,23 +1,29 @@
-"""LM scoring: a weighted backoff automaton over word bigrams with absolute discounting.
-
-States are words that were seen as a context (a text begins in the state of its end symbol). An arc h -> w carries
-log10 P(w | h); a state's failure arc leads to the root with weight log10 (D * T(h) / c(h)), and the root has an arc for
-every word, unknown ones included. One left-to-right traversal carries the state and adds up the weights.
-
-The automaton of a corpus outgrows any task, so texts are cut into blocks and each block gets the part it can traverse:
-
-1. every block deals its distinct word pairs, with training counts, by hash into buckets; a bucket adds them up, counts
-   the continuations of each context, and answers only for pairs that other blocks hold too;
-2. the same for words, which also receives the continuation counts;
-3. a block's texts meet the answers to that block and are scored; what nobody else holds is counted in the block itself.
-
-Chunks of one block and one bucket travel as arrays, so a frequent word or pair costs one entry a block. Nothing is
-pruned; what is gathered grows with the corpus. Counts are keyed by 64-bit hashes.
+"""LM scoring: a weighted backoff automaton over n-grams of up to ``Model.order`` words.
+
+States are the n-grams that the training texts have as contexts, the empty one (the root) included; a text begins in the
+state of its end symbol. From state h an arc w carries log10 P(w | h) and leads to the longest suffix of h w that is a state;
+where h has no arc w, its failure arc leads to h without its first word and carries log10 of h's backoff mass. Counts are
+smoothed towards the shorter context (Dirichlet): P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), and the failure arc of h
+weighs m / (c(h) + m), so arcs and failure arc of a state share out all probability. The root has an arc for every word, one
+for all unknown words included.
+
+The automaton of a corpus outgrows any task, so texts are cut into blocks and each block gets the part that it traverses:
+
+1. a block's texts become tokens once, with its vocabulary;
+2. order by order, blocks deal their distinct n-grams with training counts by hash into buckets; a bucket adds them up and
+   answers each block in the order of what it sent. An n-gram is sent only if both n-grams one word shorter occur in other
+   blocks too: else its counts are the block's own;
+3. a block's tokens meet the answers, its states and arcs are built, and its texts traverse them from left to right.
+
+What a block sends to a bucket travels as arrays, so a frequent n-gram costs one entry a block, and a block's work follows
+its own n-grams, whatever the number of buckets. Nothing is pruned; what is gathered grows with the corpus. Counts are keyed
+by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +33,34 @@ from pyspark.sql import functions as F
 
 from rasterflow.llm.common import staged, table, unstage, whole_text
 from rasterflow.llm.ngram_join import _P, WordHashes, mixed
+from rasterflow.llm.planes import from_planes, gathered, planes, spread
 from rasterflow.llm.words import slices
 
-#: Text bytes of a block and of a bucket; they bound a task's memory. Larger ones suit larger corpora.
+#: Text bytes of a block and tokens whose n-grams make one bucket; they bound a task's memory.
 BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_TOKENS = 1 << 20
 END = np.uint64(0x5D588B656C078965)
 _WORDS: list[WordHashes] = []
 
-CHUNK = "block long, bucket int, kind string, keys binary, heads binary, counts binary"
-ARROW_CHUNK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("heads", pa.binary()), ("counts", pa.binary())])
-
-
-def planes(x: np.ndarray) -> bytes:
-    """Integers with bytes of equal weight together: small ones compress to little more than their lowest byte."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
-
-
-def from_planes(b: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
+@dataclass(frozen=True)
+class Model:
+    """mass: the weight of the shorter context against the counts of contexts of 0, 1, 2, ... words; at the root, what each
+    distinct word gets. Its length is the order."""
 
-def spread(x: np.ndarray) -> bytes:
-    """Keys in order, as planes of their differences."""
-    return planes(np.diff(x, prepend=x.dtype.type(0)) if len(x) else x)
+    mass: tuple[float, ...] = (1.0, 400.0, 2.0)
 
+    @property
+    def order(self) -> int:
+        return len(self.mass)
 
-def gathered(b: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(b, np.uint64), dtype=np.uint64)
 
+def press(x: np.ndarray) -> bytes:
+    return pa.compress(planes(x), "zstd", asbytes=True)
 
-def packed_runs(x: np.ndarray) -> bytes:
-    """Ascending keys with repeats: how many distinct ones, these in order, and how often each comes."""
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    often = np.diff(np.append(first, len(x))).astype(np.uint32)
-    return len(first).to_bytes(8, "little") + spread(x[first]) + planes(often)
 
-
-def unpacked_runs(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.repeat(gathered(b[8 : 8 + 8 * n]), from_planes(b[8 + 8 * n :], np.uint32))
+def opened(b: bytes, n: int, kind) -> np.ndarray:
+    return from_planes(pa.decompress(b, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
 def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,266 +82,270 @@ def token_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, n
 
 
-def contexts(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The token before each token; the end symbol before the first of a text."""
-    before = np.roll(keys, 1)
-    before[np.cumsum(n) - n] = END
-    return before
-
-
-def pair_keys(heads: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return mixed(heads * _P[0] + mixed(keys))
-
+BLOCK = "block long, ids array<bigint>, held array<boolean>, n array<bigint>, words int, tokens int, vocabulary binary, text binary"
+ARROW_BLOCK = pa.schema(
+    [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("words", pa.int32()), ("tokens", pa.int32()), ("vocabulary", pa.binary()), ("text", pa.binary())]
+)
 
-def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys ascending, place of one token of each, tokens of training texts)."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    count = np.add.reduceat(train[order].astype(np.int64), first) if len(k) else np.zeros(0, np.int64)
-    return k[first], order[first], count.astype(np.uint32)
 
-
-def chunk_rows(block: int, kind: str, buckets: int, keys: np.ndarray, heads: np.ndarray | None, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The entries dealt into buckets by key, ascending by head and key within each."""
-    bucket = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, bucket) if heads is None else (keys, heads, bucket))
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    rows = []
-    for b, (a, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-        if e > a:
-            o = order[a:e]
-            rows.append((block, b, kind, spread(keys[o]), b"" if heads is None else packed_runs(heads[o]), planes(counts[o])))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ARROW_CHUNK)] if rows else [pa.array([], t.type) for t in ARROW_CHUNK], schema=ARROW_CHUNK)
-
-
-def block_texts(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Rows (block, id, held, text): blocks of about block_bytes of one input partition each; written once, so that they stay."""
+def block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of about block_bytes of one input partition's texts each, as tokens: places in the block's sorted vocabulary."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        block, filled = TaskContext.get().partitionId() << 32, 0
+        block, filled, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def close():
+            ids, flags, keys, n = (x for x in zip(*held))
+            held.clear()
+            keys, n = np.concatenate(keys), np.concatenate(n)
+            vocabulary, tokens = np.unique(keys, return_inverse=True)
+            row = [block, sum(ids, []), sum(flags, []), n.tolist(), len(vocabulary), len(keys), pa.compress(spread(vocabulary), "zstd", asbytes=True), press(tokens.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, ARROW_BLOCK)], schema=ARROW_BLOCK)
+
         for batch in batches:
             for at, texts in slices(batch.column(2), block_bytes):
                 more = pc.sum(pc.binary_length(texts)).as_py()
                 if filled and filled + more > block_bytes:
+                    yield close()
                     block, filled = block + 1, 0
                 filled += more
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), block, np.int64)), *part.columns], ["block", "id", "held", "text"])
-
-    return staged(docs.mapInArrow(run, "block long, id long, held boolean, text string"), "lm-texts")
-
-
-def emitted(texts: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """Chunks of the words (kind 'word') or word pairs (kind 'pair') of every block."""
+                held.append((batch.column(0).slice(at, len(texts)).to_pylist(), batch.column(1).slice(at, len(texts)).to_pylist(), *token_keys(texts)))
+        if held:
+            yield close()
+
+    return docs.mapInArrow(run, BLOCK)
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of one order in a block: at (of each token; -1 where a text's start cuts it off), key, own and total
+    training counts, and whether other blocks have it."""
+
+    at: np.ndarray
+    key: np.ndarray
+    own: np.ndarray
+    total: np.ndarray
+    abroad: np.ndarray
+    asked: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # places of those that are sent, in their order
+    bucket: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # and their buckets
+
+
+class Block:
+    """Tokens of one block and its n-grams, order by order; ``answer`` puts the corpus counts in."""
+
+    def __init__(self, row: dict, buckets: int):
+        self.row, self.buckets = row, buckets
+        self.vocabulary = gathered(pa.decompress(row["vocabulary"], 8 * row["words"], "zstd", asbytes=True))
+        self.tokens = opened(row["text"], row["tokens"], np.uint32).astype(np.int64)
+        self.n = np.asarray(row["n"], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.train = np.repeat(~np.asarray(row["held"], bool), self.n)
+        self.end = int(np.searchsorted(self.vocabulary, END))  # every text ends with it
+        self.orders: list[Grams] = []
+
+    def add_order(self) -> Grams:
+        """The n-grams one longer than before; ``asked`` are those whose counts other blocks may add to."""
+        size = len(self.vocabulary)
+        if not self.orders:
+            at, key, parent, word = self.tokens, self.vocabulary, None, None
+            asked = np.ones(size, bool)
+        else:
+            short = self.orders[-1]
+            head = np.concatenate([[0], short.at[:-1]])
+            head[self.start] = self.end if len(self.orders) == 1 else -1  # a text begins in the state of its end symbol
+            good = head >= 0
+            found, inverse = np.unique(head[good] * size + self.tokens[good], return_inverse=True)
+            parent, word = found // size, found % size
+            at = np.full(len(head), -1, np.int64)
+            at[good] = inverse
+            key = mixed(short.key[parent] * _P[len(self.orders) % 8] + mixed(self.vocabulary[word]))
+            # the last words of the n-gram, without its first one, at any place where it stands
+            place = np.zeros(len(found), np.int64)
+            place[inverse] = np.flatnonzero(good)
+            asked = short.abroad[parent] & short.abroad[short.at[place]]
+        own = np.bincount(at[self.train & (at >= 0)], minlength=len(key))
+        grams = Grams(at, key, own, own.copy(), np.zeros(len(key), bool))
+        where = np.flatnonzero(asked)
+        bucket = (mixed(key[where]) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((key[where], bucket))
+        grams.asked, grams.bucket = where[order], bucket[order]
+        self.orders.append(grams)
+        return grams
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, places) of what the last order sends; only buckets that get something."""
+        g = self.orders[-1]
+        cut = np.flatnonzero(np.diff(g.bucket, prepend=-1))
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g.asked)]):
+            yield int(g.bucket[a]), g.asked[a:b]
+
+    def answer(self, answers: dict[int, bytes]) -> None:
+        g = self.orders[-1]
+        for bucket, where in self.parts():
+            got = opened(answers[bucket], len(where), np.int64)
+            g.total[where], g.abroad[where] = got >> 1, (got & 1) == 1
+        g.asked = g.bucket = np.zeros(0, np.int64)
+
+
+CHUNK = "block long, level int, bucket int, n int, keys binary, counts binary"
+ARROW_CHUNK = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def with_answers(batches, buckets: int, levels: int) -> Iterator[Block]:
+    """Blocks with the orders that have been answered: rows of a block follow each other, answers first."""
+    now, answers = None, {}
+    for batch in batches:
+        for k in range(len(batch)):
+            (r,) = batch.slice(k, 1).to_pylist()
+            if r["block"] != now:
+                now, answers = r["block"], {}
+            if r["tokens"] is None:
+                answers.setdefault(r["level"], {})[r["bucket"]] = r["counts"]
+            else:
+                block = Block(r, buckets)
+                for level in range(1, levels + 1):
+                    block.add_order()
+                    block.answer(answers.pop(level, {}))
+                yield block
+
+
+def meeting(blocks: DataFrame, answers: list[DataFrame], parts: int) -> DataFrame:
+    """Rows of blocks and of the answers to them, a block's together, answers first."""
+    if not answers:
+        return blocks.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("bucket", "int"), ("counts", "binary"))))
+    rows = blocks
+    for a in answers:
+        rows = rows.unionByName(a.where("level > 0").select("block", "level", "bucket", "counts"), allowMissingColumns=True)
+    return rows.repartition(parts, "block").sortWithinPartitions("block", F.col("tokens").isNotNull())
+
+
+def sent(rows: DataFrame, level: int, buckets: int) -> DataFrame:
+    """The chunks of n-grams of one order, by bucket."""
 
     def run(batches):
-        block, keys, heads, train, held = None, [], [], [], 0
-
-        def close():
-            k, h = np.concatenate(keys), np.concatenate(heads)
-            keys.clear(), heads.clear()
-            pa.default_memory_pool().release_unused()
-            k, place, count = counted(pair_keys(h, k) if kind == "pair" else k, np.concatenate(train))
-            return chunk_rows(block, kind, buckets, k, h[place] if kind == "pair" else None, count)
-
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, e in zip(cuts[:-1], cuts[1:]):
-                if e == a:
-                    continue
-                if block is not None and (blocks[a] != block or held > 8_000_000):
-                    yield from close()
-                    keys, heads, train, held = [], [], [], 0
-                block = int(blocks[a])
-                part = batch.slice(a, e - a)
-                for at, t in slices(part.column(3)):
-                    k, n = token_keys(t)
-                    keys.append(k)
-                    heads.append(contexts(k, n))
-                    train.append(np.repeat(~part.column(2).slice(at, len(t)).to_numpy(zero_copy_only=False).astype(bool), n))
-                    held += len(k)
-        if keys:
-            yield from close()
-
-    return texts.mapInArrow(run, CHUNK)
-
-
-def added_up(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """Per bucket: answers to blocks (kind 'answer': keys, counts, continuations in heads), statistics (kind 'stat': sum,
-    distinct, ones, twos) and, for pairs, continuation counts of the contexts as word chunks (kind 'next')."""
-
-    def close(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own = [r for r in rows if r["kind"] == kind]
-        k = [gathered(r["keys"]) for r in own]
-        c = [from_planes(r["counts"], np.uint32).astype(np.int64) for r in own]
-        block = np.repeat(np.array([r["block"] for r in own], np.int64), [len(x) for x in k])
-        k, c = np.concatenate(k or [np.zeros(0, np.uint64)]), np.concatenate(c or [np.zeros(0, np.int64)])
-        order = np.argsort(k, kind="stable")
-        k, c, block = k[order], c[order], block[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        total = np.add.reduceat(c, first) if len(k) else c
-        follow = np.zeros(len(first), np.int64)
-        if kind == "word":
-            for r in rows:
-                if r["kind"] == "next":
-                    nk, nc = gathered(r["keys"]), from_planes(r["counts"], np.uint32)
-                    at = np.searchsorted(k[first], nk)
-                    np.add.at(follow, at, nc.astype(np.int64))
-        else:
-            heads = np.concatenate([unpacked_runs(r["heads"]) for r in own] or [np.zeros(0, np.uint64)])[order][first][total > 0]
-            h, n = np.unique(heads, return_counts=True)
-            yield from chunk_rows(-1, "next", buckets, h, None, n.astype(np.uint32))
-        stat = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
-        out = [(-1, 0, "stat", stat.tobytes(), b"", b"")]
-        which = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(k)]])))
-        # blocks that hold a key alone know its count; a block's chunk may come in two parts, which also get an answer
-        many = np.diff(np.concatenate([first, [len(k)]]))[which] > 1
-        if kind == "pair":
-            many &= total[which] != c  # nor needs one whose own count is all there is
-        by = np.lexsort((which[many], block[many]))
-        b, w = block[many][by], which[many][by]
-        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])).tolist() if len(b) else []
-        for a, e in zip(cuts, [*cuts[1:], len(b)]):
-            u = np.unique(w[a:e])
-            out.append((int(b[a]), 0, "answer", spread(k[first][u]), b"" if kind == "pair" else planes(follow[u]), planes(total[u])))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), ARROW_CHUNK)], schema=ARROW_CHUNK)
+        for block in with_answers(batches, buckets, level - 1):
+            g = block.add_order()
+            out = [(block.row["block"], level, b, len(w), pa.compress(spread(g.key[w]), "zstd", asbytes=True), press(g.own[w])) for b, w in block.parts()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW_CHUNK)], schema=ARROW_CHUNK)
+
+    return rows.mapInArrow(run, CHUNK)
+
+
+def added_up(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Per bucket an answer to each chunk: for each key twice its total count, and one more if two blocks have sent it, for
+    texts to learn from or held out. A row of level 0 has the bucket's number of keys
+    that training texts have (n) and their tokens (block)."""
+
+    def close(bucket: int, rows: list[dict]) -> pa.RecordBatch:
+        keys = [gathered(pa.decompress(r["keys"], 8 * r["n"], "zstd", asbytes=True)) for r in rows]
+        counts = np.concatenate([opened(r["counts"], r["n"], np.int64) for r in rows])
+        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, counts, len(found)).astype(np.int64)
+        each = 2 * total[which] + (np.bincount(which) > 1)[which]
+        ends = np.cumsum([r["n"] for r in rows]).tolist()
+        out = [(r["block"], r["level"], bucket, r["n"], None, press(each[e - r["n"] : e])) for r, e in zip(rows, ends)]
+        out.append((int(total.sum()), 0, bucket, int((total > 0).sum()), None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ARROW_CHUNK)], schema=ARROW_CHUNK)
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if now is not None and r["bucket"] != now:
-                    yield from close(rows)
+                if rows and r["bucket"] != now:
+                    yield close(now, rows)
                     rows = []
                 now = r["bucket"]
                 rows.append(r)
         if rows:
-            yield from close(rows)
+            yield close(now, rows)
 
-    return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CHUNK)
+    return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, CHUNK)
 
 
-def statistics(answers: DataFrame) -> list[int]:
-    """Sum, distinct, ones, twos over all buckets: added up by Spark, four numbers."""
-    def four(batches):
-        for batch in batches:
-            total = sum((np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()), np.zeros(4, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in total], ["a", "b", "c", "d"])
+@dataclass(frozen=True)
+class Automaton:
+    """Probabilities of a model with corpus totals: training tokens and distinct words among them."""
 
-    row = answers.where("kind = 'stat'").select("keys").mapInArrow(four, "a long, b long, c long, d long").groupBy().sum().first()
-    return [int(x or 0) for x in row]
+    model: Model
+    tokens: int
+    distinct: int
 
+    def root(self, count: np.ndarray) -> np.ndarray:
+        m = self.model.mass[0]
+        return (count + m) / (self.tokens + m * (self.distinct + 1))
 
-def discount(ones: int, twos: int) -> float:
-    return ones / (ones + 2 * twos) if ones and twos else 0.5
+    def arc(self, level: int, count: np.ndarray, context: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """P(w | h) of arcs from contexts of ``level`` words: counts of hw and of h, and P(w | h')."""
+        m = self.model.mass[level]
+        return (count + m * below) / (context + m)
 
+    def failure(self, level: int, context: np.ndarray) -> np.ndarray:
+        """log10 weight of the failure arcs of contexts of ``level`` words."""
+        m = self.model.mass[level]
+        return np.log10(m / (context + m))
 
-def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def traversed(block: Block, a: Automaton) -> np.ndarray:
+    """log10 weights that the block's tokens take on their way through the automaton.
+
+    Before a token the traversal stands in the state of the longest context that the training texts have. It takes the
+    token's arc there, or failure arcs down to the first state that has one; the state after it is the longest suffix of
+    what has been read that is a state. All tokens of a block move at once, from the longest contexts to the root.
+    """
+    first = block.orders[0]
+    probability = a.root(first.total.astype(float))[first.at]
+    walked = np.log10(probability)  # from the root, which has all arcs
+    for level in range(1, len(block.orders)):
+        longer, shorter = block.orders[level], block.orders[level - 1]
+        # the state: the context of ``level`` words before each token
+        state = np.concatenate([[0], shorter.at[:-1]])
+        state[block.start] = block.end if level == 1 else -1
+        context = np.append(shorter.total, 0)[state]  # place -1 has no count
+        known = context > 0  # others are no states: the traversal already stands lower
+        count = np.where(known, np.append(longer.total, 0)[longer.at], 0)
+        probability = np.where(known, a.arc(level, count, context, probability), probability)
+        walked = np.where(count > 0, np.log10(probability), walked + np.where(known, a.failure(level, context), 0.0))
+    return walked
+
+
+def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, model: Model = Model()) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     held_out: boolean column; those rows are scored, not learned from; null counts as false. Words are runs of other than
     [\\x20\\x09-\\x0D], A-Z lower-cased, and each text ends with one end token. Null and empty texts are the end alone.
-    Repeated rows count as often as they are there. Without training texts every word has probability 1. An unknown
-    word stands for all unknown ones: its probability is the discounted mass of the known words.
+    Repeated rows count as often as they are there, null ids keep their rows. Without training texts every word has
+    probability 1. All unknown words share the probability of one word that was never seen. No rows in, no rows out.
     """
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), whole_text(text_col).alias("text"))
-    texts = block_texts(wanted, block_bytes)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    pairs = staged(added_up(emitted(texts, "pair", buckets), "pair", buckets), "lm-pairs")
-    words = staged(added_up(emitted(texts, "word", buckets).unionByName(pairs.where("kind = 'next'")), "word", buckets), "lm-words")
-    total, distinct, w1, w2 = statistics(words)
-    _, _, p1, p2 = statistics(pairs)
-    answers_only = staged(pairs.where("kind = 'answer'"), "lm-answers")  # the continuation counts have been used
-    unstage(pairs)
-    pairs = answers_only
-    d1, d2 = discount(w1, w2), discount(p1, p2)
-
-    def score(block: list[tuple], answers: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        got = [token_keys(t) for _, _, t in block]
-        keys, n = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        held = np.concatenate([np.asarray(h, bool) for _, h, _ in block])
-        ids = [i for k, _, _ in block for i in k]
-        # the texts and what is done with go at once: a block's arrays are the most that a task holds
-        del got
-        block.clear()
-        pa.default_memory_pool().release_unused()
-        train = np.repeat(~held, n)
-        heads = contexts(keys, n)
-        # root: the words of this block, by place in `vocab`
-        vocab, _, seen = counted(keys, train)
-        seen = seen.astype(np.int64)
-        at = np.searchsorted(vocab, keys).astype(np.int32)
-        pairs = pair_keys(heads, keys)
-        del keys
-        arcs, place, arc_n = counted(pairs, train)
-        arc_n = arc_n.astype(np.int64)
-        # continuations of a word nobody else holds: its pairs here
-        follow = np.bincount(np.searchsorted(vocab, heads[place[arc_n > 0]]), minlength=len(vocab)).astype(np.int64)
-        for k, f, c in answers["word"]:
-            where = np.searchsorted(vocab, k)
-            seen[where], follow[where] = c, f
-        for k, _, c in answers["pair"]:
-            arc_n[np.searchsorted(arcs, k)] = c
-        answers.clear()
-        head = np.searchsorted(vocab, heads).astype(np.int32)
-        del heads, train
-        with np.errstate(divide="ignore", invalid="ignore"):
-            root = np.where(seen > 0, (seen - d1) / total, d1 * distinct / total) if total else np.ones(len(vocab))
-            fail = np.where(seen > 0, d2 * follow / seen, 1.0)
-            arc = np.where(arc_n > 0, (arc_n - d2) / seen[head[place]], 0.0)
-            weight = np.log10(arc + fail[head[place]] * root[at[place]])
-            step = np.log10(fail)[head]
-            step += np.log10(root)[at]
-        # the traversal: state = word before; its arc, else failure and root
-        which = np.searchsorted(arcs, pairs).astype(np.int32)
-        del pairs, head
-        hit = arc_n[which] > 0
-        step[hit] = weight[which[hit]]
-        base = np.log10((seen + 1) / (total + distinct + 1))[at]
-        start = np.cumsum(n) - n
-        known = np.add.reduceat((seen[at] > 0).astype(np.int64), start)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(step, start))],
-            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+    blocks = staged(block_rows(wanted, block_bytes), "lm-blocks")
+    total = blocks.agg(F.sum("tokens"), F.count("*")).first()
+    buckets, parts = max(1, -(-(total[0] or 0) // BUCKET_TOKENS)), max(1, total[1])
+    answers: list[DataFrame] = []
+    for level in range(1, model.order + 1):
+        answers.append(staged(added_up(sent(meeting(blocks, answers, parts), level, buckets), buckets), "lm-answers"))
+    sums = answers[0].where("level = 0").agg(F.sum("block"), F.sum("n")).first()
+    automaton = Automaton(model, int(sums[0] or 0), int(sums[1] or 0))
 
     def run(batches):
-        now, block, answers = None, [], {"word": [], "pair": []}
-        for batch in batches:
-            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(kinds):
-                if blocks[at] != now:
-                    if block:
-                        yield from score(block, answers)
-                    now, block, answers = blocks[at], [], {"word": [], "pair": []}
-                if kinds[at] == "text":
-                    to = at
-                    while to < len(kinds) and blocks[to] == now:
-                        to += 1
-                    part = batch.slice(at, to - at)
-                    for k, t in slices(part.column(4)):
-                        block.append((part.column(2).slice(k, len(t)).to_pylist(), part.column(3).slice(k, len(t)).to_numpy(zero_copy_only=False), t))
-                    at = to
-                else:
-                    k, f, c = (batch.column(i)[at].as_py() for i in (5, 6, 7))
-                    answers[kinds[at]].append((gathered(k), from_planes(f, np.int64) if f else None, from_planes(c, np.int64)))
-                    at += 1
-        if block:
-            yield from score(block, answers)
-
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("held", "boolean"), ("text", "string"))]
-    told = [a.where("kind = 'answer'").select("block", F.lit(k).alias("kind"), *none, "keys", "heads", "counts") for k, a in (("pair", pairs), ("word", words))]
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("keys", "heads", "counts")]
-    rows = texts.select("block", F.lit("text").alias("kind"), "id", "held", "text", *empty).unionByName(told[0]).unionByName(told[1])
-    # answers before texts; one block passes by after the other
-    met = rows.repartition(max(1, buckets), "block").sortWithinPartitions("block", F.col("kind") == "text")
-    return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for block in with_answers(batches, buckets, model.order):
+            words = block.orders[0]
+            seen = words.total[words.at]
+            base = np.log10((seen + 1) / (automaton.tokens + automaton.distinct + 1))
+            add = lambda x: np.add.reduceat(x, block.start)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block.row["ids"], pa.int64()), pa.array(block.row["held"], pa.bool_()), pa.array(block.n), pa.array(add((seen > 0).astype(np.int64))),
+                    pa.array(np.full(len(block.n), automaton.tokens)), pa.array(add(base)), pa.array(add(traversed(block, automaton))),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    out = staged(meeting(blocks, answers, parts).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    unstage(blocks, *answers)
+    return out
 
 
 def op10(spark, sf_dir):

@@ -380,31 +380,55 @@ def test_pii_adds_what_context_supports(spark, docs, empty):
     assert pii.pii_spans(docs).count() == docs.count()
 
 
-def test_lm_scores(docs, texts, empty, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 14)
+@pytest.mark.parametrize("mass,block_bytes", [((1.0, 4.0, 1.0), 1 << 14), ((2.0, 3.0), 1 << 12), ((1.0, 4.0, 2.0, 0.5), 1 << 20)])
+def test_lm_scores(docs, texts, empty, monkeypatch, mass, block_bytes):
+    """Against a plain walk through an automaton of states, arcs and failure arcs."""
+    monkeypatch.setattr(lm_scoring, "BUCKET_TOKENS", 1000)
+    model = lm_scoring.Model(mass)
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     toks = {i: [*words(lower(t or "")), None] for i, t in enumerate(texts)}
-    c, p = Counter(), Counter()
+    count = Counter()
     for i, t in toks.items():
         if not held[i]:
-            c.update(t)
-            p.update(zip([None, *t[:-1]], t))
-    n, v, follow = sum(c.values()), len(c), Counter(h for h, _ in p)
-    d1, d2 = (x[1] / (x[1] + 2 * x[2]) for x in (Counter(c.values()), Counter(p.values())))
-    root = lambda w: (c[w] - d1) / n if c[w] else d1 * v / n
-    prob = lambda h, w: max(p[h, w] - d2, 0) / c[h] + d2 * follow[h] / c[h] * root(w) if c[h] else root(w)
+            count.update((w,) for w in t)
+            t = [None, *t]
+            count.update(tuple(t[k : k + o]) for o in range(2, model.order + 1) for k in range(len(t) - o + 1))
+    c = {w: x for (w, *rest), x in count.items() if not rest}
+    n, v = sum(c.values()), len(c)
+
+    def arc(h, w):
+        """P(w | h); every w has an arc at the root."""
+        m = mass[len(h)]
+        if not h:
+            return (c.get(w, 0) + m) / (n + m * (v + 1))
+        return (count[(*h, w)] + m * arc(h[1:], w)) / (count[h] + m)
+
+    def walk(t):
+        state, total = (None,), 0.0  # a text begins in the state of its end symbol
+        for w in t:
+            while state and not count[(*state, w)]:
+                total += math.log10(mass[len(state)] / (count[state] + mass[len(state)]))  # the failure arc
+                state = state[1:]
+            total += math.log10(arc(state, w))
+            state = (*state, w)
+            while len(state) >= model.order or state and not count[state]:
+                state = state[1:]
+        return total
+
     flag = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, flag, block_bytes=1 << 14).collect()}
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs, flag, block_bytes=block_bytes, model=model).collect()}
     assert len(got) == len(texts)
     for i, t in toks.items():
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(prob(h, w)) for h, w in zip([None, *t[:-1]], t)))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(w in c for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in t))
+        assert r.score == pytest.approx(walk(t)), i
     # a state's arcs and failure arc share out all probability
-    for h in list(c)[:20]:
-        assert sum(prob(h, w) for w in c) + (d2 * follow[h] / c[h]) * root("never seen") == pytest.approx(1)
-    assert lm_scoring.lm_scores(empty, F.lit(False)).count() == 0
+    for h in [(), *list(count)[:: len(count) // 30]]:
+        if len(h) < model.order and (h == (None,) or None not in h):
+            assert sum(arc(h, w) for w in c) + arc(h, "never seen") == pytest.approx(1)
+    if block_bytes == 1 << 20:
+        assert lm_scoring.lm_scores(empty, F.lit(False)).count() == 0
 
 
 def test_lm_gains_on_held_out_text(spark):
