@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -376,10 +377,49 @@ def test_pii_adds_what_context_supports(spark, docs, empty):
     for text, span, label in pii.template_rows(4000)[3000:]:  # rows that did not train
         found = span in find(text)
         hits, misses, wrong = hits + (found and label), misses + (label and not found), wrong + (found and not label)
-    assert wrong <= 0.05 * (hits + wrong) and hits > 0.5 * (hits + misses)
+    assert wrong <= 0.05 * (hits + wrong) and hits > 0.85 * (hits + misses)
     assert pii.pii_spans(docs).count() == docs.count()
 
 
+def test_pii_recall_on_planted_rows(spark):
+    """Wider forms planted in texts of the corpus, not by the templates; look-alikes beside them; clean texts stay clean."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    find = pii.finder(*pii.train(docs, "doc_id", "text", pii.Training()))
+    again = pii.finder(*pii.train(docs.repartition(7), "doc_id", "text", pii.Training()))
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    plant = {
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "email": lambda: f"{r.choice(['jo', 'ann.lee', 'k9'])}{digits(2)} [at] {r.choice(['mail', 'post3'])}.{r.choice(['org', 'net'])}",
+        "national_id": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "ip": lambda: ":".join(f"{r.randrange(1 << 16):x}" for _ in range(8)),
+    }
+    texts = [x.text for x in docs.orderBy("doc_id").limit(400).collect()]
+    caught, all_, wrong = Counter(), Counter(), 0
+    for k, t in enumerate(texts):
+        kind = list(plant)[k % 4]
+        w = t.split(" ")
+        at = r.randrange(len(w) + 1)
+        body = plant[kind]()
+        before = " ".join([*w[:at], ""]) if at else ""
+        text = before + body + " " + " ".join(w[at:])
+        spans = find(text)
+        assert spans == again(text)
+        all_[kind] += 1
+        caught[kind] += (kind, len(before), len(before) + len(body)) in spans
+        wrong += any(s not in pii.base_checks(t)[0] for s in find(t))
+    assert all(caught[x] >= 0.9 * all_[x] for x in plant), caught
+    assert wrong <= 4
+
+
+def test_pii_overlaps_take_linear_time():
+    find = pii.finder(*pii.train_rows([], pii.Training()))
+    text = "a@b.co 555-123-4567 " * 20_000
+    began = time.time()
+    assert len(find(text)) >= 20_000
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("mass,block_bytes", [((1.0, 4.0, 1.0), 1 << 14), ((2.0, 3.0), 1 << 12), ((1.0, 4.0, 2.0, 0.5), 1 << 20)])
 def test_lm_scores(docs, texts, empty, monkeypatch, mass, block_bytes):
     """Against a plain walk through an automaton of states, arcs and failure arcs."""
