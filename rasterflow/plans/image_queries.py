@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterflow.operators import blocks, container, entropy, metadata, pixels, resample
+from rasterflow.operators import blocks, container, entropy, expansion, metadata, pixels, resample
 from rasterflow.plans.queries import register
 
 
@@ -128,12 +128,12 @@ def alpha_round_trip(spark, sf_dir):
 
 @register("transparent_images", f"WITH {PX} SELECT image_id, bool_and(a = 255) AS opaque, count(*) FILTER (WHERE a < 128) AS n_clear FROM px GROUP BY image_id")
 def transparent_images(spark, sf_dir):
-    return derived(spark, sf_dir).groupBy("image_id").agg(F.bool_and(F.col("a") == 255).alias("opaque"), F.count_if(F.col("a") < 128).alias("n_clear"))
+    return expansion.opacity(derived(spark, sf_dir))
 
 
 @register("colour_key", f"WITH {PX} SELECT image_id, y, x, CASE WHEN r = 127 AND g >= 120 THEN 0 ELSE 255 END AS alpha FROM px")
 def colour_key(spark, sf_dir):
-    return derived(spark, sf_dir).select("image_id", "y", "x", F.when((F.col("r") == 127) & (F.col("g") >= 120), 0).otherwise(255).alias("alpha"))
+    return derived(spark, sf_dir).select("image_id", "y", "x", expansion.keyed_alpha((F.col("r") == 127) & (F.col("g") >= 120)).alias("alpha"))
 
 
 @register(
@@ -183,7 +183,10 @@ SCORES = """bl AS (SELECT p.image_id, p.y // 16 mby, p.x // 16 mbx, p.r s, coale
 FROM px p LEFT JOIN px t ON t.image_id = p.image_id AND t.x = p.x AND t.y = (p.y // 16) * 16 - 1
 LEFT JOIN px l ON l.image_id = p.image_id AND l.y = p.y AND l.x = (p.x // 16) * 16 - 1
 LEFT JOIN px c ON c.image_id = p.image_id AND c.y = (p.y // 16) * 16 - 1 AND c.x = (p.x // 16) * 16 - 1),
-sc AS (SELECT image_id, mby, mbx, m AS mode, CAST(sum(abs(s - CASE m WHEN 1 THEN a WHEN 2 THEN lf ELSE least(greatest(lf + a - pc, 0), 255) END)) AS BIGINT) AS sad FROM bl, (VALUES (1), (2), (3)) v(m) GROUP BY ALL)"""
+ed AS (SELECT image_id, y // 16 + 1 mby, x // 16 mbx, r s FROM px WHERE y % 16 = 15 UNION ALL SELECT image_id, y // 16, x // 16 + 1, r FROM px WHERE x % 16 = 15),
+mn AS (SELECT image_id, mby, mbx, (2 * sum(s) + count(*)) // (2 * count(*)) mean FROM ed GROUP BY ALL),
+sc AS (SELECT image_id, mby, mbx, m AS mode, CAST(sum(abs(s - CASE m WHEN 0 THEN coalesce(mean, 128) WHEN 1 THEN a WHEN 2 THEN lf ELSE least(greatest(lf + a - pc, 0), 255) END)) AS BIGINT) AS sad
+FROM bl LEFT JOIN mn USING (image_id, mby, mbx), (VALUES (0), (1), (2), (3)) v(m) GROUP BY ALL)"""
 
 
 @register("mode_scores", f"WITH {PX}, {SCORES} SELECT * FROM sc")
