@@ -9,6 +9,8 @@ from rasterflow.functions.integers import floor_div, le32
 from rasterflow.operators import blocks, container, entropy, expansion, metadata, pixels, transforms, walks
 from rasterflow.plans.image_queries import PX, QI, STEPS, derived, qualities, table
 from rasterflow.plans.queries import register
+from rasterflow.sources import sinks
+from rasterflow.streaming import bands
 
 #: One row a 4x4 block, its samples s0 to s15 as columns, from px.r - 128.
 B4 = "b4 AS (SELECT image_id, y // 4 AS \"by\", x // 4 AS bx, " + ", ".join(f"CAST(max(CASE WHEN y % 4 = {k // 4} AND x % 4 = {k % 4} THEN r - 128 END) AS BIGINT) s{k}" for k in range(16)) + " FROM px GROUP BY ALL)"
@@ -349,3 +351,43 @@ def alpha_policies(spark, sf_dir):
     made = table(spark, sf_dir, "part").select("p_partkey", file.alias("file"))
     told = [F.struct(F.lit(p).alias("policy"), container.head_facts(F.col("file"), p)["alpha_status"].alias("alpha_status")) for p in container.ALPHA_POLICIES]
     return made.select("p_partkey", F.inline(F.array(*told)))
+
+
+@register(
+    "two_pass_costs",
+    f"""WITH {PX}, s AS (SELECT image_id, y // 4 band, x // 16 slot, CASE WHEN r > 120 THEN 1 ELSE 0 END bit FROM px),
+p AS (SELECT image_id, slot, least(greatest(round(256e0 * count(*) FILTER (WHERE bit = 0) / count(*)), 1), 255) p FROM s GROUP BY ALL)
+SELECT image_id, band, CAST(sum(round(-256 * log2(CASE bit WHEN 0 THEN p / 256e0 ELSE 1 - p / 256e0 END))) AS BIGINT) AS cost FROM s JOIN p USING (image_id, slot) GROUP BY image_id, band""",
+)
+def two_pass_costs(spark, sf_dir):
+    symbols = band_symbols(spark, sf_dir)
+    # the first pass in two parts, as if the job had been cut between bands
+    state = bands.resumed(bands.band_state(symbols.where("band < 2")), bands.band_state(symbols.where("band >= 2")))
+    return bands.band_costs(symbols, state)
+
+
+def band_symbols(spark, sf_dir):
+    return derived(spark, sf_dir).select("image_id", floor_div(F.col("y"), 4).alias("band"), floor_div(F.col("x"), 16).alias("slot"), (F.col("r") > 120).cast("int").alias("bit"))
+
+
+@register(
+    "image_reports",
+    f"""WITH {PX}, s AS (SELECT image_id, CAST(max(x) + 1 AS BIGINT) width, CAST(max(y) + 1 AS BIGINT) height, count(*) FILTER (WHERE a < 255) clear FROM px GROUP BY image_id)
+SELECT image_id, '{{"image_id":' || image_id || ',"width":' || width || ',"height":' || height || ',"clear":' || clear || ',"status":"ok"}}' AS report FROM s""",
+)
+def image_reports(spark, sf_dir):
+    facts = derived(spark, sf_dir).groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count_if(F.col("a") < 255).alias("clear"))
+    return sinks.reports(facts.withColumn("status", F.lit("ok")), "image_id", "width", "height", "clear", "status").select("image_id", "report")
+
+
+@register(
+    "code_length_tokens",
+    f"""WITH {PX}, m AS (SELECT image_id * 16 + y line, x, r // 32 v FROM px), i AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END new FROM m WINDOW w AS (PARTITION BY line ORDER BY x)),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY line ORDER BY x) AS BIGINT) run FROM i), n AS (SELECT line, run, v, count(*) n FROM s GROUP BY ALL),
+z AS (SELECT line, sum(CASE WHEN v = 0 THEN n // 138 + CASE WHEN n % 138 = 0 THEN 0 WHEN n % 138 < 3 THEN n % 138 ELSE 1 END
+ ELSE 1 + (n - 1) // 6 + CASE WHEN (n - 1) % 6 = 0 THEN 0 WHEN (n - 1) % 6 < 3 THEN (n - 1) % 6 ELSE 1 END END) tokens FROM n GROUP BY line)
+SELECT line, CAST(tokens AS BIGINT) AS tokens FROM z""",
+)
+def code_length_tokens(spark, sf_dir):
+    lines = derived(spark, sf_dir).select((F.col("image_id") * 16 + F.col("y")).alias("line"), "x", F.floor(F.col("r") / 32).cast("bigint").alias("v"))
+    return entropy.code_length_tokens(entropy.runs(lines, "line", "x", "v").withColumnsRenamed({"line": "key", "v": "value"})).groupBy(F.col("key").alias("line")).agg(F.count("*").alias("tokens"))
