@@ -20,7 +20,8 @@ from rasterflow.llm.secrets import redact_secrets
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled rules keep. Other columns are carried aside, so that their
-    names never meet the operator's."""
+    names never meet the operator's. A null text has no words and goes; repeated rows and null ids are judged like any other;
+    without labels only the base rules reject; no rows in, no rows out."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
     carried = docs.select("doc_id", "text", "lang", F.struct(*rest).alias("_rest")) if rest else docs
     kept = quality_rules(carried, table(spark, sf_dir, "labels")).where("kept")
@@ -28,23 +29,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts."""
+    """One document of each class of equal texts: of most code points, then least id. Null texts are one class with blank
+    ones; of repeated rows one stays, null ids come last; no rows in, no rows out."""
     return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of similar texts (five-word n-grams, similarity 0.8 or more)."""
+    """The document of least id of each component of similar texts (five-word n-grams, similarity 0.8 or more). Texts without
+    words, null ones too, and rows of null id link with nothing and stay; rows of one id stay or go together."""
     gone = ngram_join(docs, Similarity(words=5, part=80)).where("component_id <> id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind in brackets."""
+    """All documents, with secrets replaced by their kind in brackets; null and empty texts stay as they are."""
     return redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in training sequences."""
+    """Pieces of all documents and their places in training sequences; a null or empty text is one piece of its end id; ties
+    of length go by id, piece and content; no rows in, no rows out."""
     return pack_documents(docs)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,9 +40,12 @@ def pinned(c: Column) -> Column:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The shared folder for staged tables: spark.checkpoint.dir. Where that is unset, a local folder will do for a session of
+    one process; on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rasterflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
