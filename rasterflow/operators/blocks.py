@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 from rasterflow.functions.integers import clamp255, floor_div
 
 #: Fixed values (RFC 6386): quantiser steps by index, for DC and AC.
-DC_STEPS = """
-4 5 6 7 8 9 10 10 11 12 13 14 15 16 17 17 18 19 20 20 21 21 22 22 23 23 24 25 25 26 27 28 29 30 31 32 33 34 35 36 37 37 38 39 40 41 42 43 44 45 46 46
-47 48 49 50 51 52 53 54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 69 70 71 72 73 74 75 76 76 77 78 79 80 81 82 83 84 85 86 87 88 89 91 93 95 96 98
-100 101 102 104 106 108 110 112 114 116 118 122 124 126 128 130 132 134 136 138 140 143 145 148 151 154 157
-"""
-AC_STEPS = """
-4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 49 50 51 52 53 54 55
-56 57 58 60 62 64 66 68 70 72 74 76 78 80 82 84 86 88 90 92 94 96 98 100 102 104 106 108 110 112 114 116 119 122 125 128 131 134 137 140 143 146 149
-152 155 158 161 164 167 170 173 177 181 185 189 193 197 201 205 209 213 217 221 225 229 234 239 245 249 254 259 264 269 274 279 284
-"""
-#: Quality and quantiser index of the knots between which quality is interpolated.
-KNOTS = "0 127, 5 86, 10 75, 15 68, 20 62, 25 57, 30 52, 35 48, 40 45, 45 41, 50 38, 55 36, 60 33, 65 30, 70 28, 75 26, 80 19, 85 14, 90 9, 95 4, 98 1, 100 0"
+DC_STEPS = (
+    4, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15, 16, 17, 17, 18, 19, 20, 20, 21, 21, 22, 22, 23, 23, 24, 25, 25, 26, 27, 28, 29, 30, 31, 32, 33, 34,
+    35, 36, 37, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 59, 60, 61, 62, 63, 64, 65, 66, 67, 68,
+    69, 70, 71, 72, 73, 74, 75, 76, 76, 77, 78, 79, 80, 81, 82, 83, 84, 85, 86, 87, 88, 89, 91, 93, 95, 96, 98, 100, 101, 102, 104, 106, 108, 110,
+    112, 114, 116, 118, 122, 124, 126, 128, 130, 132, 134, 136, 138, 140, 143, 145, 148, 151, 154, 157,
+)
+AC_STEPS = (
+    4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41,
+    42, 43, 44, 45, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 57, 58, 60, 62, 64, 66, 68, 70, 72, 74, 76, 78, 80, 82, 84, 86, 88, 90, 92, 94, 96,
+    98, 100, 102, 104, 106, 108, 110, 112, 114, 116, 119, 122, 125, 128, 131, 134, 137, 140, 143, 146, 149, 152, 155, 158, 161, 164, 167, 170, 173,
+    177, 181, 185, 189, 193, 197, 201, 205, 209, 213, 217, 221, 225, 229, 234, 239, 245, 249, 254, 259, 264, 269, 274, 279, 284,
+)
+#: Fixed values (a calibration of quality to quantiser index, not part of the format): the knots between which is interpolated.
+KNOTS = (
+    (0, 127), (5, 86), (10, 75), (15, 68), (20, 62), (25, 57), (30, 52), (35, 48), (40, 45), (45, 41), (50, 38),
+    (55, 36), (60, 33), (65, 30), (70, 28), (75, 26), (80, 19), (85, 14), (90, 9), (95, 4), (98, 1), (100, 0),
+)
 
 
 def knots() -> list[tuple[int, int]]:
-    return [tuple(map(int, k.split())) for k in KNOTS.split(",")]
+    return list(KNOTS)
 
 
 def steps() -> list[tuple[int, int, int]]:
-    return [(i, d, a) for i, (d, a) in enumerate(zip(map(int, DC_STEPS.split()), map(int, AC_STEPS.split())))]
+    return [(i, d, a) for i, (d, a) in enumerate(zip(DC_STEPS, AC_STEPS))]
 
 
 def quality_index(qualities: DataFrame, quality: str = "quality") -> DataFrame:
@@ -40,13 +45,17 @@ def quality_index(qualities: DataFrame, quality: str = "quality") -> DataFrame:
     return out.withColumn("q_index", F.round(at).cast("int")).drop("lo", "hi", "from_i", "to_i")
 
 
-def quantiser_steps(indexed: DataFrame) -> DataFrame:
-    """Rows with q_index joined to the steps of all planes, 128 rows of them."""
-    table = F.broadcast(indexed.sparkSession.createDataFrame(steps(), "q_index int, dc int, ac int"))
-    return indexed.join(table, "q_index").select(
-        *indexed.columns, F.col("dc").alias("y_dc"), F.col("ac").alias("y_ac"), (F.col("dc") * 2).alias("y2_dc"),
-        F.greatest(F.lit(8), F.floor(F.col("ac") * 155 / 100)).cast("int").alias("y2_ac"), F.least(F.col("dc"), F.lit(132)).alias("uv_dc"), F.col("ac").alias("uv_ac"),
-    )
+def quantiser_steps(indexed: DataFrame, deltas: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:
+    """Rows with q_index joined to the steps of all planes, 128 rows of them. deltas: added to the index for luma DC, chroma DC
+    and chroma AC, inside 0..127."""
+    at = lambda table, i: table[min(max(i, 0), 127)]
+    y_dc, uv_dc, uv_ac = deltas
+    rows = [
+        (i, at(DC_STEPS, i + y_dc), ac, 2 * DC_STEPS[i], max(8, ac * 155 // 100), min(at(DC_STEPS, i + uv_dc), 132), at(AC_STEPS, i + uv_ac)) for i, ac in enumerate(AC_STEPS)
+    ]
+    names = "q_index int, y_dc int, y_ac int, y2_dc int, y2_ac int, uv_dc int, uv_ac int"
+    table = F.broadcast(indexed.sparkSession.createDataFrame(rows, names))
+    return indexed.join(table, "q_index").select(*indexed.columns, "y_dc", "y_ac", "y2_dc", "y2_ac", "uv_dc", "uv_ac")
 
 
 def quantised(coefficient: Column, step: Column, bias: float = 0.65) -> Column:

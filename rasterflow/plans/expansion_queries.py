@@ -391,3 +391,12 @@ SELECT line, CAST(tokens AS BIGINT) AS tokens FROM z""",
 def code_length_tokens(spark, sf_dir):
     lines = derived(spark, sf_dir).select((F.col("image_id") * 16 + F.col("y")).alias("line"), "x", F.floor(F.col("r") / 32).cast("bigint").alias("v"))
     return entropy.code_length_tokens(entropy.runs(lines, "line", "x", "v").withColumnsRenamed({"line": "key", "v": "value"})).groupBy(F.col("key").alias("line")).agg(F.count("*").alias("tokens"))
+
+
+@register(
+    "shifted_steps",
+    f"""WITH {QI}, {STEPS} SELECT p_partkey, qi.q_index, a.dc AS y_dc, m.ac AS y_ac, m.dc * 2 AS y2_dc, greatest(8, m.ac * 155 // 100) AS y2_ac, least(b.dc, 132) AS uv_dc, c.ac AS uv_ac FROM qi
+JOIN st m ON m.q_index = qi.q_index JOIN st a ON a.q_index = greatest(qi.q_index - 3, 0) JOIN st b ON b.q_index = least(qi.q_index + 5, 127) JOIN st c ON c.q_index = least(qi.q_index + 2, 127)""",
+)
+def shifted_steps(spark, sf_dir):
+    return blocks.quantiser_steps(qualities(spark, sf_dir), (-3, 5, 2)).select("p_partkey", "q_index", "y_dc", "y_ac", "y2_dc", "y2_ac", "uv_dc", "uv_ac")
