@@ -77,10 +77,17 @@ def mine(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     return found.join(longer, "rule_tokens", "left_anti").withColumn("key", F.element_at("rule_tokens", -1))
 
 
-def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Mining = Mining()) -> DataFrame:
+def labelled_tokens(labels: DataFrame) -> DataFrame:
+    """Rows (tokens, blocked) of labelled URLs (url, blocked); a null label counts as not blocked."""
+    host, path = split_url(F.col("url"))
+    return labels.select(tokens(host, path, query_of(F.col("url"))).alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+
+
+def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Mining = Mining(), labels: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule, verdict, n_mined (mined rules that match).
 
-    URLs that a fixed rule decides are the labels; a mined rule blocks a URL that no fixed rule fits, else it is allowed.
+    Rules are mined from ``labels`` (url, blocked) alone where they are given. Without, the URLs that a fixed rule decides
+    are the labels and the others the background. A mined rule blocks a URL that no fixed rule fits, else it is allowed.
     Null URLs and those without '://' have an empty host and path, no tokens, and are allowed. Repeated rows are judged
     alike. Columns of ``pages`` with the names of new ones are replaced.
     """
@@ -89,7 +96,8 @@ def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Minin
     cut = pages.withColumn("host", pinned(host)).withColumn("path", pinned(path))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     cut = cut.withColumn("rule", rule).withColumn("_said", verdict).withColumn("_tokens", pinned(tokens(F.col("host"), F.col("path"), query_of(F.col(url_col)))))
-    mined = mine(cut.select(F.col("_tokens").alias("tokens"), (F.col("_said") == "block").alias("blocked")), mining)
+    own = cut.select(F.col("_tokens").alias("tokens"), (F.col("_said") == "block").alias("blocked"))
+    mined = mine(own if labels is None else labelled_tokens(labels), mining)
     # one index entry for each filing token: its rules; their number is bounded by 1 / support and the tokens of a URL
     index = mined.groupBy("key").agg(F.collect_list("rule_tokens").alias("rules"))
     index = index.agg(F.map_from_entries(F.collect_list(F.struct("key", "rules"))).alias("_index"))
