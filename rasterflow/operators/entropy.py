@@ -89,3 +89,8 @@ def code_length_tokens(runs: DataFrame) -> DataFrame:
         many(left, lambda i: token(F.col("value"), F.lit(0), 0)),
     )
     return runs.select("key", "run", F.posexplode(F.when(F.col("value") == 0, zeros).otherwise(others)).alias("k", "t")).select("key", "run", "k", "t.token", "t.extra", "t.bits")
+
+
+def probability_updates(adapted_: DataFrame, old: Column) -> DataFrame:
+    """One row: how many slots changed their probability, and the bits that they save together."""
+    return adapted_.agg(F.count_if(F.col("p") != old).alias("updates"), F.round(F.sum("saved"), 4).alias("saved"))

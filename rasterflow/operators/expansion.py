@@ -81,3 +81,46 @@ def chosen_filter(candidates: DataFrame) -> DataFrame:
     tried = candidates.join(F.broadcast(order), "filter").where((F.col("filter") != "horizontal") | (F.col("pixels") <= THOROUGH_PIXELS))
     best = tried.groupBy("image_id").agg(F.min_by(F.struct("filter", "length"), F.struct("length", "place")).alias("b"))
     return best.select("image_id", "b.filter", "b.length")
+
+
+def scanline_pixels(rows: DataFrame) -> DataFrame:
+    """Pixels (image_id, y, x, r, g, b, a) of 8-bit scanline samples (image_id, color_type, y, samples): grey, RGB, grey with
+    alpha or RGB with alpha; other colour types give no pixels. 255 where there is no alpha."""
+    channels = F.when(F.col("color_type") == 0, 1).when(F.col("color_type") == 2, 3).when(F.col("color_type") == 4, 2).when(F.col("color_type") == 6, 4)
+    sized = rows.withColumn("c", channels).withColumn("n", F.floor(F.size("samples") / F.col("c")).cast("int")).where("n > 0")
+    each = sized.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda k: F.get("samples", F.col("x") * F.col("c") + k)
+    colour = F.col("c") >= 3
+    alpha = F.when(F.col("c").isin(2, 4), at(F.col("c") - 1)).otherwise(F.lit(255))
+    return each.select(
+        "image_id", "y", F.col("x").cast("bigint").alias("x"), at(F.lit(0)).alias("r"), F.when(colour, at(F.lit(1))).otherwise(at(F.lit(0))).alias("g"),
+        F.when(colour, at(F.lit(2))).otherwise(at(F.lit(0))).alias("b"), alpha.alias("a"),
+    )
+
+
+def clipped(levels: DataFrame, dims: DataFrame, size: int = 8) -> DataFrame:
+    """Samples (image_id, y, x, s) of block levels (image_id, by, bx, y, x, level) inside the display size (image_id, w, h)."""
+    placed = levels.select("image_id", (F.col("by") * size + F.col("y")).alias("y"), (F.col("bx") * size + F.col("x")).alias("x"), F.col("level").alias("s"))
+    return placed.join(dims, "image_id").where("x < w AND y < h").select("image_id", "y", "x", "s")
+
+
+def plane_rows(plane: DataFrame, name: str) -> DataFrame:
+    """Rows (image_id, plane, row, samples) of a plane (image_id, y, x, s), a byte a sample; one row of one image at a time."""
+    lists = plane.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "s"))).alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda v: F.lpad(F.hex(v["s"]), 2, "0")), ""))
+    return lists.select("image_id", F.lit(name).alias("plane"), F.col("y").alias("row"), data.alias("samples"))
+
+
+#: Names of the alpha filters by their code.
+FILTER_NAMES = ("none", "horizontal", "vertical", "gradient")
+
+
+def filter_name(code: Column) -> Column:
+    return F.get(F.array(*map(F.lit, FILTER_NAMES)), code.cast("int"))
+
+
+def geometry_status(width: Column, height: Column, expected_width: Column, expected_height: Column, most: int = 16383) -> Column:
+    """ok, bad_size (outside 1 to ``most``), or unexpected where a size was named and differs."""
+    legal = width.between(1, most) & height.between(1, most)
+    differs = (F.coalesce(expected_width, width) != width) | (F.coalesce(expected_height, height) != height)
+    return F.when(~F.coalesce(legal, F.lit(False)), "bad_size").when(differs, "unexpected").otherwise("ok")

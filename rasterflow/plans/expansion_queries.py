@@ -6,12 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import floor_div, le32
-from rasterflow.operators import blocks, container, entropy, expansion, metadata, pixels, transforms, walks
-from rasterflow.plans.image_queries import PX, QI, STEPS, derived, qualities, table
+from rasterflow.operators import blocks, container, entropy, expansion, metadata, pixels, resample, transforms, walks
+from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
 from rasterflow.streaming import bands
 
+#: Adapted probabilities of the slots.
+ADAPTED = """pp AS (SELECT *, CAST(least(greatest(round(256e0 * n0 / (n0 + n1)), 8), 247) AS INTEGER) np FROM ct),
+sv AS (SELECT *, round(-(n0 * log2(128 / 256e0) + n1 * log2(1 - 128 / 256e0)) + (n0 * log2(np / 256e0) + n1 * log2(1 - np / 256e0)), 6) gain FROM pp),
+ad AS (SELECT slot, CASE WHEN ok THEN np ELSE 128 END p, CASE WHEN ok THEN gain ELSE 0e0 END saved
+FROM (SELECT *, n0 + n1 >= 16 AND gain > -log2(1 - 250 / 256e0) + 8 + log2(250 / 256e0) + 8 ok FROM sv))"""
 #: One row a 4x4 block, its samples s0 to s15 as columns, from px.r - 128.
 B4 = "b4 AS (SELECT image_id, y // 4 AS \"by\", x // 4 AS bx, " + ", ".join(f"CAST(max(CASE WHEN y % 4 = {k // 4} AND x % 4 = {k % 4} THEN r - 128 END) AS BIGINT) s{k}" for k in range(16)) + " FROM px GROUP BY ALL)"
 
@@ -400,3 +405,68 @@ JOIN st m ON m.q_index = qi.q_index JOIN st a ON a.q_index = greatest(qi.q_index
 )
 def shifted_steps(spark, sf_dir):
     return blocks.quantiser_steps(qualities(spark, sf_dir), (-3, 5, 2)).select("p_partkey", "q_index", "y_dc", "y_ac", "y2_dc", "y2_ac", "uv_dc", "uv_ac")
+
+
+@register(
+    "scanline_pixels",
+    f"""WITH {PX}, t AS (SELECT *, CASE image_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 6 END ct FROM px)
+SELECT image_id, y, x, r, CASE WHEN ct IN (2, 6) THEN g ELSE r END AS g, CASE WHEN ct IN (2, 6) THEN b ELSE r END AS b, CASE WHEN ct IN (4, 6) THEN a ELSE 255 END AS a FROM t""",
+)
+def scanline_pixels(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, (0, 2, 4, 6))), (F.col("image_id") % 4).cast("int"))
+    stored = F.when(F.col("color_type") == 0, F.array("r")).when(F.col("color_type") == 2, F.array("r", "g", "b")).when(F.col("color_type") == 4, F.array("r", "a")).otherwise(F.array("r", "g", "b", "a"))
+    px = derived(spark, sf_dir).withColumn("color_type", kind).select("image_id", "color_type", "y", "x", stored.alias("v"))
+    rows = px.groupBy("image_id", "color_type", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("p"))
+    return expansion.scanline_pixels(rows.select("image_id", "color_type", "y", F.flatten(F.col("p.v")).alias("samples")))
+
+
+@register("clipped_blocks", f"""WITH {PX} SELECT px.image_id, y, x, r AS s FROM px JOIN sz ON sz.image_id = px.image_id WHERE x < w - 3 AND y < h - 3""")
+def clipped_blocks(spark, sf_dir):
+    px = derived(spark, sf_dir)
+    levels = px.select("image_id", floor_div(F.col("y"), 8).alias("by"), floor_div(F.col("x"), 8).alias("bx"), (F.col("y") % 8).alias("y"), (F.col("x") % 8).alias("x"), F.col("r").alias("level"))
+    return expansion.clipped(levels, pixels.sizes(px).select("image_id", (F.col("w") - 3).alias("w"), (F.col("h") - 3).alias("h")))
+
+
+@register(
+    "upsampled_rgb",
+    f"""WITH {PX}, {DOUBLED}, u AS (SELECT image_id, y, x, s FROM v2 JOIN sz USING (image_id) WHERE x < w AND y < h)
+SELECT image_id, y, x, least(greatest(r + ((91881 * (b - 128)) >> 16), 0), 255) AS red, least(greatest(r - ((22554 * (s - 128) + 46802 * (b - 128)) >> 16), 0), 255) AS green,
+least(greatest(r + ((116130 * (s - 128)) >> 16), 0), 255) AS blue FROM px JOIN u USING (image_id, y, x)""",
+)
+def upsampled_rgb(spark, sf_dir):
+    px = derived(spark, sf_dir)
+    chroma = resample.upsampled(resample.chroma_plane(px), pixels.sizes(px))
+    red, green, blue = pixels.ycc_to_rgb(F.col("r"), F.col("s"), F.col("b"))
+    return px.join(chroma, ["image_id", "y", "x"]).select("image_id", "y", "x", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+@register(
+    "plane_rows",
+    f"""WITH {PX} SELECT image_id, 'y' AS plane, y AS row, string_agg(right('0' || hex((16839*r + 33059*g + 6420*b + 1081344) >> 16), 2), '' ORDER BY x) AS samples FROM px GROUP BY image_id, y""",
+)
+def plane_rows(spark, sf_dir):
+    luma = derived(spark, sf_dir).select("image_id", "y", "x", pixels.luma(F.col("r"), F.col("g"), F.col("b")).alias("s"))
+    return expansion.plane_rows(luma, "y").withColumn("samples", F.hex("samples"))
+
+
+@register("filter_names", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'horizontal' WHEN 2 THEN 'vertical' WHEN 3 THEN 'gradient' END AS name FROM part")
+def filter_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", expansion.filter_name(F.col("p_partkey") % 5).alias("name"))
+
+
+@register(
+    "geometry_status",
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'bad_size' WHEN p_partkey % 3 = 0 AND p_size <> 10 THEN 'unexpected' ELSE 'ok' END AS status FROM part""",
+)
+def geometry_status(spark, sf_dir):
+    width = F.when(F.col("p_partkey") % 7 == 0, F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(16384)).otherwise(F.col("p_size"))
+    expected = F.when(F.col("p_partkey") % 3 == 0, 10)
+    return table(spark, sf_dir, "part").select("p_partkey", expansion.geometry_status(width, F.lit(5), expected, F.lit(None)).alias("status"))
+
+
+@register(
+    "probability_updates",
+    f"WITH {PX}, {COUNTS}, {ADAPTED} SELECT count(*) FILTER (WHERE p <> 128) AS updates, round(sum(saved), 4) AS saved FROM ad",
+)
+def probability_updates(spark, sf_dir):
+    return entropy.probability_updates(entropy.adapted(entropy.symbol_counts(symbols(spark, sf_dir)), F.lit(128), F.lit(250)), F.lit(128))

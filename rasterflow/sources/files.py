@@ -21,6 +21,13 @@ def raw_rgb(spark: SparkSession, path: str, width: int, height: int) -> DataFram
     return files.select("path", F.when(fits, "ok").otherwise("error").alias("status"), F.when(fits, F.col("content")).alias("content"))
 
 
+def raw_alpha(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
+    """As raw_rgb, for one alpha byte a pixel."""
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") == width * height
+    return files.select("path", F.when(fits, "ok").otherwise("error").alias("status"), F.when(fits, F.col("content")).alias("content"))
+
+
 def decoded(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, channels, data): pixels of PNG, JPEG and BMP files, rows from the top, channels as BGR(A) or
     grey; files that cannot be decoded have width -1."""
