@@ -37,7 +37,7 @@ from rasterflow.llm.planes import from_planes, gathered, planes, spread
 from rasterflow.llm.words import slices
 
 #: Text bytes of a block and tokens whose n-grams make one bucket; they bound a task's memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_TOKENS = 1 << 20
 END = np.uint64(0x5D588B656C078965)
 _WORDS: list[WordHashes] = []
@@ -121,15 +121,14 @@ def block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
 @dataclass
 class Grams:
     """The distinct n-grams of one order in a block: at (of each token; -1 where a text's start cuts it off), key, own and total
-    training counts, and whether other blocks have it."""
+    training counts, whether other blocks have it, and the places of those that are sent, by key."""
 
     at: np.ndarray
     key: np.ndarray
     own: np.ndarray
     total: np.ndarray
     abroad: np.ndarray
-    asked: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # places of those that are sent, in their order
-    bucket: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # and their buckets
+    asked: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 class Block:
@@ -138,7 +137,7 @@ class Block:
     def __init__(self, row: dict, buckets: int):
         self.row, self.buckets = row, buckets
         self.vocabulary = gathered(pa.decompress(row["vocabulary"], 8 * row["words"], "zstd", asbytes=True))
-        self.tokens = opened(row["text"], row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = opened(row["text"], row["tokens"], np.uint32).astype(np.int32)
         self.n = np.asarray(row["n"], np.int64)
         self.start = np.cumsum(self.n) - self.n
         self.train = np.repeat(~np.asarray(row["held"], bool), self.n)
@@ -149,44 +148,64 @@ class Block:
         """The n-grams one longer than before; ``asked`` are those whose counts other blocks may add to."""
         size = len(self.vocabulary)
         if not self.orders:
-            at, key, parent, word = self.tokens, self.vocabulary, None, None
-            asked = np.ones(size, bool)
+            at, key = self.tokens, self.vocabulary
+            where = np.arange(size)
         else:
             short = self.orders[-1]
-            head = np.concatenate([[0], short.at[:-1]])
+            head = np.empty_like(short.at)
+            head[1:] = short.at[:-1]
             head[self.start] = self.end if len(self.orders) == 1 else -1  # a text begins in the state of its end symbol
-            good = head >= 0
-            found, inverse = np.unique(head[good] * size + self.tokens[good], return_inverse=True)
-            parent, word = found // size, found % size
-            at = np.full(len(head), -1, np.int64)
-            at[good] = inverse
-            key = mixed(short.key[parent] * _P[len(self.orders) % 8] + mixed(self.vocabulary[word]))
-            # the last words of the n-gram, without its first one, at any place where it stands
-            place = np.zeros(len(found), np.int64)
-            place[inverse] = np.flatnonzero(good)
-            asked = short.abroad[parent] & short.abroad[short.at[place]]
+            good = np.flatnonzero(head >= 0)
+            found, place, one = ranked(head[good].astype(np.int64) * size + self.tokens[good])
+            del head
+            at = np.full(len(short.at), -1, np.int32)
+            at[good] = place
+            parent = found // size
+            key = short.key[parent] * _P[len(self.orders) % 8]
+            key += mixed(self.vocabulary)[found - parent * size]
+            key = mixed(key)
+            # the n-gram without its first word ends at the same token, at any place where it stands
+            where = np.flatnonzero(short.abroad[parent] & short.abroad[short.at[good[one]]])
+            del good, found, place, one, parent
         own = np.bincount(at[self.train & (at >= 0)], minlength=len(key))
-        grams = Grams(at, key, own, own.copy(), np.zeros(len(key), bool))
-        where = np.flatnonzero(asked)
-        bucket = (mixed(key[where]) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((key[where], bucket))
-        grams.asked, grams.bucket = where[order], bucket[order]
+        grams = Grams(at, key, own, own, np.zeros(len(key), bool))
+        grams.asked = where[np.argsort(key[where])]
         self.orders.append(grams)
         return grams
 
     def parts(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, places) of what the last order sends; only buckets that get something."""
+        """(bucket, places) of what the last order sends; only buckets that get something. Buckets are ranges of keys."""
         g = self.orders[-1]
-        cut = np.flatnonzero(np.diff(g.bucket, prepend=-1))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(g.asked)]):
-            yield int(g.bucket[a]), g.asked[a:b]
+        bucket = ((g.key[g.asked] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        for a, b in zip(cut, [*cut[1:], len(bucket)]):
+            yield int(bucket[a]), g.asked[a:b]
 
     def answer(self, answers: dict[int, bytes]) -> None:
         g = self.orders[-1]
+        g.total = g.own.copy()
         for bucket, where in self.parts():
-            got = opened(answers[bucket], len(where), np.int64)
+            got = opened(answers.pop(bucket), len(where), np.int64)
             g.total[where], g.abroad[where] = got >> 1, (got & 1) == 1
-        g.asked = g.bucket = np.zeros(0, np.int64)
+        g.asked = g.own = np.zeros(0, np.int64)  # they have done their work
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values ascending, rank of each element's value, place of one element of each value)."""
+    bits = max(1, len(x).bit_length())
+    if not len(x) or int(x.max()).bit_length() + bits > 63:
+        found, one, place = np.unique(x, return_index=True, return_inverse=True)
+        return found, place, one
+    # value and place in one integer: a single sort in place
+    both = x << bits
+    both |= np.arange(len(x))
+    both.sort()
+    place = both & ((1 << bits) - 1)
+    both >>= bits
+    first = np.concatenate([[True], both[1:] != both[:-1]])
+    rank = np.empty(len(x), np.int32)
+    rank[place] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return both[first], rank, place[first]
 
 
 CHUNK = "block long, level int, bucket int, n int, keys binary, counts binary"
@@ -195,6 +214,7 @@ ARROW_CHUNK = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket"
 
 def with_answers(batches, buckets: int, levels: int) -> Iterator[Block]:
     """Blocks with the orders that have been answered: rows of a block follow each other, answers first."""
+    _WORDS.clear()  # tokens have been made
     now, answers = None, {}
     for batch in batches:
         for k in range(len(batch)):
@@ -288,27 +308,37 @@ class Automaton:
         return np.log10(m / (context + m))
 
 
+#: Tokens that move through the automaton at once.
+STEP = 1 << 18
+
+
 def traversed(block: Block, a: Automaton) -> np.ndarray:
     """log10 weights that the block's tokens take on their way through the automaton.
 
     Before a token the traversal stands in the state of the longest context that the training texts have. It takes the
     token's arc there, or failure arcs down to the first state that has one; the state after it is the longest suffix of
-    what has been read that is a state. All tokens of a block move at once, from the longest contexts to the root.
+    what has been read that is a state. Tokens move ``STEP`` at once, and carry the state between steps.
     """
-    first = block.orders[0]
-    probability = a.root(first.total.astype(float))[first.at]
-    walked = np.log10(probability)  # from the root, which has all arcs
-    for level in range(1, len(block.orders)):
-        longer, shorter = block.orders[level], block.orders[level - 1]
-        # the state: the context of ``level`` words before each token
-        state = np.concatenate([[0], shorter.at[:-1]])
-        state[block.start] = block.end if level == 1 else -1
-        context = np.append(shorter.total, 0)[state]  # place -1 has no count
-        known = context > 0  # others are no states: the traversal already stands lower
-        count = np.where(known, np.append(longer.total, 0)[longer.at], 0)
-        probability = np.where(known, a.arc(level, count, context, probability), probability)
-        walked = np.where(count > 0, np.log10(probability), walked + np.where(known, a.failure(level, context), 0.0))
-    return walked
+    out = np.empty(len(block.tokens))
+    starts = np.zeros(len(block.tokens), bool)
+    starts[block.start] = True
+    totals = [np.append(g.total, 0) for g in block.orders]  # place -1 has no count
+    carried = [-1] * len(block.orders)  # the n-grams of each order that end at the last token of the step before
+    for low in range(0, len(out), STEP):
+        now = slice(low, low + STEP)
+        probability = a.root(totals[0][block.orders[0].at[now]].astype(float))
+        walked = np.log10(probability)  # from the root, which has all arcs
+        for level in range(1, len(block.orders)):
+            state = np.concatenate([[carried[level - 1]], block.orders[level - 1].at[now][:-1]])
+            state[starts[now]] = block.end if level == 1 else -1
+            context = totals[level - 1][state]
+            known = context > 0  # others are no states: the traversal already stands lower
+            count = np.where(known, totals[level][block.orders[level].at[now]], 0)
+            probability = np.where(known, a.arc(level, count, context, probability), probability)
+            walked = np.where(count > 0, np.log10(probability), walked + np.where(known, a.failure(level, context), 0.0))
+        carried = [int(g.at[now][-1]) for g in block.orders]
+        out[now] = walked
+    return out
 
 
 def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, model: Model = Model()) -> DataFrame:
@@ -332,13 +362,12 @@ def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for block in with_answers(batches, buckets, model.order):
             words = block.orders[0]
-            seen = words.total[words.at]
-            base = np.log10((seen + 1) / (automaton.tokens + automaton.distinct + 1))
+            price = np.log10((words.total + 1) / (automaton.tokens + automaton.distinct + 1))
             add = lambda x: np.add.reduceat(x, block.start)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(block.row["ids"], pa.int64()), pa.array(block.row["held"], pa.bool_()), pa.array(block.n), pa.array(add((seen > 0).astype(np.int64))),
-                    pa.array(np.full(len(block.n), automaton.tokens)), pa.array(add(base)), pa.array(add(traversed(block, automaton))),
+                    pa.array(block.row["ids"], pa.int64()), pa.array(block.row["held"], pa.bool_()), pa.array(block.n), pa.array(add((words.total > 0).astype(np.int64)[words.at])),
+                    pa.array(np.full(len(block.n), automaton.tokens)), pa.array(add(price[words.at])), pa.array(add(traversed(block, automaton))),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
