@@ -11,8 +11,6 @@ writer commits the files, so a lost task leaves none behind, and any store that
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
