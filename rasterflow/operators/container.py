@@ -57,6 +57,15 @@ def bmp_has_alpha(content: Column) -> Column:
     return F.coalesce(size.isin(*BMP_HEADS) & (packing != 0) & (mask != 0) & room, F.lit(False))
 
 
+def webp_size(content: Column) -> Column:
+    """Struct (width, height) from the head of a WebP file, by the kind of its first chunk."""
+    chunk, less = F.substring(content, 13, 4).cast("string"), le_uint(content, 21, 4)
+    side = lambda x, lossy, lossless: F.when(chunk == "VP8X", x).when(chunk == "VP8 ", lossy).when(chunk == "VP8L", lossless)
+    low14 = lambda c: c.bitwiseAND(F.lit(0x3FFF))
+    width = side(1 + le_uint(content, 24, 3), low14(le_uint(content, 26, 2)), 1 + low14(less))
+    return F.struct(width.alias("width"), side(1 + le_uint(content, 27, 3), low14(le_uint(content, 28, 2)), 1 + low14(F.shiftright(less, 14))).alias("height"))
+
+
 def head_facts(content: Column, alpha_policy: str = "keep") -> Column:
     """Struct (type, width, height, depth, color_type, may_have_alpha, status, alpha_status) from the first HEAD_BYTES of a file.
 
@@ -65,15 +74,11 @@ def head_facts(content: Column, alpha_policy: str = "keep") -> Column:
     others: alpha_status is kept, flattened or failed where the format may have alpha, none where not.
     """
     kind = file_type(content)
-    chunk = F.substring(content, 13, 4).cast("string")
-    vp8l = le_uint(content, 21, 4)
-    pick = lambda png, bmp, x, lossy, less: (
-        F.when(kind == "png", png).when(kind == "bmp", bmp).when((kind == "webp") & (chunk == "VP8X"), x)
-        .when((kind == "webp") & (chunk == "VP8 "), lossy).when((kind == "webp") & (chunk == "VP8L"), less)
-    )
+    webp = webp_size(content)
+    pick = lambda png, bmp, webp: F.when(kind == "png", png).when(kind == "bmp", bmp).when(kind == "webp", webp)
     signed = lambda c: F.abs(F.when(c >= 2**31, c - 2**32).otherwise(c))
-    width = pick(be_uint(content, 16, 4), signed(le_uint(content, 18, 4)), 1 + le_uint(content, 24, 3), le_uint(content, 26, 2).bitwiseAND(F.lit(0x3FFF)), 1 + vp8l.bitwiseAND(F.lit(0x3FFF)))
-    height = pick(be_uint(content, 20, 4), signed(le_uint(content, 22, 4)), 1 + le_uint(content, 27, 3), le_uint(content, 28, 2).bitwiseAND(F.lit(0x3FFF)), 1 + F.shiftright(vp8l, 14).bitwiseAND(F.lit(0x3FFF)))
+    width = pick(be_uint(content, 16, 4), signed(le_uint(content, 18, 4)), webp["width"])
+    height = pick(be_uint(content, 20, 4), signed(le_uint(content, 22, 4)), webp["height"])
     depth = F.when(kind == "png", be_uint(content, 24, 1)).when(kind == "bmp", le_uint(content, 28, 2))
     color = F.when(kind == "png", be_uint(content, 25, 1))
     alpha = F.when(kind == "webp", F.lit(True)).when(kind == "png", color.isin(4, 6)).when(kind == "bmp", bmp_has_alpha(content)).otherwise(F.lit(False))

@@ -56,19 +56,23 @@ def frame_kinds(markers: DataFrame) -> DataFrame:
     return out.withColumn("supported", F.col("marker") == 0xC0)
 
 
-def assembled_profiles(parts: DataFrame, most: int | None = MOST_PARTS) -> DataFrame:
-    """Profiles from segments (path, seq, total, payload) with a status: null and 'error' unless every part from 1 to the
-    total is there.
-
-    The format numbers parts in one byte, so a path with a total beyond ``most`` is invalid. Counts settle that before
-    payloads are collected, and one row's list is bounded, unless ``most`` is None; of parts with one number the longest stays.
+def assembled_profiles(parts: DataFrame, most: int | None = MOST_PARTS, place: str | None = None) -> DataFrame:
+    """Profiles from segments (path, seq, total, payload) with a status: null and 'error' unless there are as many numbers as
+    the total says.
+
+    place: a column that orders a file's segments. Of parts with one number the later one stays, and the last total counts;
+    without it, the longest part and the greatest total. The format numbers parts in one byte, so a path with a total beyond
+    ``most`` is invalid. Counts settle that before payloads are collected, and one row's list is bounded, unless ``most`` is
+    None.
     """
     fits = lambda n: F.lit(True) if most is None else F.col(n) <= most
     legal = F.coalesce(F.expr("seq >= 1 AND total >= 1 AND seq <= total"), F.lit(False))
-    numbers = parts.groupBy("path", F.when(legal, F.col("seq")).alias("seq")).agg(F.max(F.when(legal, F.col("total"))).alias("total"))
-    counts = numbers.groupBy("path").agg(F.count("seq").alias("n"), F.max("total").alias("total"))
+    rank = F.struct(F.octet_length("payload"), F.hex("payload")) if place is None else F.col(place)
+    last = F.when(legal, F.struct(F.lit(0).alias("r") if place is None else F.col(place).alias("r"), F.col("total").alias("t")))
+    numbers = parts.groupBy("path", F.when(legal, F.col("seq")).alias("seq")).agg(F.max(last).alias("last"))
+    counts = numbers.groupBy("path").agg(F.count("seq").alias("n"), F.max("last")["t"].alias("total"))
     counts = counts.select("path", F.coalesce((F.col("n") == F.col("total")) & fits("total"), F.lit(False)).alias("whole"))
-    own = parts.where(legal & fits("seq")).groupBy("path", "seq").agg(F.max_by("payload", F.struct(F.octet_length("payload"), F.hex("payload"))).alias("payload"))
+    own = parts.where(legal & fits("seq")).groupBy("path", "seq").agg(F.max_by("payload", rank).alias("payload"))
     own = own.join(counts.where("whole").select("path"), "path", "left_semi")
     lists = own.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("p"))
     joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["payload"])), ""))
@@ -83,7 +87,3 @@ def distance_codes(distances: DataFrame) -> DataFrame:
     table = widths.crossJoin(F.broadcast(near)).groupBy("width", F.greatest(F.col("dx") + F.col("dy") * F.col("width"), F.lit(1)).alias("distance")).agg(F.min("near").alias("near"))
     return distances.join(table, ["width", "distance"], "left").withColumn("code", F.coalesce("near", F.col("distance") + 120)).drop("near")
 
-
-def chunk_intact(kind: Column, data: Column, crc: Column) -> Column:
-    """Whether a PNG chunk's checksum holds."""
-    return F.crc32(F.concat(kind, data)) == crc

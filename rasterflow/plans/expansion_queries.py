@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import floor_div, le32
-from rasterflow.operators import blocks, container, entropy, expansion, metadata, pixels, resample, transforms, walks
+from rasterflow.operators import blocks, container, entropy, expansion, heads, metadata, pixels, resample, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
@@ -251,11 +251,8 @@ def png_chunks(spark, sf_dir):
     end = F.when(k == 3, none).otherwise(png_chunk("IEND", none))
     file = F.concat(F.unhex(F.when(k == 6, "89504E470D0A1A0B").otherwise(walks.PNG_MAGIC)), head, extra, data, end)
     made = table(spark, sf_dir, "part").select("p_partkey", file.alias("file")).withColumn("file", F.when(F.col("p_partkey") % 8 == 2, F.expr("substring(file, 1, octet_length(file) - 6)")).otherwise(F.col("file")))
-    walked = made.select("p_partkey", walks.png_chunks(F.col("file")).alias("w"))
-    header = walks.last_data(F.col("w.parts"), "IHDR")
-    return walked.select(
-        "p_partkey", "w.status", F.size("w.parts").alias("n_chunks"), walks.number(header, F.lit(0), 4).alias("width"), F.hex(walks.last_data(F.col("w.parts"), "tRNS")).alias("transparency")
-    )
+    found = walks.file_facts(walks.walked(made, ("png",), "p_partkey", "file"), "p_partkey", ("IHDR", "tRNS"))
+    return found.select("p_partkey", "status", F.col("n_parts").alias("n_chunks"), walks.number(F.col("IHDR"), F.lit(0), 4).alias("width"), F.hex("tRNS").alias("transparency"))
 
 
 def be16(n):
@@ -280,10 +277,9 @@ def jpeg_segments(spark, sf_dir):
         F.unhex(F.when(k == 2, "FFD9").otherwise("FFD8")), segment("E0", F.lit(b"JFIF\x00")), icc(2), F.unhex(F.lit("00FFFFFF01")), F.when(k == 4, none).otherwise(icc(1)),
         F.when(k == 3, segment("C2", frame)).otherwise(segment("C0", frame)), F.when(k == 1, none).otherwise(F.unhex(F.lit("FFDA000C0102"))),
     )
-    walked = table(spark, sf_dir, "part").select("p_partkey", file.alias("file")).select("p_partkey", walks.jpeg_segments(F.col("file")).alias("w"))
-    sized = walked.select("p_partkey", "w.status", "w.parts", walks.jpeg_size(F.col("w.parts")).alias("f"))
-    parts = sized.select(F.col("p_partkey").cast("string").alias("path"), F.inline_outer(walks.profile_parts(F.col("parts")))).where("seq IS NOT NULL")
-    profiles = metadata.assembled_profiles(parts).select(F.col("path").cast("bigint").alias("p_partkey"), F.md5("profile").alias("profile"))
+    walk = walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("jpeg",), "p_partkey", "file")
+    sized = walks.file_facts(walk, "p_partkey").select("p_partkey", "status", walks.frame_size(F.col("frame")).alias("f"))
+    profiles = metadata.assembled_profiles(walks.profile_parts(walk, "p_partkey").withColumnRenamed("p_partkey", "path"), place="place").select(F.col("path").alias("p_partkey"), F.md5("profile").alias("profile"))
     kinds = metadata.frame_kinds(sized.select("p_partkey", "status", F.col("f.marker").alias("hex"), F.conv("f.marker", 16, 10).cast("int").alias("marker"), "f.width", "f.height"))
     out = kinds.join(profiles, "p_partkey", "left")
     return out.select("p_partkey", "status", F.col("hex").alias("marker"), F.when(F.col("hex").isNotNull(), F.col("name")).alias("name"), F.coalesce("supported", F.lit(False)).alias("supported"), "width", "height", "profile")
@@ -291,25 +287,55 @@ def jpeg_segments(spark, sf_dir):
 
 @register(
     "bmp_headers",
-    """WITH k AS (SELECT p_partkey, p_size, p_partkey % 7 k, CASE WHEN p_partkey % 7 = 3 THEN 12 ELSE 40 END head FROM part),
-f AS (SELECT *, CASE k WHEN 1 THEN 7 WHEN 4 THEN 8 WHEN 5 THEN 1 ELSE 24 END depth, CASE k WHEN 2 THEN 20000 ELSE p_size END w FROM k)
-SELECT p_partkey, CASE WHEN k <> 6 THEN CAST(w AS BIGINT) END AS width, CASE WHEN k <> 6 THEN CAST(3 AS BIGINT) END AS height, CASE WHEN k <> 6 THEN k = 4 END AS top_down,
-CASE WHEN k <> 6 THEN CAST((w * depth + 31) // 32 * 4 AS BIGINT) END AS stride, CASE k WHEN 1 THEN 'bad_depth' WHEN 2 THEN 'bad_size' WHEN 5 THEN 'truncated' WHEN 6 THEN 'not_bmp' ELSE 'ok' END AS status FROM f""",
+    """WITH k AS (SELECT p_partkey, p_size, p_partkey % 13 k FROM part),
+f AS (SELECT *, CASE k WHEN 1 THEN 7 WHEN 4 THEN 8 WHEN 5 THEN 1 WHEN 8 THEN 8 WHEN 9 THEN 32 WHEN 10 THEN 16 WHEN 12 THEN 8 ELSE 24 END depth, CASE k WHEN 2 THEN 16385 WHEN 8 THEN 16384 WHEN 12 THEN 16000 ELSE p_size END w,
+CASE WHEN k = 12 THEN 16000 ELSE 3 END h, CASE WHEN k IN (8, 12) THEN 1 WHEN k = 9 THEN 6 WHEN k = 10 THEN 3 ELSE 0 END packing FROM k)
+SELECT p_partkey, CASE WHEN k <> 6 THEN CAST(w AS BIGINT) END AS width, CASE WHEN k <> 6 THEN CAST(h AS BIGINT) END AS height, CASE WHEN k <> 6 THEN k = 4 END AS top_down,
+CASE WHEN k <> 6 THEN CAST(CASE WHEN packing = 1 THEN 0 ELSE (w * depth + 31) // 32 * 4 END AS BIGINT) END AS stride,
+CASE WHEN k <> 6 THEN CAST(CASE k WHEN 3 THEN 26 WHEN 7 THEN 78 WHEN 9 THEN 70 WHEN 10 THEN 66 WHEN 11 THEN 1000000 ELSE 54 END AS BIGINT) END AS pixels_at, CASE WHEN k <> 6 THEN k = 9 END AS alpha,
+CASE k WHEN 1 THEN 'bad_depth' WHEN 2 THEN 'bad_size' WHEN 5 THEN 'truncated' WHEN 6 THEN 'not_bmp' WHEN 7 THEN 'bad_header' WHEN 10 THEN 'bad_masks' WHEN 11 THEN 'bad_offset' WHEN 12 THEN 'bad_size' ELSE 'ok' END AS status FROM f""",
 )
 def bmp_headers(spark, sf_dir):
-    k = F.col("p_partkey") % 7
+    k = F.col("p_partkey") % 13
     le16 = lambda n: F.substring(le32(n), 1, 2)
-    depth = F.when(k == 1, 7).when(k == 4, 8).when(k == 5, 1).otherwise(24)
-    width = F.when(k == 2, 20000).otherwise(F.col("p_size"))
-    height = F.when(k == 4, F.lit(2**32 - 3)).otherwise(F.lit(3))
+    by = lambda cases, other: F.coalesce(*(F.when(k == n, F.lit(v)) for n, v in cases.items()), F.lit(other) if isinstance(other, int) else other)
+    depth, width, height = by({1: 7, 4: 8, 5: 1, 8: 8, 9: 32, 10: 16, 12: 8}, 24), by({2: 16385, 8: 16384, 12: 16000}, F.col("p_size")), by({4: 2**32 - 3, 12: 16000}, 3)
+    head, packing = by({7: 64}, 40), by({8: 1, 12: 1, 9: 6, 10: 3}, 0)
     core = F.concat(le32(F.lit(12)), le16(width), le16(F.lit(3)), le16(F.lit(1)), le16(depth))
-    info = F.concat(le32(F.lit(40)), le32(width), le32(height), le16(F.lit(1)), le16(depth), F.unhex(F.lit("00" * 24)))
-    rows = F.unhex(F.repeat(F.lit("00"), F.when(k == 5, 5).otherwise(3 * 4 * F.floor((width * depth + 31) / 32)).cast("int")))
-    at = F.when(k == 3, 26).otherwise(54)
-    file = F.concat(F.lit(b"BM"), F.unhex(F.lit("00" * 8)), le32(at), F.when(k == 3, core).otherwise(info), rows)
+    info = F.concat(le32(head), le32(width), le32(height), le16(F.lit(1)), le16(depth), le32(packing), F.unhex(F.lit("00" * 20)))
+    stored = F.floor((width * depth + 31) / 32) * 12
+    rows = F.unhex(F.repeat(F.lit("00"), F.when(k == 5, 5).when(k.isin(8, 10, 12), 2).otherwise(stored).cast("int")))
+    masks = F.when(k == 9, F.unhex(F.lit("0000FF0000FF0000FF000000000000FF"))).otherwise(F.unhex(F.lit("")))
+    file = F.concat(F.lit(b"BM"), F.unhex(F.lit("00" * 8)), le32(by({3: 26, 9: 0, 10: 0, 11: 1_000_000}, 54)), F.when(k == 3, core).otherwise(info), masks, F.when(k == 7, F.unhex(F.lit("00" * 24))).otherwise(F.unhex(F.lit(""))), rows)
     file = F.when(k == 6, F.lit(b"BM and nothing")).otherwise(file)
     out = table(spark, sf_dir, "part").select("p_partkey", file.alias("file")).select("p_partkey", walks.bmp_header(F.col("file")).alias("h"))
-    return out.select("p_partkey", "h.width", "h.height", "h.top_down", "h.stride", "h.status")
+    return out.select("p_partkey", "h.width", "h.height", "h.top_down", "h.stride", F.col("h.offset").alias("pixels_at"), "h.alpha", "h.status")
+
+
+@register(
+    "file_heads",
+    """WITH k AS (SELECT p_partkey, p_size, p_partkey % 10 k, len(p_name) n FROM part)
+SELECT p_partkey, CASE WHEN k < 5 THEN 'png' WHEN k < 7 THEN 'jpeg' WHEN k = 7 THEN 'bmp' WHEN k = 8 THEN 'webp' END AS type, CASE WHEN k NOT IN (4, 6, 9) THEN CAST(CASE WHEN k = 8 THEN 64 ELSE p_size END AS BIGINT) END AS width,
+CASE WHEN k IN (1, 2, 3) THEN 'kept' WHEN k IN (0, 5, 7) THEN 'none' END AS alpha_status, CASE WHEN k IN (4, 6, 9) THEN 'error' WHEN k = 8 THEN 'skipped_webp' ELSE 'ok' END AS status,
+CASE k WHEN 1 THEN '1' WHEN 2 THEN '1,18,52' END AS key_levels,
+CASE k WHEN 0 THEN 'png/ct2/bd8' WHEN 1 THEN 'png/ct0/bd8 trns(key)' WHEN 2 THEN 'png/ct2/bd16 trns(key)' WHEN 3 THEN 'png/ct3/bd8 trns(palette)' WHEN 5 THEN 'jpeg icc ' || (2 * n) || 'B' WHEN 7 THEN 'bmp 24bpp rgb' WHEN 8 THEN 'webp (VP8X)' END AS description FROM k""",
+)
+def file_heads(spark, sf_dir):
+    k, none = F.col("p_partkey") % 10, F.unhex(F.lit(""))
+    kind = F.unhex(F.when(k == 1, "0800").when(k == 2, "1002").when(k == 3, "0803").otherwise("0802"))
+    header = png_chunk("IHDR", F.concat(be32(F.col("p_size")), be32(F.lit(7)), kind, F.unhex(F.lit("000000"))))
+    clear = F.when(k == 1, png_chunk("tRNS", F.unhex(F.lit("0001")))).when(k == 2, png_chunk("tRNS", F.unhex(F.lit("01FF12003401")))).when(k == 3, png_chunk("tRNS", F.unhex(F.lit("80")))).otherwise(none)
+    many = F.when(k == 2, F.unhex(F.repeat(F.hex(png_chunk("tEXt", F.lit(b"a"))), 150))).otherwise(none)  # over two rounds
+    png = F.concat(F.unhex(F.lit(walks.PNG_MAGIC)), F.when(k == 4, none).otherwise(header), many, clear, png_chunk("IDAT", F.encode("p_name", "UTF-8")))
+    segment = lambda marker, data: F.concat(F.unhex(F.lit("FF" + marker)), be16(F.octet_length(data) + 2), data)
+    icc = lambda seq: segment("E2", F.concat(F.lit(b"ICC_PROFILE\x00"), F.unhex(F.lit(f"{seq:02X}02")), F.encode("p_name", "UTF-8")))
+    frame = segment("C0", F.concat(F.unhex(F.lit("080007")), be16(F.col("p_size")), F.unhex(F.lit("01"))))
+    jpeg = F.concat(F.unhex(F.lit("FFD8FF")), F.when(k == 6, none).otherwise(F.concat(F.substring(segment("FE", F.unhex(F.repeat(F.lit("00"), 20000))), 2, 1 << 20), icc(1), icc(2), frame)), F.unhex(F.lit("FFDA0002")))
+    le16 = lambda n: F.substring(le32(n), 1, 2)
+    bmp = F.concat(F.lit(b"BM"), F.unhex(F.lit("00" * 8)), le32(F.lit(54)), le32(F.lit(40)), le32(F.col("p_size")), le32(F.lit(1)), le16(F.lit(1)), le16(F.lit(24)), F.unhex(F.lit("00" * 24 + "00" * 152)))
+    file = F.when(k < 5, png).when(k < 7, jpeg).when(k == 7, bmp).when(k == 8, container.webp(F.encode("p_name", "UTF-8"), F.lit(64), F.lit(16), F.lit(b"a"), F.lit(None).cast("binary"))).otherwise(F.encode("p_name", "UTF-8"))
+    out = heads.file_heads(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), "keep", "p_partkey", "file")
+    return out.select("p_partkey", "head.type", "head.width", "head.alpha_status", "head.status", F.array_join(F.col("key_levels").cast("array<string>"), ",").alias("key_levels"), "description")
 
 
 @register(
@@ -319,8 +345,8 @@ def bmp_headers(spark, sf_dir):
 def riff_chunk_list(spark, sf_dir):
     k = F.col("p_partkey") % 3
     file = container.webp(F.encode("p_name", "UTF-8"), F.lit(64), F.lit(16), F.when(k < 2, F.lit(b"a")), F.when(k == 0, F.lit(b"icc")))
-    walked = table(spark, sf_dir, "part").select("p_partkey", file.alias("file")).select("p_partkey", walks.riff_chunks(F.col("file")).alias("w"))
-    return walked.select("p_partkey", F.array_join(F.transform("w.parts", lambda p: p["name"]), ",").alias("chunks"), F.get(F.col("w.parts"), F.size("w.parts") - 1)["length"].alias("picture_bytes"), "w.status")
+    walked = walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("riff",), "p_partkey", "file")
+    return walked.select("p_partkey", F.array_join(F.transform("parts", lambda p: p["name"]), ",").alias("chunks"), F.get(F.col("parts"), F.size("parts") - 1)["length"].alias("picture_bytes"), "status")
 
 
 @register(

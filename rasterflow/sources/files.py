@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterflow.operators.container import HEAD_BYTES, head_facts
+from rasterflow.operators.heads import file_heads
 
 
 def heads(spark: SparkSession, path: str, pattern: str = "*", alpha_policy: str = "keep") -> DataFrame:
-    """(path, length, head): one row per file, unreadable ones with status 'error'. Spark's file source passes empty files over."""
+    """(path, length, head, ...), as ``file_heads``: one row per file, unreadable ones with status 'error'. Spark's file source
+    passes empty files over."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", head_facts(F.substring("content", 1, HEAD_BYTES), alpha_policy).alias("head"))
+    return file_heads(files.select("path", "content"), alpha_policy)
 
 
 def raw_rgb(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
