@@ -10,7 +10,7 @@ from rasterflow.operators import blocks, container, entropy, expansion, heads, m
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
-from rasterflow.streaming import bands
+from rasterflow.streaming import band_states, bands
 
 #: Adapted probabilities of the slots.
 ADAPTED = """pp AS (SELECT *, CAST(least(greatest(round(256e0 * n0 / (n0 + n1)), 8), 247) AS INTEGER) np FROM ct),
@@ -397,6 +397,20 @@ def two_pass_costs(spark, sf_dir):
     return bands.band_costs(symbols, state)
 
 
+@register(
+    "band_states",
+    f"""WITH {PX}, s AS (SELECT (image_id * 16 + y) // 1024 image, (image_id * 16 + y) % 1024 // 4 band, x // 16 slot, CASE WHEN r > 120 THEN 1 ELSE 0 END bit FROM px),
+b AS (SELECT image, count(DISTINCT band) bands, count(DISTINCT CASE WHEN band % 3 = 0 THEN band END) repeated FROM s GROUP BY image)
+SELECT s.image AS image_id, CAST(slot AS INTEGER) AS slot, count(*) FILTER (WHERE bit = 0) AS n0, count(*) FILTER (WHERE bit = 1) AS n1, bands, repeated, CAST(0 AS BIGINT) AS late
+FROM s JOIN b ON b.image = s.image GROUP BY ALL""",
+)
+def band_states_(spark, sf_dir):
+    row = F.col("image_id") * 16 + F.col("y")  # images of up to 256 bands, a third of which comes twice
+    symbols = derived(spark, sf_dir).select(floor_div(row, 1024).alias("image_id"), floor_div(row % 1024, 4).alias("band"), floor_div(F.col("x"), 16).cast("int").alias("slot"), (F.col("r") > 120).cast("int").alias("bit"))
+    records = band_states.band_records(symbols)
+    return band_states.band_states(records.union(records.where("band % 3 = 0")))
+
+
 def band_symbols(spark, sf_dir):
     return derived(spark, sf_dir).select("image_id", floor_div(F.col("y"), 4).alias("band"), floor_div(F.col("x"), 16).alias("slot"), (F.col("r") > 120).cast("int").alias("bit"))
 

@@ -16,15 +16,16 @@ def running_block_stats(pixels: DataFrame) -> DataFrame:
 
 
 def band_state(symbols: DataFrame) -> DataFrame:
-    """State of each image after some bands: rows (image_id, slot, n0, n1, bands) from symbols (image_id, band, slot, bit). A
-    stream or a batch; bands must not come twice."""
-    return symbols.groupBy("image_id", "slot").agg(F.count_if(F.col("bit") == 0).alias("n0"), F.count_if(F.col("bit") == 1).alias("n1"), F.bit_or(F.expr("shiftleft(1L, CAST(band AS INT))")).alias("bands"))
+    """State of each image after some bands: rows (image_id, slot, n0, n1, bands) from symbols (image_id, band, slot, bit), bands
+    being the set of bands in which the slot occurs. A stream or a batch. Symbols count as they come; where bands may come
+    twice, ``band_states`` tells them."""
+    return symbols.groupBy("image_id", "slot").agg(F.count_if(F.col("bit") == 0).alias("n0"), F.count_if(F.col("bit") == 1).alias("n1"), F.sort_array(F.collect_set("band")).alias("bands"))
 
 
 def resumed(state: DataFrame, more: DataFrame) -> DataFrame:
     """Exported state with that of further bands: the same as one pass over all of them, whatever the cut."""
     both = state.unionByName(more)
-    return both.groupBy("image_id", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("bands").alias("bands"))
+    return both.groupBy("image_id", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bands")))).alias("bands"))
 
 
 def learned(state: DataFrame) -> DataFrame:
