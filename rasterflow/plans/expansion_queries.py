@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import floor_div, le32
-from rasterflow.operators import blocks, container, entropy, expansion, heads, metadata, pixels, resample, transforms, walks
+from rasterflow.operators import blocks, container, entropy, expansion, heads, metadata, pixels, resample, rle, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
@@ -174,6 +174,28 @@ def runs_expanded(spark, sf_dir):
     return expansion.runs_expanded(found.select("line", "level", "length", (F.sum("length").over(Window.partitionBy("line").orderBy("run")) - F.col("length")).alias("at")), F.lit(60))
 
 
+@register(
+    "rle_pixels",
+    f"""WITH {PX}, v AS (SELECT image_id, y, x, CASE y % 4 WHEN 1 THEN first_value(r) OVER (PARTITION BY image_id, y, x // 2 ORDER BY x) WHEN 3 THEN first_value(r) OVER (PARTITION BY image_id, y ORDER BY x) ELSE r END AS level FROM px)
+SELECT image_id, y, x, level, CASE WHEN image_id % 7 = 3 THEN 'truncated' ELSE 'ok' END AS status FROM v WHERE y % 4 <> 2 OR x >= 5""",
+)
+def rle_pixels(spark, sf_dir):
+    """Rows as an absolute run of 63 and one pixel, as pairs, as a delta of five and an absolute run, as one run; top-down. One
+    image in seven has no end."""
+    px = derived(spark, sf_dir)
+    lines = px.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "r"))).alias("p")).select("image_id", "y", F.transform("p", lambda v: F.lpad(F.hex(v["r"]), 2, "0")).alias("h"))
+    joined = lambda c: F.array_join(c, "")
+    some = lambda start, n: joined(F.slice("h", start, n))
+    pairs = joined(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.concat(F.lit("02"), F.get("h", 2 * i))))
+    coded = F.when(F.col("y") % 4 == 0, F.concat(F.lit("003F"), some(1, 63), F.lit("0001"), some(64, 1))).when(F.col("y") % 4 == 1, pairs)
+    coded = coded.when(F.col("y") % 4 == 2, F.concat(F.lit("00020500003B"), some(6, 59), F.lit("00"))).otherwise(F.concat(F.lit("40"), some(1, 1)))
+    rows = lines.select("image_id", "y", F.concat(coded, F.lit("0000")).alias("c")).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "c"))).alias("l"))
+    streams = rows.select("image_id", F.unhex(F.concat(joined(F.transform("l", lambda v: v["c"])), F.when(F.col("image_id") % 7 == 3, "").otherwise("0001"))).alias("data"), F.lit(False).alias("nibbles"))
+    runs, verdicts = rle.rle_runs(streams)
+    dims = pixels.sizes(px).select("image_id", "w", "h", F.lit(True).alias("top_down"))
+    return rle.rle_pixels(runs, dims).join(verdicts, "image_id").select("image_id", "y", "x", "level", "status")
+
+
 @register("sub_filter_round_trip", f"WITH {PX} SELECT image_id, y, 3 * x + c AS k, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px, (VALUES (0), (1), (2)) t(c)")
 def sub_filter_round_trip(spark, sf_dir):
     return expansion.undo_sub(_filtered(spark, sf_dir, "image_id, y, k % 3", "k"), 3)
