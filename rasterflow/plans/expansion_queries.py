@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import floor_div, le32
-from rasterflow.operators import blocks, container, entropy, expansion, heads, metadata, pixels, resample, rle, transforms, walks
+from rasterflow.operators import blocks, container, entropy, expansion, heads, metadata, pixels, resample, rle, scanlines, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
@@ -196,6 +196,20 @@ def rle_pixels(spark, sf_dir):
     return rle.rle_pixels(runs, dims).join(verdicts, "image_id").select("image_id", "y", "x", "level", "status")
 
 
+@register(
+    "mixed_filters",
+    f"""WITH {PX}, t AS (SELECT image_id, y, 3 * x + c AS k, (image_id + y * y) % 3 f, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px, (VALUES (0), (1), (2)) t(c)),
+u AS (SELECT *, CASE WHEN f = 1 THEN CAST(sum(v) OVER (PARTITION BY image_id, y, k % 3 ORDER BY k) AS BIGINT) ELSE v END w, sum(CASE WHEN f = 2 THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, k ORDER BY y) chain FROM t)
+SELECT image_id, y, k, CAST(sum(w) OVER (PARTITION BY image_id, k, chain ORDER BY y) AS BIGINT) & 255 AS v FROM u""",
+)
+def mixed_filters(spark, sf_dir):
+    """The pixels' own bytes taken as filtered ones, a filter a row."""
+    lines = derived(spark, sf_dir).groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "r", "g", "b"))).alias("p"))
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    data = F.unhex(F.array_join(F.transform("p", lambda v: F.concat(two(v["r"]), two(v["g"]), two(v["b"]))), ""))
+    return scanlines.unfiltered(lines.select("image_id", "y", ((F.col("image_id") + F.col("y") * F.col("y")) % 3).alias("filter"), F.lit(3).alias("channels"), data.alias("data")))[0]
+
+
 @register("sub_filter_round_trip", f"WITH {PX} SELECT image_id, y, 3 * x + c AS k, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px, (VALUES (0), (1), (2)) t(c)")
 def sub_filter_round_trip(spark, sf_dir):
     return expansion.undo_sub(_filtered(spark, sf_dir, "image_id, y, k % 3", "k"), 3)
