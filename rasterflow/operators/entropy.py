@@ -11,16 +11,16 @@ def symbol_counts(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("slot").agg(F.count_if(F.col("bit") == 0).alias("n0"), F.count_if(F.col("bit") == 1).alias("n1"))
 
 
-def adapted(counts: DataFrame, old: Column, update: Column, margin: float = 8.0) -> DataFrame:
+def adapted(counts: DataFrame, old: Column, update: Column, margin: float = 8.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """counts with p and the bits it saves; p stays ``old`` below 16 symbols, or unless the saving beats the flag's own cost
-    (update: the odds, of 256, that the flag is clear) and ``margin``."""
+    (update: the odds, of 256, that the flag is clear) and ``margin``. keep: further columns of counts."""
     n0, n1 = F.col("n0"), F.col("n1")
     p = F.least(F.greatest(F.round(256 * n0 / (n0 + n1)), F.lit(8)), F.lit(247)).cast("int")
     bits = lambda q: -(n0 * F.log2(q / 256) + n1 * F.log2(1 - q / 256))
     save = F.round(bits(old) - bits(p), 6)
     flag = -F.log2(1 - update / 256) + 8 + F.log2(update / 256)
     take = (n0 + n1 >= 16) & (save > flag + margin)
-    return counts.select("slot", "n0", "n1", F.when(take, p).otherwise(old).cast("int").alias("p"), F.when(take, save).otherwise(F.lit(0.0)).alias("saved"))
+    return counts.select(*keep, "slot", "n0", "n1", F.when(take, p).otherwise(old).cast("int").alias("p"), F.when(take, save).otherwise(F.lit(0.0)).alias("saved"))
 
 
 def skip_probability(blocks: DataFrame, has: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import floor_div, le32
-from rasterflow.operators import blocks, container, entropy, expansion, heads, metadata, pixels, resample, rle, scanlines, transforms, walks
+from rasterflow.operators import blocks, container, entropy, expansion, halo, heads, metadata, pixels, resample, rle, scanlines, slots, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
@@ -546,3 +546,71 @@ def geometry_status(spark, sf_dir):
 )
 def probability_updates(spark, sf_dir):
     return entropy.probability_updates(entropy.adapted(entropy.symbol_counts(symbols(spark, sf_dir)), F.lit(128), F.lit(250)), F.lit(128))
+
+
+def tall(spark, sf_dir):
+    """Images of 64 rows: four block rows of 16, eight of 8."""
+    row = F.col("image_id") * 16 + F.col("y")
+    return derived(spark, sf_dir).select(floor_div(row, 64).alias("image_id"), (row % 64).alias("y"), "x", "r", "g")
+
+
+#: Mode scores of both planes of the tall images, edges found by window functions.
+HALO = f"""{PX}, tl AS (SELECT (image_id * 16 + y) // 64 image_id, (image_id * 16 + y) % 64 y, x, r, g FROM px),
+pl AS (SELECT image_id, 'y' plane, 16 size, y, x, r s FROM tl UNION ALL SELECT image_id, 'u', 8, y, x, g FROM tl),
+e AS (SELECT *, y // size mby, x // size mbx, min(s) OVER (PARTITION BY image_id, plane, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) up,
+min(s) OVER (PARTITION BY image_id, plane, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) lf FROM pl),
+ab AS (SELECT image_id, plane, mby, x, up a FROM e WHERE y % size = 0), le AS (SELECT image_id, plane, y, mbx, lf l FROM e WHERE x % size = 0),
+co AS (SELECT image_id, plane, y // size + 1 mby, x // size + 1 mbx, s c FROM pl WHERE y % size = size - 1 AND x % size = size - 1),
+ed AS (SELECT image_id, plane, mby, mbx, up s FROM e WHERE y % size = 0 AND y > 0 UNION ALL SELECT image_id, plane, mby, mbx, lf FROM e WHERE x % size = 0 AND x > 0),
+mn AS (SELECT image_id, plane, mby, mbx, (2 * sum(s) + count(*)) // (2 * count(*)) mean FROM ed GROUP BY ALL),
+al AS (SELECT e.*, coalesce(a, 127) a, coalesce(l, 129) l, coalesce(c, CASE WHEN e.mby = 0 THEN 127 ELSE 129 END) c, coalesce(mean, 128) mean
+FROM e JOIN ab USING (image_id, plane, mby, x) JOIN le USING (image_id, plane, y, mbx) LEFT JOIN co USING (image_id, plane, mby, mbx) LEFT JOIN mn USING (image_id, plane, mby, mbx))"""
+
+
+@register(
+    "halo_mode_scores",
+    f"""WITH {HALO} SELECT image_id, plane, mby, mbx, CAST(m AS INTEGER) AS mode, CAST(sum(abs(s - CASE m WHEN 0 THEN mean WHEN 1 THEN a WHEN 2 THEN l ELSE least(greatest(l + a - c, 0), 255) END)) AS BIGINT) AS sad
+FROM al, (VALUES (0), (1), (2), (3)) v(m) GROUP BY ALL""",
+)
+def halo_mode_scores(spark, sf_dir):
+    px = tall(spark, sf_dir)
+    plane = lambda name, size, c: px.select("image_id", F.lit(name).alias("plane"), F.lit(size).alias("size"), "y", "x", F.col(c).alias("s"))
+    return halo.halo_scores(plane("y", 16, "r").unionAll(plane("u", 8, "g")))
+
+
+def slot_dimension(spark):
+    """A dimension by a rule, for the queries; a user brings the format's own."""
+    slot = F.col("id").cast("int")
+    return spark.range(slots.SLOTS).select(slot.alias("slot"), (1 + (slot * 97 + 13) % 255).alias("old"), (150 + slot % 100).alias("odds"))
+
+
+def slot_symbols(spark, sf_dir):
+    px = derived(spark, sf_dir)
+    pieces = {"plane": F.col("y") % 4, "band": F.col("x") % 8, "context": F.col("a") % 3, "node": F.when(F.col("b") % 13 > 10, 0).otherwise(F.col("b") % 13)}
+    return px.select((F.col("image_id") % 9).alias("image_id"), *(c.cast("int").alias(n) for n, c in pieces.items()), (F.col("r") > 120).cast("int").alias("bit"))
+
+
+#: Counts and changed slots of each image.
+SLOT_UPDATES = f"""{PX}, sy AS (SELECT image_id % 9 image_id, ((y % 4 * 8 + x % 8) * 3 + a % 3) * 11 + CASE WHEN b % 13 > 10 THEN 0 ELSE b % 13 END slot, CASE WHEN r > 120 THEN 1 ELSE 0 END bit FROM px),
+dm AS (SELECT slot, 1 + (slot * 97 + 13) % 255 AS old, 150 + slot % 100 AS odds FROM (SELECT unnest(range(0, 1056)) slot)),
+cn AS (SELECT image_id, slot, count(*) FILTER (WHERE bit = 0) n0, count(*) FILTER (WHERE bit = 1) n1 FROM sy GROUP BY ALL),
+np AS (SELECT *, CAST(least(greatest(round(256e0 * n0 / (n0 + n1)), 8), 247) AS INTEGER) p FROM cn JOIN dm USING (slot)),
+sv AS (SELECT *, round(-(n0 * log2(old / 256e0) + n1 * log2(1 - old / 256e0)) + (n0 * log2(p / 256e0) + n1 * log2(1 - p / 256e0)), 6) saved FROM np),
+up AS (SELECT image_id, slot, old, p, saved FROM sv WHERE n0 + n1 >= 16 AND saved > -log2(1 - odds / 256e0) + 8 + log2(odds / 256e0) + 8 AND p <> old)"""
+
+
+@register("slot_updates", f"WITH {SLOT_UPDATES} SELECT image_id, CAST(slot AS INTEGER) AS slot, p, saved FROM up")
+def slot_updates(spark, sf_dir):
+    return slots.slot_updates(slots.image_slot_counts(slot_symbols(spark, sf_dir)), slot_dimension(spark)).select("image_id", "slot", "p", "saved")
+
+
+@register(
+    "slot_tables",
+    f"""WITH {SLOT_UPDATES}, n AS (SELECT image_id, count(*) updates FROM up GROUP BY image_id)
+SELECT i.image_id, coalesce(any_value(n.updates), 0) AS updates, md5(string_agg(CAST(coalesce(up.p, dm.old) AS VARCHAR), ',' ORDER BY dm.slot)) AS digest
+FROM (SELECT DISTINCT image_id FROM sy) i CROSS JOIN dm LEFT JOIN up ON up.image_id = i.image_id AND up.slot = dm.slot LEFT JOIN n ON n.image_id = i.image_id GROUP BY i.image_id""",
+)
+def slot_tables(spark, sf_dir):
+    counts, dimension = slots.image_slot_counts(slot_symbols(spark, sf_dir)), slot_dimension(spark)
+    tables = slots.image_tables(counts.select("image_id").distinct(), slots.slot_updates(counts, dimension), dimension)
+    return tables.select("image_id", "updates", F.md5(F.array_join(F.col("probabilities").cast("array<string>"), ",")).alias("digest"))
