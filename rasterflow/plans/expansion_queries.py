@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import floor_div, le32
-from rasterflow.operators import blocks, container, entropy, expansion, halo, heads, metadata, pixels, resample, rle, scanlines, slots, transforms, walks
+from rasterflow.operators import blocks, container, entropy, expansion, halo, heads, huffman, metadata, pixels, resample, rle, scanlines, slots, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.sources import sinks
@@ -614,3 +614,36 @@ def slot_tables(spark, sf_dir):
     counts, dimension = slots.image_slot_counts(slot_symbols(spark, sf_dir)), slot_dimension(spark)
     tables = slots.image_tables(counts.select("image_id").distinct(), slots.slot_updates(counts, dimension), dimension)
     return tables.select("image_id", "updates", F.md5(F.array_join(F.col("probabilities").cast("array<string>"), ",")).alias("digest"))
+
+
+@register(
+    "huffman_tables",
+    """WITH d AS (SELECT p_partkey, c AS class, c + 1 AS id, CASE WHEN c = 1 THEN 4 + p_partkey % 13 WHEN p_partkey % 3 = 0 THEN 5 ELSE 3 + p_partkey % 14 END n,
+CASE WHEN c = 0 AND p_partkey % 3 = 0 THEN 9 ELSE p_size END seed FROM part, (VALUES (0), (1)) t(c)),
+k AS (SELECT *, unnest(range(1, n + 1)) len FROM d), c AS (SELECT *, (1 << len) - 2 code, (seed * 7 + len * 3) % 256 sym FROM k),
+f AS (SELECT *, unnest(range(code << (8 - len), (code + 1) << (8 - len))) prefix FROM c WHERE len <= 8),
+fd AS (SELECT p_partkey, class, md5(string_agg(prefix || ':' || len || ':' || sym, ',' ORDER BY prefix)) fast, count(*) n_fast FROM f GROUP BY ALL)
+SELECT c.p_partkey, CAST(c.class AS BIGINT) AS class, CAST(any_value(c.id) AS BIGINT) AS id, md5(string_agg(len || ':' || code || ':' || sym, ',' ORDER BY len)) AS codes, any_value(fast) AS fast, any_value(n_fast) AS n_fast
+FROM c JOIN fd ON fd.p_partkey = c.p_partkey AND fd.class = c.class GROUP BY c.p_partkey, c.class""",
+)
+def huffman_tables(spark, sf_dir):
+    """Two tables a file, one code of each length; in a third of the files a later segment replaces the first."""
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    span = F.sequence(F.lit(1), F.lit(16))
+
+    def definition(spec, n, seed):
+        counts = F.array_join(F.transform(span, lambda k: F.when(k <= n, "01").otherwise("00")), "")
+        return F.concat(F.lit(f"{spec:02X}"), counts, F.array_join(F.transform(F.filter(span, lambda k: k <= n), lambda k: byte((seed * 7 + k * 3) % 256)), ""))
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    segment = lambda h: F.concat(F.lit("FFC4"), F.lpad(F.hex((F.length(h) / 2 + 2).cast("bigint")), 4, "0"), h)
+    both = segment(F.concat(definition(0x01, 3 + key % 14, size), definition(0x12, 4 + key % 13, size)))
+    file = F.unhex(F.concat(F.lit("FFD8"), both, F.when(key % 3 == 0, segment(definition(0x01, F.lit(5), F.lit(9)))).otherwise(""), F.lit("FFDA")))
+    walk = walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("jpeg",), "p_partkey", "file")
+    codes = huffman.table_codes(huffman.table_definitions(walks.segments(walk, "p_partkey").where("name = 'C4'"), "p_partkey"), "p_partkey")
+    fast = huffman.prefix_table(codes, "p_partkey")
+    listed_ = lambda rows, *names: rows.groupBy("p_partkey", "class", "id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("l"))
+    digest = lambda *names: F.md5(F.array_join(F.transform("l", lambda v: F.concat_ws(":", *(v[n] for n in names))), ","))
+    own = listed_(codes, "length", "code", "symbol").select("p_partkey", "class", "id", digest("length", "code", "symbol").alias("codes"))
+    quick = listed_(fast, "prefix", "length", "symbol").select("p_partkey", "class", "id", digest("prefix", "length", "symbol").alias("fast"), F.size("l").cast("long").alias("n_fast"))
+    return own.join(quick, ["p_partkey", "class", "id"])
