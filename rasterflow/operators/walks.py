@@ -62,9 +62,9 @@ def _with(fields: dict[str, str], body: str) -> str:
     return f"transform(array(named_struct({named})), h -> {body})[0]"
 
 
-def _png_step() -> str:
+def _png_step(names: tuple[str, ...] = ("IHDR", "PLTE", "tRNS", "iCCP")) -> str:
     name, crc = f"decode({_bytes('s.at + 4', '4')}, 'ISO-8859-1')", f"crc32({_bytes('s.at + 4', 'h.n + 4')}) = {_uint('s.at + 8 + h.n', 4)}"
-    kept = f"CASE WHEN h.name IN ('IHDR', 'PLTE', 'tRNS', 'iCCP') THEN {_bytes('s.at + 8', 'h.n')} END"
+    kept = f"CASE WHEN h.name IN ({', '.join(map(repr, names))}) THEN {_bytes('s.at + 8', 'h.n')} END"
     status = """CASE WHEN NOT k.intact THEN 'bad_checksum' WHEN h.name = 'IHDR' AND (s.head OR h.n <> 13) THEN 'bad_header'
       WHEN h.name = 'IEND' THEN CASE WHEN NOT s.head THEN 'bad_header' WHEN NOT s.full THEN 'no_data' ELSE 'ok' END END"""
     moved = _state("s.at + 12 + h.n", _grown("h.name", "h.n", kept, "k.intact"), status, "s.head OR h.name = 'IHDR'", "s.full OR (h.name = 'IDAT' AND h.n > 0)")
@@ -102,6 +102,7 @@ def _riff_step() -> str:
 #: For each kind of walk: where it begins, whether the file is of its kind (else the status), and the step.
 WALKS = {
     "png": (8, f"hex({_bytes('0', '8')}) = '{PNG_MAGIC}'", "not_png", _png_step()),
+    "png_data": (8, f"hex({_bytes('0', '8')}) = '{PNG_MAGIC}'", "not_png", _png_step(("IHDR", "PLTE", "tRNS", "IDAT"))),
     "png_head": (8, f"hex({_bytes('0', '8')}) = '{PNG_MAGIC}'", "not_png", _png_head_step()),
     "jpeg": (2, f"hex({_bytes('0', '2')}) = 'FFD8'", "not_jpeg", _jpeg_step()),
     "riff": (12, f"hex({_bytes('0', '4')}) = '52494646' AND {_uint('4', 4, little=True)} + 8 = z", "not_riff", _riff_step()),

@@ -9,6 +9,7 @@ from rasterflow.functions.integers import floor_div, le32
 from rasterflow.operators import blocks, container, entropy, expansion, halo, heads, huffman, metadata, pixels, resample, rle, scanlines, slots, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
+from rasterflow.sources import images as images_source
 from rasterflow.sources import sinks
 from rasterflow.streaming import band_states, bands
 
@@ -647,3 +648,30 @@ def huffman_tables(spark, sf_dir):
     own = listed_(codes, "length", "code", "symbol").select("p_partkey", "class", "id", digest("length", "code", "symbol").alias("codes"))
     quick = listed_(fast, "prefix", "length", "symbol").select("p_partkey", "class", "id", digest("prefix", "length", "symbol").alias("fast"), F.size("l").cast("long").alias("n_fast"))
     return own.join(quick, ["p_partkey", "class", "id"])
+
+
+@register(
+    "png_pixels",
+    f"""WITH {PX}, t AS (SELECT image_id, y, x, c, n, (image_id + y * y) % 3 f, CASE c WHEN 0 THEN r WHEN 1 THEN g WHEN 2 THEN b ELSE a END v
+FROM (SELECT *, CASE WHEN image_id % 2 = 0 THEN 4 ELSE 2 END n FROM px), (VALUES (0), (1), (2), (3)) t(c) WHERE c < n),
+u AS (SELECT *, CASE WHEN f = 1 THEN CAST(sum(v) OVER (PARTITION BY image_id, y, c ORDER BY x) AS BIGINT) ELSE v END w, sum(CASE WHEN f = 2 THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, x, c ORDER BY y) chain FROM t),
+d AS (SELECT image_id, y, x, c, n, CAST(sum(w) OVER (PARTITION BY image_id, x, c, chain ORDER BY y) AS BIGINT) & 255 v FROM u)
+SELECT image_id, y, x, max(CASE WHEN c = 0 THEN v END) AS r, max(CASE WHEN c = CASE n WHEN 4 THEN 1 ELSE 0 END THEN v END) AS g, max(CASE WHEN c = CASE n WHEN 4 THEN 2 ELSE 0 END THEN v END) AS b,
+CAST(max(CASE WHEN n = 2 THEN 255 WHEN c = 3 THEN v END) AS BIGINT) AS a FROM d GROUP BY image_id, y, x""",
+)
+def png_pixels(spark, sf_dir):
+    """Files of 8-bit colour with alpha and of 16-bit grey, a filter a row; the pixels' own bytes are the filtered ones."""
+    px = derived(spark, sf_dir)
+    stored = F.when(F.col("image_id") % 2 == 0, F.array("r", "g", "b", "a")).otherwise(F.array("r", "g"))
+    lines = px.select("image_id", "y", "x", stored.alias("v")).groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("p"))
+    lines = lines.select("image_id", "y", F.concat(F.array((F.col("image_id") + F.col("y") * F.col("y")) % 3), F.flatten(F.transform("p", lambda q: q["v"]))).alias("l"))
+    images = lines.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "l"))).alias("rows")).select("image_id", F.size("rows").alias("h"), F.flatten(F.transform("rows", lambda q: q["l"])).alias("d"))
+    n = F.size("d")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, v: s + v)
+    low, high = (1 + total("d")) % 65521, (n + total(F.transform("d", lambda v, i: v * (n - i)))) % 65521
+    le16 = lambda v: F.substring(le32(v), 1, 2)
+    block = F.concat(F.unhex(F.lit("780101")), le16(n), le16(65535 - n), F.unhex(F.array_join(F.transform("d", lambda v: F.lpad(F.hex(v), 2, "0")), "")), be16(high), be16(low))
+    kind = F.unhex(F.when(F.col("image_id") % 2 == 0, "0806").otherwise("1000"))
+    file = F.concat(F.unhex(F.lit(walks.PNG_MAGIC)), png_chunk("IHDR", F.concat(be32(F.lit(64)), be32(F.col("h")), kind, F.unhex(F.lit("000000")))), png_chunk("IDAT", block), png_chunk("IEND", F.unhex(F.lit(""))))
+    shown, _ = images_source.png_pixels(images.select(F.col("image_id").cast("string").alias("path"), file.alias("content")))
+    return shown.select(F.col("path").cast("bigint").alias("image_id"), "y", "x", "r", "g", "b", "a")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterflow.operators.heads import file_heads
+from rasterflow.operators.walks import let
 
 
 def heads(spark: SparkSession, path: str, pattern: str = "*", alpha_policy: str = "keep") -> DataFrame:
@@ -38,14 +39,19 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pixels(images: DataFrame) -> DataFrame:
-    """(path, y, x, r, g, b, a) of decoded images, from the bytes in place; alpha 255 where there is none."""
-    n, c = F.col("width") * F.col("height"), F.col("channels")
-    each = images.where("width > 0").withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    at = lambda i: F.conv(F.hex(F.expr(f"substring(data, k * channels + {i} + 1, 1)")), 16, 10).cast("bigint")
-    return each.select(
-        "path", F.floor(F.col("k") / F.col("width")).cast("bigint").alias("y"), (F.col("k") % F.col("width")).cast("bigint").alias("x"),
-        F.when(c >= 3, at(2)).otherwise(at(0)).alias("r"), F.when(c >= 3, at(1)).otherwise(at(0)).alias("g"), at(0).alias("b"), F.when(c == 4, at(3)).otherwise(F.lit(255)).alias("a"),
+    """(path, y, x, r, g, b, a) of decoded images, from the bytes in place; alpha 255 where there is none. Images are cut into
+    rows, then rows into pixels, so that a pixel costs no copy of its image."""
+    c = F.col("channels")
+    stride = F.col("width") * c
+    cut = lambda d: F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring(d, y * stride + 1, stride))
+    rows = images.where("width > 0").select("path", "width", "channels", F.posexplode(let(F.col("data"), cut)).alias("y", "row"))
+    at = lambda d, x, k: F.conv(F.hex(F.substring(d, x * c + k + 1, F.lit(1))), 16, 10).cast("bigint")
+    pixel = lambda d, x: F.struct(
+        x.cast("bigint").alias("x"), F.when(c >= 3, at(d, x, 2)).otherwise(at(d, x, 0)).alias("r"), F.when(c >= 3, at(d, x, 1)).otherwise(at(d, x, 0)).alias("g"), at(d, x, 0).alias("b"),
+        F.when(c == 4, at(d, x, 3)).otherwise(F.lit(255)).alias("a"),
     )
+    line = lambda d: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda x: pixel(d, x))
+    return rows.select("path", F.col("y").cast("bigint").alias("y"), F.inline(let(F.col("row"), line)))
 
 
 def stage_planes(planes: DataFrame, path: str) -> None:
