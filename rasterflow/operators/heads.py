@@ -9,6 +9,7 @@ from rasterflow.functions.integers import be_uint
 from rasterflow.operators.container import ALPHA_POLICIES, HEAD_BYTES, file_type, webp_size
 from rasterflow.operators.metadata import assembled_profiles
 from rasterflow.operators.walks import bmp_header, file_facts, frame_size, let, profile_parts, walked
+from rasterflow.plans.staging import kept
 
 #: Names of BMP compression methods.
 BMP_METHODS = {1: "rle8", 2: "rle4", 3: "bitfields", 6: "alpha-bitfields"}
@@ -49,7 +50,7 @@ def file_heads(files: DataFrame, alpha_policy: str = "keep", key: str = "path",
     typed = files.select(F.col(key), content, kind.alias("_kind"))
     base = typed.select(key, "_kind", size.cast("bigint").alias("length"), F.when(F.col("_kind") == "webp", webp).alias("w"), F.when(F.col("_kind") == "bmp", bmp_header(head, size)).alias("b"))
     serial = typed.where("_kind IN ('png', 'jpeg')")
-    walk = walked(serial, ("png_head", "jpeg"), key, content, F.when(F.col("_kind") == "png", "png_head").otherwise("jpeg"))
+    walk = kept(walked(serial, ("png_head", "jpeg"), key, content, F.when(F.col("_kind") == "png", "png_head").otherwise("jpeg")))
     facts = file_facts(walk, key, ("IHDR", "tRNS")).select(key, F.col("status").alias("_walk"), frame_size(F.col("frame")).alias("f"), "IHDR", "tRNS")
     profiles = assembled_profiles(profile_parts(walk, key).withColumnRenamed(key, "path"), place="place").select(F.col("path").alias(key), "profile")
     all_facts = base.join(facts, key, "left").join(profiles, key, "left")

@@ -9,6 +9,7 @@ from rasterflow.functions.integers import floor_div, le32
 from rasterflow.operators import blocks, container, entropy, expansion, halo, heads, huffman, metadata, pixels, resample, rle, scanlines, slots, transforms, walks
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
+from rasterflow.plans.staging import kept
 from rasterflow.sources import images as images_source
 from rasterflow.sources import sinks
 from rasterflow.streaming import band_states, bands
@@ -314,7 +315,7 @@ def jpeg_segments(spark, sf_dir):
         F.unhex(F.when(k == 2, "FFD9").otherwise("FFD8")), segment("E0", F.lit(b"JFIF\x00")), icc(2), F.unhex(F.lit("00FFFFFF01")), F.when(k == 4, none).otherwise(icc(1)),
         F.when(k == 3, segment("C2", frame)).otherwise(segment("C0", frame)), F.when(k == 1, none).otherwise(F.unhex(F.lit("FFDA000C0102"))),
     )
-    walk = walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("jpeg",), "p_partkey", "file")
+    walk = kept(walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("jpeg",), "p_partkey", "file"))
     sized = walks.file_facts(walk, "p_partkey").select("p_partkey", "status", walks.frame_size(F.col("frame")).alias("f"))
     profiles = metadata.assembled_profiles(walks.profile_parts(walk, "p_partkey").withColumnRenamed("p_partkey", "path"), place="place").select(F.col("path").alias("p_partkey"), F.md5("profile").alias("profile"))
     kinds = metadata.frame_kinds(sized.select("p_partkey", "status", F.col("f.marker").alias("hex"), F.conv("f.marker", 16, 10).cast("int").alias("marker"), "f.width", "f.height"))
@@ -371,7 +372,8 @@ def file_heads(spark, sf_dir):
     le16 = lambda n: F.substring(le32(n), 1, 2)
     bmp = F.concat(F.lit(b"BM"), F.unhex(F.lit("00" * 8)), le32(F.lit(54)), le32(F.lit(40)), le32(F.col("p_size")), le32(F.lit(1)), le16(F.lit(1)), le16(F.lit(24)), F.unhex(F.lit("00" * 24 + "00" * 152)))
     file = F.when(k < 5, png).when(k < 7, jpeg).when(k == 7, bmp).when(k == 8, container.webp(F.encode("p_name", "UTF-8"), F.lit(64), F.lit(16), F.lit(b"a"), F.lit(None).cast("binary"))).otherwise(F.encode("p_name", "UTF-8"))
-    out = heads.file_heads(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), "keep", "p_partkey", "file")
+    made = kept(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")))  # written once, as files are
+    out = heads.file_heads(made, "keep", "p_partkey", "file")
     return out.select("p_partkey", "head.type", "head.width", "head.alpha_status", "head.status", F.array_join(F.col("key_levels").cast("array<string>"), ",").alias("key_levels"), "description")
 
 
@@ -640,7 +642,7 @@ def huffman_tables(spark, sf_dir):
     segment = lambda h: F.concat(F.lit("FFC4"), F.lpad(F.hex((F.length(h) / 2 + 2).cast("bigint")), 4, "0"), h)
     both = segment(F.concat(definition(0x01, 3 + key % 14, size), definition(0x12, 4 + key % 13, size)))
     file = F.unhex(F.concat(F.lit("FFD8"), both, F.when(key % 3 == 0, segment(definition(0x01, F.lit(5), F.lit(9)))).otherwise(""), F.lit("FFDA")))
-    walk = walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("jpeg",), "p_partkey", "file")
+    walk = kept(walks.walked(table(spark, sf_dir, "part").select("p_partkey", file.alias("file")), ("jpeg",), "p_partkey", "file"))
     codes = huffman.table_codes(huffman.table_definitions(walks.segments(walk, "p_partkey").where("name = 'C4'"), "p_partkey"), "p_partkey")
     fast = huffman.prefix_table(codes, "p_partkey")
     listed_ = lambda rows, *names: rows.groupBy("p_partkey", "class", "id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("l"))
