@@ -273,10 +273,10 @@ def row_runs(spark, sf_dir):
     "prefix_codes",
     """WITH sg AS (SELECT p prefix, CASE WHEN p < 4 THEN 0 ELSE (p - 2) >> 1 END eb FROM (SELECT CAST(unnest(range(0, 40)) AS INTEGER) p)),
 sr AS (SELECT prefix, eb, CASE WHEN prefix < 4 THEN prefix ELSE CAST(2 + (prefix & 1) AS BIGINT) << eb END lo, CAST(1 AS BIGINT) << eb span FROM sg)
-SELECT p_partkey, p_partkey + 1 AS value, prefix, eb AS extra_bits, p_partkey - lo AS extra FROM part JOIN sr ON p_partkey >= lo AND p_partkey < lo + span""",
+SELECT p_partkey, p_partkey + 1 AS value, prefix, eb AS extra_bits, p_partkey - lo AS extra, CASE WHEN prefix IS NULL THEN 'error' ELSE 'ok' END AS status FROM part LEFT JOIN sr ON p_partkey >= lo AND p_partkey < lo + span""",
 )
 def prefix_codes(spark, sf_dir):
-    return entropy.prefix_codes(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") + 1).alias("value"))).drop("status")  # the SQL has none
+    return entropy.prefix_codes(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") + 1).alias("value")))
 
 
 @register(
