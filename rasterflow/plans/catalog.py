@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterflow.plans import expansion_queries, image_queries  # noqa: F401  (they register)
+from rasterflow.plans import expansion_queries, image_queries, stored_queries  # noqa: F401  (they register)
 from rasterflow.plans.queries import ORACLES, QUERIES
 
 
