@@ -9,11 +9,14 @@ bits of its digests. The outcome travels back down the same tree, so rows never
 
 Texts are not shuffled for this. To verify that equal digests are equal texts, each task takes the least and the greatest
 normalised text of every digest that repeats, and the least and greatest of these are compared: a class passes only if all
-its texts are one. A clash of digests ends the job with an error rather than a merged class.
+its texts are one. Where digests clash, the merge runs again with the clashing digests followed by their texts, so that each
+text is a class of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,24 +30,39 @@ FAN = 1 << BITS
 FILTER_BITS = 1 << 23
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def strong(bare: Column) -> tuple[Column, Column]:
+    """SHA-256 and a second hash of a normalised text."""
+    return F.unhex(F.sha2(bare, 256)), F.xxhash64(bare)
+
+
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, hashes: Callable = strong, *carried: str) -> DataFrame:
     """One row per document: run (its input partition), a row number (row_col, or a new one), id, code points, and the digest key.
 
     The key is the SHA-256 of the normalised text, a second hash and its length: entries merge only when all three agree.
     """
     text = whole_text(text_col)
     bare = F.regexp_replace(text, SPACE_CLASS + "+", "")
+    digest, check = hashes(bare)
     return docs.select(
         F.spark_partition_id().alias("run"),
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.length(text).alias("points"),
-        F.unhex(F.sha2(bare, 256)).alias("digest"),
-        F.xxhash64(bare).alias("check"),
+        digest.alias("digest"),
+        check.alias("check"),
         F.octet_length(bare).alias("size"),
+        *carried,
     )
 
 
+def rows_apart(docs: DataFrame, clashes: DataFrame, id_col: str, text_col: str, row_col: str | None, hashes: Callable) -> DataFrame:
+    """digest_rows, the digests of ``clashes`` (digest, check, size) followed by the text itself."""
+    bare = F.regexp_replace(whole_text(text_col), SPACE_CLASS + "+", "")
+    rows = digest_rows(docs.withColumn("_bare", bare), id_col, text_col, row_col, hashes, "_bare")
+    marked = rows.join(clashes.select(*KEY, F.lit(True).alias("clash")), [*KEY], "left")
+    return marked.withColumn("digest", F.when(F.col("clash"), F.concat("digest", F.encode("_bare", "utf-8"))).otherwise(F.col("digest"))).drop("clash", "_bare")
+
+
 def place_at(level: int) -> Column:
     """The place of an entry after ``level`` rounds: its run, the lower bits put as its digest's."""
     low = BITS * level
@@ -60,38 +78,56 @@ def exchanged(entries: DataFrame, level: int) -> DataFrame:
     return runs.groupBy("place", "slice", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"), F.min("run").alias("run"))
 
 
-def verify(docs: DataFrame, text_col: str, repeated: DataFrame) -> None:
-    """End with an error if texts of one repeated key differ. Only the least and greatest text of a key leave a task; a
-    bitmap of fixed size spares most other texts the join."""
+def clashing(docs: DataFrame, text_col: str, repeated: DataFrame, hashes: Callable = strong) -> DataFrame:
+    """The keys (digest, check, size) whose texts differ, of those with a ``check`` among the repeated ones. Only the least and
+    greatest text of a key leave a task; a bitmap of fixed size spares most other texts the join."""
     byte = 1 << 15
     bit = lambda c: F.pmod(c, F.lit(FILTER_BITS))
     bitmap = repeated.select(bit("check").alias("h")).groupBy(F.expr(f"h DIV {byte}").alias("part")).agg(F.bitmap_construct_agg(F.pmod("h", F.lit(byte))).alias("bits"))
     bare = docs.select(pinned(F.regexp_replace(whole_text(text_col), SPACE_CLASS + "+", "")).alias("bare"))
-    marked = bare.withColumn("check", F.xxhash64("bare")).withColumn("h", bit(F.col("check"))).join(F.broadcast(bitmap), F.expr(f"h DIV {byte}") == F.col("part"))
+    digest, check = hashes(F.col("bare"))
+    marked = bare.withColumn("check", check).withColumn("h", bit(F.col("check"))).join(F.broadcast(bitmap), F.expr(f"h DIV {byte}") == F.col("part"))
     hit = F.conv(F.hex(F.expr(f"substring(bits, CAST(pmod(h, {byte}) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
     near = marked.where(hit.bitwiseAND(F.expr("shiftleft(1, CAST(pmod(h, 8) AS INT))")) != 0)
-    keyed = near.select(F.unhex(F.sha2("bare", 256)).alias("digest"), "check", F.octet_length("bare").alias("size"), "bare")
+    keyed = near.select(digest.alias("digest"), "check", F.octet_length("bare").alias("size"), "bare")
     ends = keyed.groupBy(*KEY).agg(F.min("bare").alias("least"), F.max("bare").alias("most"))
-    if not ends.where("least <> most").isEmpty():
-        raise ValueError("texts of equal digests differ")
+    return ends.where("least <> most").select(*KEY)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, and row (the input row's own number).
+def verify(docs: DataFrame, text_col: str, repeated: DataFrame) -> None:
+    """End with an error if texts of one repeated key differ."""
+    if not clashing(docs, text_col, repeated).isEmpty():
+        raise ValueError("texts of equal digests differ")
 
-    Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]. The row with the most code
-    points stays, then the smallest id (a null id comes last), then the first row. Null texts count as empty, so they
-    form one group with texts of white space alone. Repeated rows, ids too, are told apart by ``row``: one is kept.
-    No rows in, no rows out. Other columns of ``docs`` are not read. The result is a written table.
-    """
-    rows = staged(digest_rows(docs, id_col, text_col, row_col), "digests")
+
+def merged(rows: DataFrame) -> tuple[list[DataFrame], int]:
+    """The runs after each round, and the number of rounds."""
     first = rows.select("run", *KEY, F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("z"), "id", "row").alias("best"), F.lit(1).cast("long").alias("n"))
     levels = [staged(exchanged(first, 0), "runs")]
     runs = 1 + (levels[0].agg(F.max("run")).first()[0] or 0)
     rounds = -(-(runs - 1).bit_length() // BITS)
     for level in range(1, rounds + 1):
         levels.append(staged(exchanged(levels[-1], level), "runs"))
-    verify(docs, text_col, levels[-1].where("n > 1").select("check"))
+    return levels, rounds
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, hashes: Callable = strong) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, and row (the input row's own number).
+
+    Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]. The row with the most code
+    points stays, then the smallest id (a null id comes last), then the first row. Null texts count as empty, so they
+    form one group with texts of white space alone. ``hashes`` makes the digest, whose first 32 bytes are shown, and the second
+    hash; texts that share both and their length are told apart. Repeated rows, ids too, are told apart by ``row``: one is kept.
+    No rows in, no rows out. Other columns of ``docs`` are not read. The result is a written table.
+    """
+    rows = staged(digest_rows(docs, id_col, text_col, row_col, hashes), "digests")
+    levels, rounds = merged(rows)
+    clashes = staged(clashing(docs, text_col, levels[-1].where("n > 1").select("check"), hashes), "clashes")
+    if not clashes.isEmpty():
+        unstage(rows, *levels)
+        rows = staged(rows_apart(docs, clashes, id_col, text_col, row_col, hashes), "digests")
+        levels, rounds = merged(rows)
+    unstage(clashes)
     found = levels[-1].select("place", *KEY, "best", "n")
     for level in range(rounds, 0, -1):
         child = levels[level - 1].select(F.col("place").alias("below"), place_at(level).alias("place"), *KEY)
@@ -101,7 +137,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("best.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256"),
         "row",
     )
     out = staged(out, "classes")
@@ -124,6 +160,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6(spark, sf_dir):
+    """Every row of documents: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs).withColumnRenamed("id", "doc_id").drop("row")
 

@@ -109,6 +109,7 @@ def url_rules(pages: DataFrame, url_col: str = "url", rules=RULES, mining: Minin
 
 
 def op5(spark, sf_dir):
+    """Every URL of pages: page_id, host, path, rule, verdict."""
     return url_rules(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -120,19 +121,24 @@ def _fits() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+#: Any subset of a URL's tokens that is a rule blocks it, so rules need no pruning here; only tokens that are frequent among
+#: blocked URLs can be in a rule, and subsets are the bits of a number.
 OP5_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
-      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM u),
-r AS (SELECT *, {_fits()} rule, list_reverse(list_filter(string_split(host, '.'), lambda x: x <> '')) hs, list_filter(string_split(path, '/'), lambda x: x <> '')[1:2] ps FROM p),
+      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) query FROM u),
+r AS (SELECT *, {_fits()} rule, list_reverse(list_filter(string_split(host, '.'), lambda x: x <> '')) hs, list_filter(string_split(path, '/'), lambda x: x <> '') ps,
+      list_filter(string_split(query, '&'), lambda x: x <> '') qs FROM p),
 t AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END said FROM r),
 tk AS (SELECT page_id, said, 'h' || (i - 1) || ':' || hs[i] tok FROM (SELECT *, unnest(range(1, len(hs) + 1)) i FROM t)
-       UNION SELECT page_id, said, 'p' || (i - 1) || ':' || ps[i] FROM (SELECT *, unnest(range(1, len(ps) + 1)) i FROM t)),
-sets AS (SELECT page_id, said, [tok] s FROM tk
-         UNION ALL SELECT page_id, a.said, [a.tok, b.tok] FROM tk a JOIN tk b USING (page_id) WHERE a.tok < b.tok
-         UNION ALL SELECT page_id, a.said, [a.tok, b.tok, c.tok] FROM tk a JOIN tk b USING (page_id) JOIN tk c USING (page_id) WHERE a.tok < b.tok AND b.tok < c.tok),
+       UNION SELECT page_id, said, CASE WHEN i <= 2 THEN 'p' || (i - 1) ELSE 'p' END || ':' || ps[i] FROM (SELECT *, unnest(range(1, len(ps) + 1)) i FROM t)
+       UNION SELECT page_id, said, 'q:' || unnest(qs) FROM t),
+least AS (SELECT ceil(2e-3 * count(*)) k FROM t),
+often AS (SELECT tok FROM tk GROUP BY tok HAVING count(*) FILTER (WHERE said = 'block') >= (SELECT k FROM least)),
+own AS (SELECT page_id, any_value(said) said, list(tok ORDER BY tok) s FROM tk SEMI JOIN often USING (tok) GROUP BY page_id),
+sets AS (SELECT page_id, said, list_filter(s, lambda x, i: (m >> CAST(i - 1 AS BIGINT)) & 1 = 1) s FROM (SELECT *, unnest(range(1, 1 << len(s))) m FROM own)),
 freq AS (SELECT s, count(*) n, count(*) FILTER (WHERE said = 'block') k FROM sets GROUP BY s),
-mined AS (SELECT s FROM freq, (SELECT count(*) total FROM t) WHERE k >= ceil(2e-3 * total) AND k >= 95e-2 * n),
+mined AS (SELECT s FROM freq WHERE k >= (SELECT k FROM least) AND k >= 95e-2 * n),
 hit AS (SELECT DISTINCT page_id FROM sets JOIN mined USING (s))
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) verdict FROM t LEFT JOIN hit USING (page_id)
 """
