@@ -121,10 +121,14 @@ def _maps(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.list_(pa.int64()))], ["image_id", "chunk", "map"])
 
 
+def _kind(parts: DataFrame) -> str:
+    return parts.schema["image_id"].dataType.simpleString()
+
+
 def entry_states(parts: DataFrame) -> DataFrame:
     """Rows (image_id, chunk, state, final): the state before each chunk, and the image's last one. A list of an image has a map
     of 258 numbers for each chunk of 8 KB."""
-    maps = parts.mapInArrow(_maps, "image_id long, chunk long, map array<bigint>")
+    maps = parts.mapInArrow(_maps, f"image_id {_kind(parts)}, chunk long, map array<bigint>")
     lists = maps.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "map"))).alias("m"))
     start = F.struct(F.lit(0).cast("bigint").alias("state"), F.array().cast("array<bigint>").alias("seen"))
     walk = F.aggregate("m", start, lambda s, m: F.struct(F.get(m["map"], s["state"].cast("int")).alias("state"), F.array_append(s["seen"], s["state"]).alias("seen")))
@@ -164,7 +168,7 @@ def rle_runs(streams: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFra
     parts = chunks(streams, words)
     states = entry_states(parts)
     known = parts.join(states, ["image_id", "chunk"]).select("image_id", "chunk", "nibbles", "data", "state")
-    found = known.mapInArrow(_chunk_runs, f"image_id long, chunk long, tail long, down long, reset boolean, runs {RUNS}")
+    found = known.mapInArrow(_chunk_runs, f"image_id {_kind(parts)}, chunk long, tail long, down long, reset boolean, runs {RUNS}")
     lists = found.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "tail", "down", "reset"))).alias("m"))
     pen = lambda x, y, seen: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), seen.cast("array<struct<x0:bigint,y0:bigint>>").alias("seen"))
     moved = lambda s, m: pen(F.when(m["reset"], m["tail"]).otherwise(s["x"] + m["tail"]), s["y"] + m["down"], F.array_append(s["seen"], F.struct(s["x"].alias("x0"), s["y"].alias("y0"))))

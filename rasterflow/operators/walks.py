@@ -191,10 +191,12 @@ def let(value: Column, body) -> Column:
 
 
 def bmp_header(content: Column, length: Column | None = None) -> Column:
-    """Struct (width, height, top_down, depth, compression, stride, offset, palette_colors, masks, alpha, profiles, status).
+    """Struct (width, height, top_down, depth, compression, stride, offset, palette_colors, palette_at, palette_entry, masks,
+    alpha, profiles, status).
 
     content: the file, or its first 160 bytes with ``length``, the file's. The core header, of 12 bytes, has 16-bit sizes;
-    others have 40, 52, 56, 108 or 124 bytes. offset: where pixels begin, no earlier than the header and its masks end;
+    others have 40, 52, 56, 108 or 124 bytes. offset: where pixels begin, no earlier than the header and its masks end, which
+    is where a palette begins, of entries of palette_entry bytes;
     masks: of the samples, in the header or behind it; alpha: whether a mask of alpha lies inside the sample; profiles:
     (at, length) where an embedded profile may lie, absolute offsets after relative ones. status: ok, not_bmp, bad_header
     (its length, or cut short), bad_size (a side of none or over 16,384, or over 40 million pixels), bad_depth (unknown, or
@@ -212,6 +214,8 @@ def bmp_header(content: Column, length: Column | None = None) -> Column:
         F.array(*(F.when(head >= most, le_uint(content, 54 + 4 * i, 4)).otherwise(F.lit(0)) for i, most in enumerate((52, 52, 52, 56)))).alias("masks"),
     )
 
+    old_entry = lambda f: F.when(f["core"], 3).otherwise(4).cast("bigint")
+
     def second(f: Column) -> Column:
         fielded = f["packing"].isin(3, 6)
         behind = fielded & ~F.exists(f["masks"], lambda m: m != 0)
@@ -242,7 +246,7 @@ def bmp_header(content: Column, length: Column | None = None) -> Column:
         colors = F.when(f["bits"] > 8, 0).when(f["used"] > 0, f["used"]).otherwise(F.expr("1L").cast("bigint") * F.pow(F.lit(2), f["bits"]).cast("bigint"))
         return F.struct(
             f["w"].alias("width"), rows.alias("height"), (f["h"] < 0).alias("top_down"), f["bits"].alias("depth"), f["packing"].alias("compression"), stride.alias("stride"), offset.alias("offset"),
-            colors.cast("bigint").alias("palette_colors"), masks.alias("masks"), F.coalesce(alpha, F.lit(False)).alias("alpha"),
+            colors.cast("bigint").alias("palette_colors"), payload.cast("bigint").alias("palette_at"), old_entry(f).alias("palette_entry"), masks.alias("masks"), F.coalesce(alpha, F.lit(False)).alias("alpha"),
             F.when(tagged, F.transform(places, lambda at: F.struct(at.alias("at"), long.alias("length")))).otherwise(F.array().cast("array<struct<at:bigint,length:bigint>>")).alias("profiles"),
             F.coalesce(status, F.lit("bad_header")).alias("status"),
         )
@@ -255,6 +259,7 @@ def bmp_header(content: Column, length: Column | None = None) -> Column:
 #: The fields of ``bmp_header`` before its status.
 BMP_FIELDS = (
     ("width", "bigint"), ("height", "bigint"), ("top_down", "boolean"), ("depth", "bigint"), ("compression", "bigint"), ("stride", "bigint"), ("offset", "bigint"), ("palette_colors", "bigint"),
+    ("palette_at", "bigint"), ("palette_entry", "bigint"),
     ("masks", "array<bigint>"), ("alpha", "boolean"), ("profiles", "array<struct<at:bigint,length:bigint>>"),
 )
 

@@ -10,8 +10,8 @@ from rasterflow.operators import blocks, container, entropy, expansion, halo, he
 from rasterflow.plans.image_queries import COUNTS, DOUBLED, PX, QI, STEPS, derived, qualities, symbols, table
 from rasterflow.plans.queries import register
 from rasterflow.plans.staging import kept
+from rasterflow.sources import bitmaps, sinks
 from rasterflow.sources import images as images_source
-from rasterflow.sources import sinks
 from rasterflow.streaming import band_states, bands
 
 #: Adapted probabilities of the slots.
@@ -677,3 +677,38 @@ def png_pixels(spark, sf_dir):
     file = F.concat(F.unhex(F.lit(walks.PNG_MAGIC)), png_chunk("IHDR", F.concat(be32(F.lit(64)), be32(F.col("h")), kind, F.unhex(F.lit("000000")))), png_chunk("IDAT", block), png_chunk("IEND", F.unhex(F.lit(""))))
     shown, _ = images_source.png_pixels(images.select(F.col("image_id").cast("string").alias("path"), file.alias("content")))
     return shown.select(F.col("path").cast("bigint").alias("image_id"), "y", "x", "r", "g", "b", "a")
+
+
+@register(
+    "bmp_pixels",
+    f"""WITH {PX}, f AS (SELECT *, image_id % 5 k, first_value(r) OVER (PARTITION BY image_id, y ORDER BY x) r0 FROM px),
+n AS (SELECT *, CASE WHEN k = 2 THEN r WHEN y % 2 = 0 THEN r0 ELSE 0 END i FROM f)
+SELECT image_id, y, x, CASE WHEN k IN (0, 4) THEN r WHEN k = 1 THEN ((r >> 3) * 255 + 15) // 31 WHEN i < 200 THEN i ELSE 0 END AS r,
+CASE WHEN k IN (0, 4) THEN g WHEN k = 1 THEN ((g >> 2) * 255 + 31) // 63 WHEN i < 200 THEN 255 - i ELSE 0 END AS g,
+CASE WHEN k IN (0, 4) THEN b WHEN k = 1 THEN ((b >> 3) * 255 + 15) // 31 WHEN i < 200 THEN i * 7 % 256 ELSE 0 END AS b, CASE k WHEN 0 THEN a ELSE 255 END AS a FROM n""",
+)
+def bmp_pixels(spark, sf_dir):
+    """Whole files: 32 bits with an alpha mask in the header, 16 bits with masks behind it and rows from the top, 8 bits with a
+    palette of 200 colours, run lengths that leave every second row out, and 24 bits behind the core header."""
+    k = F.col("image_id") % 5
+    le16 = lambda n: F.substring(le32(n), 1, 2)
+    by = lambda *cases: F.element_at(F.array(*(c if not isinstance(c, int) else F.lit(c) for c in cases)), (k + 1).cast("int"))
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    field = F.shiftleft(F.shiftright("r", 3), 11) + F.shiftleft(F.shiftright("g", 2), 5) + F.shiftright("b", 3)
+    bgr = F.concat(two(F.col("b")), two(F.col("g")), two(F.col("r")))
+    run = F.when((F.col("x") == 0) & (F.col("y") % 2 == 0), F.concat(F.lit("40"), two(F.col("r")))).otherwise("")
+    stored = by(F.concat(bgr, two(F.col("a"))), F.hex(le16(field)), two(F.col("r")), run, bgr)
+    px = derived(spark, sf_dir).select("image_id", "y", "x", stored.alias("s"))
+    place = F.when(k == 1, F.col("y")).otherwise(-F.col("y")).alias("place")
+    lines = px.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "s"))).alias("p")).select("image_id", place, F.concat(F.array_join("p.s", ""), F.when(k == 3, "0000").otherwise("")).alias("l"))
+    images = lines.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", "l"))).alias("rows"))
+    height = F.size("rows")
+    none, zero = F.lit(b""), lambda n: F.unhex(F.lit("00" * n))
+    masks = by(F.unhex(F.lit("0000FF0000FF0000FF000000000000FF")), F.unhex(F.lit("00F80000E00700001F000000")), none, none, none)
+    info = F.concat(le32(by(108, 40, 40, 40, 40)), le32(F.lit(64)), le32(F.when(k == 1, 2**32 - height).otherwise(height)), le16(F.lit(1)), le16(by(32, 16, 8, 8, 24)), le32(by(3, 3, 0, 1, 0)), zero(12), le32(by(0, 0, 200, 200, 0)), zero(4))
+    core = F.concat(le32(F.lit(12)), le16(F.lit(64)), le16(height), le16(F.lit(1)), le16(F.lit(24)))
+    colours = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(two(i * 7 % 256), two(255 - i), two(i), F.lit("00"))), ""))
+    data = F.unhex(F.concat(F.array_join("rows.l", ""), F.when(k == 3, "0001").otherwise("")))
+    file = F.concat(F.lit(b"BM"), zero(8), le32(by(122, 66, 854, 854, 26)), F.when(k == 4, core).otherwise(info), masks, F.when(k == 0, zero(52)).when(k.isin(2, 3), colours).otherwise(none), data)
+    shown, _ = bitmaps.bmp_pixels(images.select(F.col("image_id").cast("string").alias("path"), file.alias("content")))
+    return shown.select(F.col("path").cast("bigint").alias("image_id"), "y", "x", "r", "g", "b", "a")

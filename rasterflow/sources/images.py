@@ -1,8 +1,9 @@
 """Images of mixed types, each by the reader that fits: whole tables of pixels with a status and the reader's name.
 
 PNG files whose rows use None, Sub and Up are read here, at all depths and colour types: chunks by the recursive walk,
-rows inflated in Arrow batches, filters undone by sums over all images at once. What is left - other filters, interlaced
-files, JPEG and BMP - goes to Spark's image source, and WebP is skipped.
+rows inflated in Arrow batches, filters undone by sums over all images at once. BMP files of all depths, masks and run
+lengths are read by ``bitmaps``. What is left - other filters, interlaced files and JPEG - goes to Spark's image source, and
+WebP is skipped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from rasterflow.operators.metadata import PNG_DEPTHS
 from rasterflow.operators.scanlines import coloured, samples, unfiltered_units
 from rasterflow.operators.walks import file_facts, segments, walked
 from rasterflow.plans.staging import kept
+from rasterflow.sources.bitmaps import bmp_pixels
 from rasterflow.sources.files import decoded, pixels
 
 #: Channels of the colour types.
@@ -112,14 +114,15 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*", expected: Da
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     heads = kept(file_heads(files).select("path", "head.type", "head.width", "head.height", "head.status"))
-    own, told = png_pixels(files.join(heads.where("type = 'png' AND status = 'ok'").select("path"), "path", "left_semi"))
-    told = kept(told)
+    of = lambda kind: files.join(heads.where((F.col("type") == kind) & (F.col("status") == "ok")).select("path"), "path", "left_semi")
+    (own, told), (mapped, mapped_told) = png_pixels(of("png")), bmp_pixels(of("bmp"))
+    own, told = own.unionByName(mapped), kept(told.unionByName(mapped_told))
     built_in = decoded(spark, path).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))  # as the other source names it
     sizes = built_in.select("path", (F.col("width") > 0).alias("_read"))
     wanted = heads.select("path", F.lit(None).cast("long").alias("_w"), F.lit(None).cast("long").alias("_h")) if expected is None else expected.select("path", F.col("width").cast("long").alias("_w"), F.col("height").cast("long").alias("_h"))
-    rows = heads.join(told.withColumnRenamed("status", "_png"), "path", "left").join(sizes, "path", "left").join(wanted, "path", "left")
-    left = F.col("_png").isin("serial", "interlaced")
-    reader = F.when(F.col("_png") == "ok", "own").when((F.col("type").isin("jpeg", "bmp") | left) & F.coalesce("_read", F.lit(False)), "built-in")
+    rows = heads.join(told.withColumnRenamed("status", "_own"), "path", "left").join(sizes, "path", "left").join(wanted, "path", "left")
+    left = F.col("_own").isin("serial", "interlaced")
+    reader = F.when(F.col("_own") == "ok", "own").when(((F.col("type") == "jpeg") | left) & F.coalesce("_read", F.lit(False)), "built-in")
     geometry = geometry_status(F.col("width"), F.col("height"), F.col("_w"), F.col("_h"), PNG_SIDE)
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("_reader").isNull(), "error").otherwise(geometry)
     report = rows.withColumn("_reader", reader).select("path", "type", "width", "height", F.when(status == "ok", F.col("_reader")).alias("reader"), status.alias("status"))

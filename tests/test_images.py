@@ -141,7 +141,7 @@ def test_files_of_mixed_types(spark, tmp_path, drawn):
     told = {x.path.rsplit("/", 1)[1]: (x.type, x.reader, x.status) for x in report.collect()}
     assert told == {
         "c0d16k1.png": ("png", "own", "ok"), "c2d16k1.png": ("png", "own", "ok"), "c3d4k1.png": ("png", "own", "ok"), "c6d8k0.png": ("png", None, "unexpected"), "serial.png": ("png", "built-in", "ok"),
-        "seven.png": ("png", "built-in", "ok"), "b.bmp": ("bmp", "built-in", "ok"), "p.jpg": ("jpeg", "built-in", "ok"), "w.webp": ("webp", None, "skipped_webp"), "broken.png": ("png", None, "error"), "text": (None, None, "error"),
+        "seven.png": ("png", "built-in", "ok"), "b.bmp": ("bmp", "own", "ok"), "p.jpg": ("jpeg", "built-in", "ok"), "w.webp": ("webp", None, "skipped_webp"), "broken.png": ("png", None, "error"), "text": (None, None, "error"),
     }
     got = {}
     for x in px.collect():
