@@ -39,6 +39,10 @@ def pinned(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
+#: Most partitions of a shuffle by bucket or block; beyond it a task walks several of them, one after the other.
+MOST_PARTITIONS = 20_000
+
+
 def work_root(spark: SparkSession) -> str:
     """The shared folder for staged tables: spark.checkpoint.dir. Where that is unset, a local folder will do for a session of
     one process; on a cluster it is an error."""

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import staged, table, unstage, whole_text
+from rasterflow.llm.common import MOST_PARTITIONS, staged, table, unstage, whole_text
 from rasterflow.llm.ngram_join import _P, WordHashes, mixed
 from rasterflow.llm.planes import from_planes, gathered, planes, spread
 from rasterflow.llm.words import slices
@@ -238,7 +238,7 @@ def meeting(blocks: DataFrame, answers: list[DataFrame], parts: int) -> DataFram
     rows = blocks
     for a in answers:
         rows = rows.unionByName(a.where("level > 0").select("block", "level", "bucket", "counts"), allowMissingColumns=True)
-    return rows.repartition(parts, "block").sortWithinPartitions("block", F.col("tokens").isNotNull())
+    return rows.repartition(min(parts, MOST_PARTITIONS), "block").sortWithinPartitions("block", F.col("tokens").isNotNull())
 
 
 def sent(rows: DataFrame, level: int, buckets: int) -> DataFrame:
@@ -282,7 +282,7 @@ def added_up(chunks: DataFrame, buckets: int) -> DataFrame:
         if rows:
             yield close(now, rows)
 
-    return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, CHUNK)
+    return chunks.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, CHUNK)
 
 
 @dataclass(frozen=True)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterflow.llm.common import staged, table, unstage, whole_text
+from rasterflow.llm.common import MOST_PARTITIONS, staged, table, unstage, whole_text
 from rasterflow.llm.components import components
 from rasterflow.llm.planes import from_planes, gathered, planes, spread
 from rasterflow.llm.words import WordTable, slices
@@ -218,12 +218,13 @@ def index_rows(docs: DataFrame, how: Similarity, buckets: int) -> DataFrame:
             if shared.any():
                 yield rows(2, id=node[shared], hi=key[shared].view(np.int64))
             key, node = key[first], node[first]
-            # buckets are ranges of keys
-            cut = np.searchsorted(key, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
-            cut = [0, *cut.tolist(), len(key)]
-            full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+            # buckets are ranges of keys: the high 64 bits of key * buckets, in 32-bit halves; only those that get keys are walked
+            half, low = np.uint64(32), key & np.uint64(0xFFFFFFFF)
+            bucket = ((key >> half) * np.uint64(buckets) + (low * np.uint64(buckets) >> half)) >> half
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            full = bucket[start].astype(np.int32)
             press = lambda x: pa.compress(x, "zstd", asbytes=True)
-            ends = [(cut[b], cut[b + 1]) for b in full]
+            ends = list(zip(start.tolist(), [*start[1:].tolist(), len(key)]))
             yield rows(1, n=[e - a for a, e in ends], bucket=full, keys=[press(spread(key[a:e])) for a, e in ends], nodes=[press(planes(node[a:e])) for a, e in ends])
 
         for batch in batches:
@@ -275,7 +276,7 @@ def met(chunks: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield close(parts)
 
-    return chunks.select("bucket", "n", "keys", "nodes").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, node long")
+    return chunks.select("bucket", "n", "keys", "nodes").repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, node long")
 
 
 def stars_of(members: DataFrame) -> DataFrame:
@@ -511,6 +512,20 @@ def settled_links(open_nodes: DataFrame, labels: DataFrame, values: DataFrame, h
     return grown
 
 
+#: Most classes that are sent to all tasks; they are those of more than a share of 1 / HOT_CLASSES of all rows.
+HOT_CLASSES = 10_000
+
+
+def on_classes(rows: DataFrame, classes: DataFrame, total: int, least: int = 1000) -> DataFrame:
+    """The rows (hi, lo, ...) of the classes (hi, lo, rep, many), with rep. Classes of more than ``least`` rows and of more
+    than a share of 1 / HOT_CLASSES of all ``total`` ones, of which there are at most HOT_CLASSES, are broadcast, so that no
+    key of the shuffle has more rows than that."""
+    hot = F.col("many") > max(least, total // HOT_CLASSES)
+    few = F.broadcast(classes.where(hot).select("hi", "lo", "rep"))
+    rest = rows.join(few, ["hi", "lo"], "left_anti").join(classes.where(~hot).select("hi", "lo", "rep"), ["hi", "lo"])
+    return rows.join(few, ["hi", "lo"]).unionByName(rest)
+
+
 def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id reachable by links, its own included).
 
@@ -533,8 +548,8 @@ def ngram_join(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "d
 
     # equal sets: every document hangs on the least id of its class
     real = sizes.where("id IS NOT NULL AND n > 0")
-    classes = real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("many")).where("many > 1")
-    copies = held(real.join(classes, ["hi", "lo"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
+    classes = held(real.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("many")).where("many > 1"), "classes")
+    copies = held(on_classes(real, classes, index.where("kind = 0").count()).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).distinct(), "copies")
 
     found = index.where("kind = 2").select(F.col("hi").alias("key"), F.col("id").alias("node")).unionByName(met(index.where("kind = 1"), buckets))
     found = found.join(copies.select(F.col("v").alias("node"), F.col("u").alias("rep")), "node", "left")
