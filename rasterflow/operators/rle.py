@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 WORDS = 4096
 #: States beside the 0 to 255 pixels of a literal run that are still to come (0: a command comes next).
 OPERAND, END = 256, 257
+#: Bytes of chunks and their maps that a task works on at a time: a batch has up to 10,000 rows, and each run of a chunk is an
+#: object in Python.
+HELD = 1 << 20
 RUNS = "array<struct<x:bigint,y:bigint,anew:boolean,length:int,pattern:binary>>"
 
 
@@ -115,8 +119,18 @@ class Words:
         return out
 
 
-def _maps(batches):
+def _slices(batches):
+    """The batches, chunks in column 3, cut into slices of about HELD bytes or one row."""
     for batch in batches:
+        sizes = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes + 8 * (END + 1)) // HELD
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a)
+
+
+def _maps(batches):
+    for batch in _slices(batches):
         maps = [Words(d, n).after() for d, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.list_(pa.int64()))], ["image_id", "chunk", "map"])
 
@@ -137,7 +151,7 @@ def entry_states(parts: DataFrame) -> DataFrame:
 
 
 def _chunk_runs(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         rows, sums, offsets = [], [], [0]
         for nibbles, data, state in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
             w = Words(data, nibbles)
