@@ -44,19 +44,35 @@ def table_definitions(segments: DataFrame, key: str = "path") -> DataFrame:
     return last.select(key, "class", "id", "t.counts", "t.symbols", "t.status")
 
 
-def table_codes(definitions: DataFrame, key: str = "path") -> DataFrame:
-    """Rows (key, class, id, length, code, symbol) of the sound definitions.
+def code_list(counts: Column, symbols: Column) -> Column:
+    """Array of (length, code, symbol) of a sound table in order of codes, in the row itself.
 
     The first code of a length is the sum of the shorter ones' counts, each shifted by the difference of lengths; a symbol's
     place is the sum of the shorter counts and its own number.
     """
-    good = definitions.where("status = 'ok'")
-    each = good.select(key, "class", "id", "counts", "symbols", F.posexplode("counts").alias("k", "n")).where("n > 0")
-    shorter = F.slice("counts", F.lit(1), F.col("k"))
-    first = F.aggregate(F.transform(shorter, lambda c, j: c * F.pow(F.lit(2.0), F.col("k") - j)), F.lit(0.0), lambda a, c: a + c).cast("bigint")
-    before = F.aggregate(shorter, F.lit(0).cast("bigint"), lambda a, c: a + c)
-    numbered = each.select(key, "class", "id", "symbols", (F.col("k") + 1).alias("length"), first.alias("first"), before.alias("before"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
-    return numbered.select(key, "class", "id", "length", (F.col("first") + F.col("i")).alias("code"), number(F.col("symbols"), F.col("before") + F.col("i"), 1).alias("symbol"))
+    zero = F.lit(0).cast("bigint")
+
+    def codes(n: Column, k: Column) -> Column:
+        first = lambda s: F.aggregate(s, zero, lambda a, c: (a + c) * 2)
+        before = lambda s: F.aggregate(s, zero, lambda a, c: a + c)
+        code = lambda h, i: F.struct((k + 1).alias("length"), (h["first"] + i).alias("code"), number(symbols, h["before"] + i, 1).alias("symbol"))
+        each = lambda h: F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: code(h, i))
+        own = let(F.slice(counts, F.lit(1), k), lambda s: let(F.struct(first(s).alias("first"), before(s).alias("before")), each))
+        return F.when(n > 0, own).otherwise(F.array().cast("array<struct<length:int,code:bigint,symbol:bigint>>"))
+
+    return F.flatten(F.transform(counts, codes))
+
+
+def prefix_list(codes: Column, bits: int = 8) -> Column:
+    """Array of (prefix, length, symbol) in order of prefixes, from a ``code_list``, as ``prefix_table`` has it in rows."""
+    room = lambda c: F.pow(F.lit(2), F.lit(bits) - c["length"]).cast("bigint")
+    span = lambda c, r: F.transform(F.sequence(c["code"] * r, (c["code"] + 1) * r - 1), lambda p: F.struct(p.alias("prefix"), c["length"].alias("length"), c["symbol"].alias("symbol")))
+    return F.flatten(F.transform(F.filter(codes, lambda c: c["length"] <= bits), lambda c: let(room(c), lambda r: span(c, r))))
+
+
+def table_codes(definitions: DataFrame, key: str = "path") -> DataFrame:
+    """Rows (key, class, id, length, code, symbol) of the sound definitions."""
+    return definitions.where("status = 'ok'").select(key, "class", "id", F.inline(code_list(F.col("counts"), F.col("symbols"))))
 
 
 def prefix_table(codes: DataFrame, key: str = "path", bits: int = 8) -> DataFrame:
