@@ -16,8 +16,9 @@ def floor_div(a: Column, n: int) -> Column:
 
 def le_uint(content: Column, offset: int, size: int) -> Column:
     """Unsigned little-endian integer of ``size`` bytes at ``offset`` (from 0) of a binary column; null past its end."""
-    part = F.reverse(F.split(F.regexp_replace(F.hex(F.substring(content, offset + 1, size)), "(..)", "$1 "), " "))
-    return F.when(F.octet_length(content) >= offset + size, F.conv(F.array_join(part, ""), 16, 10).cast("bigint"))
+    h = F.hex(F.substring(content, offset + 1, size))
+    turned = F.concat(*(F.substring(h, 2 * k + 1, 2) for k in reversed(range(size))))
+    return F.when(F.octet_length(content) >= offset + size, F.conv(turned, 16, 10).cast("bigint"))
 
 
 def be_uint(content: Column, offset: int, size: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterflow.functions.integers import be_uint, le_uint
-from rasterflow.operators.container import BMP_HEADS
+from rasterflow.operators.container import BMP_HEADS, HEAD_BYTES
 
 PNG_MAGIC = "89504E470D0A1A0A"
 #: Segments of a file that one round walks.
@@ -203,7 +203,9 @@ def bmp_header(content: Column, length: Column | None = None) -> Column:
     not that of its run lengths), bad_masks (cut short), bad_offset (behind the end), bad_compression, truncated (rows do
     not fit).
     """
-    size = (F.octet_length(content) if length is None else length).cast("bigint")
+    if length is None:  # the file is fetched from its row once, not once a field
+        return let(F.struct(F.substring(content, 1, HEAD_BYTES).alias("head"), F.octet_length(content).alias("n")), lambda v: bmp_header(v["head"], v["n"]))
+    size = length.cast("bigint")
     signed = lambda c: F.when(c >= 2**31, c - 2**32).otherwise(c)
     head = le_uint(content, 14, 4)
     core = head == 12
