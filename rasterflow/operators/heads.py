@@ -64,7 +64,9 @@ def file_heads(files: DataFrame, alpha_policy: str = "keep", key: str = "path",
     rows = rows.withColumn("_depth", pick(ihdr(8, 1), F.lit(None), F.col("b.depth"), F.lit(None))).withColumn("_color", F.when(is_kind("png"), ihdr(9, 1)))
     rows = rows.withColumn("_key", key_levels(F.col("tRNS"), F.col("_color"), F.col("_depth")))
     status = F.when(is_kind("webp"), "skipped_webp").when(F.col("_good"), "ok").otherwise("error")
-    policy = F.when(F.col("_good") & ~is_kind("webp"), F.when(F.col("_alpha"), ALPHA_POLICIES[alpha_policy]).otherwise("none"))
+    # a file cut short has the policy of what its header says
+    cut = F.coalesce(pick(F.lit(False), F.col("_walk") == "truncated", F.col("b.status") == "truncated", F.lit(False)), F.lit(False))
+    policy = F.when((F.col("_good") | cut) & ~is_kind("webp"), F.when(F.col("_alpha"), ALPHA_POLICIES[alpha_policy]).otherwise("none"))
     facts_of = F.struct(
         F.col("_kind").alias("type"), shown(pick(ihdr(0, 4), F.col("f.width"), F.col("b.width"), F.col("w.size.width"))).alias("width"), shown(pick(ihdr(4, 4), F.col("f.height"), F.col("b.height"), F.col("w.size.height"))).alias("height"),
         shown(F.col("_depth")).alias("depth"), shown(F.col("_color")).alias("color_type"), F.col("_alpha").alias("may_have_alpha"), status.alias("status"), policy.alias("alpha_status"),
